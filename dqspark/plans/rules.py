@@ -1 +1,160 @@
-"""(filled in below)"""
+"""Rule queries (F4 F6-F9 A11 A12 A14 J9 J13) over lineitem / orders / customer / part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dqspark.operators import rules as R
+from dqspark.plans.catalog import register, register_views, table
+
+# Rule set of the lineitem dataset (configuration, compiled into one scan).
+LINEITEM_RULES = [
+    {"ruleNm": "if_l_quantity_gt_45", "ruleType": "SQLG", "ruleValue": "l_quantity > 45",
+     "columnName": "l_quantity", "dimId": 4, "points": 1, "perc": 1, "tolerance": 0},
+    {"ruleNm": "if_l_discount_high", "ruleType": "SQLG", "ruleValue": "l_discount > 0.08",
+     "columnName": "l_discount", "dimId": 6, "points": 2, "perc": 5, "tolerance": 1},
+    {"ruleNm": "if_l_returnflag_r_open", "ruleType": "SQLG",
+     "ruleValue": "l_returnflag = 'R' AND l_linestatus = 'O'", "columnName": "l_returnflag",
+     "dimId": 5, "points": 1, "perc": 2, "tolerance": 0},
+    {"ruleNm": "if_l_tax_is_null_empty", "ruleType": "CUSTOM", "ruleRepo": "null_empty",
+     "ruleValue": "l_tax", "columnName": "l_tax", "dimId": 1, "points": 3, "perc": 1, "tolerance": 0},
+    {"ruleNm": "if_l_shipdate_early", "ruleType": "SQLG", "ruleValue": "l_shipdate < '1995-06-01'",
+     "columnName": "l_shipdate", "dimId": 2, "points": 1, "perc": 1, "tolerance": 5},
+    {"ruleNm": "if_l_extendedprice_high_n", "ruleType": "SQLG", "ruleValue": "l_extendedprice > 50000",
+     "filterQuery": "l_returnflag = 'N'", "columnName": "l_extendedprice", "dimId": 4, "points": 1,
+     "perc": 1, "tolerance": 0},
+    {"ruleNm": "if_l_linenumber_is_range", "ruleType": "CUSTOM", "ruleRepo": "range",
+     "ruleValue": "l_linenumber", "columnName": "l_linenumber", "params": {"low": 1, "high": 6},
+     "dimId": 4, "points": 1, "perc": 1, "tolerance": 0},
+]
+
+
+def _dq(c):
+    return '"' + c + '"'
+
+
+def _sql_cond(r):
+    if r.get("ruleRepo"):
+        return R.expand_template(r["ruleRepo"], r["columnName"], quote=_dq, **(r.get("params") or {}))
+    return r["ruleValue"]
+
+
+def sql_rule_rates(tbl="lineitem", rules=LINEITEM_RULES):
+    parts = []
+    for r in rules:
+        flt = r.get("filterQuery") or "TRUE"
+        dim = R.DIMENSIONS.get(int(r.get("dimId") or 0))
+        parts.append(f"""SELECT '{r["ruleNm"]}' AS rule_name, {int(r.get("dimId") or 0)} AS dim_id,
+  '{dim}' AS dimension, {int(r.get("points", 1))} AS points, {float(r.get("perc", 1))} AS perc,
+  {float(r.get("tolerance", 0))} AS tolerance,
+  count(*) FILTER (WHERE coalesce(({flt}), FALSE) AND coalesce(({_sql_cond(r)}), FALSE)) AS breaks,
+  count(*) FILTER (WHERE coalesce(({flt}), FALSE)) AS total FROM {tbl}""")
+    body = "\nUNION ALL\n".join(parts)
+    return f"""SELECT *, CASE WHEN total = 0 THEN 0.0 ELSE breaks * 100.0 / total END AS break_pct FROM ({body})"""
+
+
+def lineitem_rates(spark, sf):
+    return R.rule_break_rates(table(spark, sf, "lineitem"), LINEITEM_RULES)
+
+
+@register("rule_break_rates", sql_rule_rates())
+def rule_break_rates(spark, sf):
+    """All lineitem rules evaluated in one scan (SQLG + CUSTOM templates + filterQuery)."""
+    return lineitem_rates(spark, sf)
+
+
+@register("dataset_score_lineitem", f"""
+SELECT greatest(0.0, 100.0 - sum(points * floor(greatest(break_pct - tolerance, 0.0) / perc))::DOUBLE) AS score,
+       count(*) AS n_rules, count(*) FILTER (WHERE breaks > 0) AS n_breaking_rules
+FROM ({sql_rule_rates()})""")
+def dataset_score_lineitem(spark, sf):
+    return R.dataset_score(lineitem_rates(spark, sf))
+
+
+@register("dimension_rollup", f"""
+SELECT dimension, sum(breaks)::BIGINT AS breaks, sum(total)::BIGINT AS total, count(*) AS n_rules,
+  CASE WHEN sum(total) = 0 THEN 0.0 ELSE sum(breaks) * 100.0 / sum(total) END AS break_pct
+FROM ({sql_rule_rates()}) GROUP BY ROLLUP (dimension)""")
+def dimension_rollup(spark, sf):
+    return R.dimension_rollup(lineitem_rates(spark, sf))
+
+
+@register("referential_rule", """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def referential_rule(spark, sf):
+    """Orders whose customer is not a BUILDING-segment customer (NOT IN, null-aware)."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    parent = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    return R.referential_rule(orders, parent, "o_custkey", "c_custkey")
+
+
+READONLY_SQL = """select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as sum_qty
+from lineitem group by l_returnflag, l_linestatus order by l_returnflag, l_linestatus;"""
+
+
+@register("readonly_query", f"SELECT * FROM ({READONLY_SQL.rstrip(';')}) AS _rule_test LIMIT 20")
+def readonly_query(spark, sf):
+    register_views(spark, sf, ["lineitem"])
+    return R.run_readonly_query(spark, READONLY_SQL, limit=20)
+
+
+SQLF_RULE = """SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, c.c_acctbal
+FROM @orders o JOIN @customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_totalprice > 100 * c.c_acctbal"""
+
+
+@register("rule_sql_breaks", SQLF_RULE.replace("@orders", "orders").replace("@customer", "customer"))
+def rule_sql_breaks(spark, sf):
+    """SQLF rule with @dataset tokens bound to the orders and customer tables."""
+    return R.rule_sql(spark, SQLF_RULE, {"orders": table(spark, sf, "orders"),
+                                        "customer": table(spark, sf, "customer")})
+
+
+@register("rule_condition_lineitem", """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+WHERE l_returnflag = 'R' AND coalesce(l_quantity > 45, FALSE)""")
+def rule_condition_lineitem(spark, sf):
+    """SQLG condition with a filterQuery pre-filter: the break rows."""
+    li = table(spark, sf, "lineitem")
+    return R.rule_condition(li, "l_quantity > 45", "l_returnflag = 'R'") \
+        .select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@register("rule_template_part", f"""
+SELECT p_partkey, p_size FROM part WHERE coalesce(({R.expand_template("range", "p_size", quote=_dq,
+                                                                    low=1, high=45)}), FALSE)""")
+def rule_template_part(spark, sf):
+    """CUSTOM template rule (range) applied to part.p_size."""
+    cond = R.expand_template("range", "p_size", low=1, high=45)
+    return R.rule_condition(table(spark, sf, "part"), cond).select("p_partkey", "p_size")
+
+
+EXPECTED_EXTRA = "if_l_missing_rule"
+
+
+@register("validate_rules_lineitem", f"""
+WITH f AS (SELECT 'lineitem' AS dataset, '2024-01-31' AS run_date, rule_name,
+                  CASE WHEN breaks = 0 THEN 'Passing ' ELSE 'BREAKING' END AS breakMsg,
+                  NULL::VARCHAR AS exception, 100.0 - break_pct AS score, perc FROM ({sql_rule_rates()})),
+e AS (SELECT 'lineitem' AS dataset, '2024-01-31' AS run_date, rule_name FROM f
+      UNION ALL SELECT 'lineitem', '2024-01-31', '{EXPECTED_EXTRA}')
+SELECT e.dataset, e.run_date, e.rule_name, f.rule_name IS NOT NULL AS found,
+  CASE WHEN f.rule_name IS NULL THEN NULL
+       ELSE upper(trim(coalesce(f.breakMsg, ''))) = 'PASSING' AND coalesce(f.exception, '') = '' END AS passed,
+  f.score, f.perc, f.breakMsg, f.exception
+FROM e LEFT JOIN f USING (dataset, run_date, rule_name)""")
+def validate_rules_lineitem(spark, sf):
+    """Expected rules (the rule set plus one never run) against the run's
+    rule findings; a passing rule carries breakMsg ' Passing '."""
+    rates = lineitem_rates(spark, sf)
+    findings = rates.select(
+        F.lit("lineitem").alias("dataset"), F.lit("2024-01-31").alias("run_date"),
+        F.col("rule_name").alias("ruleNm"),
+        F.when(F.col("breaks") == 0, "Passing ").otherwise("BREAKING").alias("breakMsg"),
+        F.lit(None).cast("string").alias("exception"), (100.0 - F.col("break_pct")).alias("score"), "perc")
+    expected = rates.select(F.lit("lineitem").alias("dataset"), F.lit("2024-01-31").alias("run_date"),
+                            "rule_name").unionByName(
+        rates.limit(1).select(F.lit("lineitem").alias("dataset"), F.lit("2024-01-31").alias("run_date"),
+                              F.lit(EXPECTED_EXTRA).alias("rule_name")))
+    return R.validate_rules(expected, findings)
