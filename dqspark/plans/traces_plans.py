@@ -152,14 +152,9 @@ def real_messages(spark, sf):
     hist = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("k"), entry.alias("e"))))
                                     .alias("h"))
     hist = hist.select("conv_id", F.transform("h", lambda x: x["e"]).alias("history"))
-    keep = F.filter("history", lambda m: m["role"].isin("user", "assistant")
-                    & (F.coalesce(m["metadata"]["status"], F.lit("")) == "")
-                    & (F.coalesce(m["metadata"]["title"], F.lit("")) == "")
-                    & (TX.entry_text(m["content"], m["blocks"]) != ""))
-    out = hist.select("conv_id", F.inline(F.transform(keep, lambda m: F.struct(
-        m["turn"].alias("turn"), m["role"].alias("role"),
-        F.length(TX.entry_text(m["content"], m["blocks"])).alias("text_length")))))
-    return out
+    msgs = TX.real_messages(F.col("history"), extra=("turn",))
+    return hist.select("conv_id", F.inline(F.transform(msgs, lambda m: F.struct(
+        m["turn"].alias("turn"), m["role"].alias("role"), F.length(m["text"]).alias("text_length")))))
 
 
 # sessions / feedback from events ----------------------------------------------
