@@ -37,3 +37,13 @@ def filter_new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) ->
     matches missing (null-safe equality), as pandas ``isin`` does."""
     ex = existing.select(*keys).distinct()
     return df.join(ex, key_condition(df, ex, keys, null_safe=True), "left_anti")
+
+
+def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster's default parallelism (e.g. one small file with a single row
+    group).  Used before per-row heavy work (unpivot, pandas scoring).  On
+    large inputs the scan already has thousands of splits and this is a no-op,
+    so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqspark.operators.joins import ensure_parallel
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -49,14 +51,19 @@ def unpivot(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
             value: str = "double", name_col: str = "column_name",
             value_col: str = "value") -> DataFrame:
     """Long form ``(ids..., column_name, value)`` with every value cast to
-    ``value`` (one row per input row and column)."""
+    ``value`` (one row per input row and column).  Uses ``DataFrame.unpivot``
+    (an ``Expand`` node, inside whole-stage codegen)."""
     if value == "double":
         vals = [_norm_double(F.col(_q(c))) for c in cols]
     else:
         vals = [(_norm_double(F.col(_q(c))) if isinstance(_dtype(df, c), _FLOATING) else F.col(_q(c)))
                 .cast(value) for c in cols]
-    arr = F.array(*[F.struct(F.lit(c).alias(name_col), v.alias(value_col)) for c, v in zip(cols, vals)])
-    return df.select(*[F.col(_q(i)) for i in ids], F.inline(arr))
+    tmp = [f"_v{i}" for i in range(len(cols))]
+    src = ensure_parallel(df.select(*[F.col(_q(c)) for c in dict.fromkeys([*ids, *cols])]))
+    wide = src.select(*[F.col(_q(i)) for i in ids], *[v.alias(t) for v, t in zip(vals, tmp)])
+    long = wide.unpivot(list(ids), tmp, name_col, value_col)
+    names = F.create_map(*[x for t, c in zip(tmp, cols) for x in (F.lit(t), F.lit(c))])
+    return long.withColumn(name_col, names[F.col(name_col)])
 
 
 # A1 ------------------------------------------------------------------------
@@ -252,16 +259,22 @@ def run_profile(df: DataFrame, run: Column | str, cols: Sequence[str], exact: bo
     runs is profiled in one scan.  Formula for the C-tagged ratios is ours.
     """
     run_c = F.col(run) if isinstance(run, str) else run
-    base = df.select(run_c.alias("run_id"), *[F.col(_q(c)) for c in cols])
-    entries = []
+    base = ensure_parallel(df.select(run_c.alias("run_id"), *[F.col(_q(c)) for c in cols]))
+    vals, types = [], []
     for c in cols:
         dt = _dtype(df, c)
         num = isinstance(dt, _NUMERIC)
         sval = (_norm_double(F.col(_q(c))) if isinstance(dt, _FLOATING) else F.col(_q(c))).cast("string")
         nval = F.col(_q(c)).cast("double") if num else F.lit(None).cast("double")
-        entries.append(F.struct(F.lit(c).alias("column_name"), F.lit(dt.simpleString()).alias("data_type"),
-                                sval.alias("sval"), nval.alias("nval")))
-    long = base.select("run_id", F.inline(F.array(*entries)))
+        vals.append(F.struct(sval.alias("sval"), nval.alias("nval")))
+        types.append(dt.simpleString())
+    tmp = [f"_v{i}" for i in range(len(cols))]
+    wide = base.select("run_id", *[v.alias(t) for v, t in zip(vals, tmp)])
+    long = wide.unpivot(["run_id"], tmp, "_c", "_v")
+    names = F.create_map(*[x for t, c in zip(tmp, cols) for x in (F.lit(t), F.lit(c))])
+    dtypes = F.create_map(*[x for t, d in zip(tmp, types) for x in (F.lit(t), F.lit(d))])
+    long = long.select("run_id", names[F.col("_c")].alias("column_name"), dtypes[F.col("_c")].alias("data_type"),
+                       F.col("_v.sval").alias("sval"), F.col("_v.nval").alias("nval"))
     distinct = F.count_distinct("sval") if exact else F.approx_count_distinct("sval")
     agg = long.groupBy("run_id", "column_name", "data_type").agg(
         F.count(F.lit(1)).alias("row_count"),
