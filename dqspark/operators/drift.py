@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.exprs import (
+    py_strip,
     SEVERITY_RANK, abs_diff, highest_severity, relative_change_pct, safe_float, severity,
     severity_rank, validate_thresholds,
 )
@@ -269,7 +270,7 @@ def audit_suppressions(req: DataFrame) -> DataFrame:
     issues = F.array_compact(F.array(
         F.when(~F.coalesce(mt.isin(*METRIC_TYPES), F.lit(False)), F.lit("unknown metric type")),
         F.when(~F.coalesce(F.col("suppress").isin(0, 1), F.lit(False)), F.lit("suppress must be 0 or 1")),
-        F.when(F.coalesce(F.trim(item), F.lit("")) == "", F.lit("item is required")),
+        F.when(F.coalesce(py_strip(item), F.lit("")) == "", F.lit("item is required")),
         F.when((mt == "ROW_COUNT") & (item != GENERIC_ITEM_NAMES["ROW_COUNT"]),
                F.lit("ROW_COUNT applies to item 'Row Count'")),
         F.when((mt == "TIME") & (item != GENERIC_ITEM_NAMES["TIME"]),

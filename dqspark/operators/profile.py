@@ -21,6 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from dqspark.functions.exprs import py_strip
 from pyspark.sql import types as T
 
 from dqspark.operators.joins import ensure_parallel
@@ -279,7 +281,7 @@ def run_profile(df: DataFrame, run: Column | str, cols: Sequence[str], exact: bo
     agg = long.groupBy("run_id", "column_name", "data_type").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("sval").alias("non_null"),
-        F.count_if(F.trim(F.col("sval")) == "").alias("empty_count"),
+        F.count_if(py_strip(F.col("sval")) == "").alias("empty_count"),
         distinct.alias("unique_cnt"),
         F.min("nval").alias("min_value"),
         F.max("nval").alias("max_value"),

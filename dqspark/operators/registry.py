@@ -17,9 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 
-from dqspark.functions.exprs import infer_market, infer_project, normalize_name
+from dqspark.functions.exprs import infer_market, infer_project, normalize_name, py_strip
 from dqspark.operators.joins import bounded_broadcast, is_bounded
 
 
@@ -42,7 +43,7 @@ def filter_name_contains(df: DataFrame, col: str, needle: str | None) -> DataFra
 def distinct_nonblank(df: DataFrame, col: str) -> DataFrame:
     """Distinct, non-null, non-blank values, sorted."""
     c = F.col(col)
-    return df.select(c).where(c.isNotNull() & (F.trim(c) != "")).distinct().orderBy(col)
+    return df.select(c).where(c.isNotNull() & (py_strip(c) != "")).distinct().orderBy(col)
 
 
 # S5 ------------------------------------------------------------------------
@@ -104,7 +105,7 @@ def bu_hierarchy(units: DataFrame) -> DataFrame:
         .select(F.col("id").alias("market_id"), F.col("name").alias("market"))
     projects = units.where(F.col("subId").isNotNull()).select(
         F.col("subId").alias("market_id"),
-        F.when(F.instr("name", " - ") > 0, F.trim(F.element_at(F.split("name", " - ", 2), 2))).alias("project"))
+        F.when(F.instr("name", " - ") > 0, py_strip(F.element_at(F.split("name", " - ", 2), 2))).alias("project"))
     j = markets.join(projects, "market_id", "left")
     return j.groupBy("market_id", "market").agg(
         F.array_sort(F.collect_set("project")).alias("projects"),
@@ -114,7 +115,7 @@ def bu_hierarchy(units: DataFrame) -> DataFrame:
 def project_names(units: DataFrame) -> DataFrame:
     """All distinct project short names, sorted."""
     p = units.where(F.col("subId").isNotNull() & (F.instr(F.coalesce("name", F.lit("")), " - ") > 0)) \
-        .select(F.trim(F.element_at(F.split("name", " - ", 2), 2)).alias("project"))
+        .select(py_strip(F.element_at(F.split("name", " - ", 2), 2)).alias("project"))
     return p.distinct().orderBy("project")
 
 
@@ -156,7 +157,7 @@ def suggest_business_unit(requests: DataFrame, units: DataFrame) -> DataFrame:
 def parse_object_path(path, schemes: Sequence[str] = ("s3://",)) -> list[Column]:
     """[schema (parent folder), table (file name without its last extension),
     error] of an object path; other schemes or fewer than 2 segments -> error."""
-    p = F.trim(_c(path))
+    p = py_strip(_c(path))
     ok_scheme = None
     rest = None
     for s in schemes:
@@ -193,7 +194,7 @@ def resolve_connection(spark: SparkSession, paths: DataFrame, connections: DataF
     if not is_bounded(lens, max_lengths):
         raise ValueError(f"more than {max_lengths} distinct location lengths")
     lengths = sorted(r["len"] for r in lens.collect())
-    norm = F.lower(F.regexp_replace(F.trim(F.col(path_col)), "/+$", ""))
+    norm = F.lower(F.regexp_replace(py_strip(F.col(path_col)), "/+$", ""))
     base = paths.select("*", norm.alias("_norm"), *parse_object_path(F.col(path_col), schemes))
     cand = base.select("*", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("_len")) \
         .where(F.length("_norm") >= F.col("_len")) \
@@ -253,7 +254,7 @@ def domain_distribution(mapping: DataFrame, col: str = "Data Domain") -> DataFra
 
 def subdomain_codes(c) -> Column:
     """Comma list -> trimmed non-empty codes."""
-    return F.filter(F.transform(F.split(_c(c), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(c), ","), lambda x: py_strip(x)), lambda x: x != "")
 
 
 def domain_votes(matches: DataFrame, keys: Sequence[str] = ("target_id",), domain_col: str = "Data Domain",

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.functions.exprs import vote_from_label
+from dqspark.functions.exprs import py_strip, vote_from_label
 
 # --------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -96,7 +96,7 @@ def latest_vote(feedback: DataFrame, keys: Sequence[str] = ("app_user", "assista
                     F.struct(F.col(ts), F.col("feedback_id")))
     g = f.groupBy(*keys).agg(last.alias("_l"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"),
                              F.count(F.lit(1)).alias("n_votes"))
-    c = F.trim(F.col("_l.comment"))
+    c = py_strip(F.col("_l.comment"))
     return g.select(*keys, F.col("_l.vote").alias("vote"), F.when(c != "", c).alias("comment"),
                     "created_at", "updated_at", "n_votes")
 
@@ -109,7 +109,7 @@ def route_feedback(events: DataFrame, label: str = "label") -> DataFrame:
     v = events.withColumn("vote", vote_from_label(F.col(label))).where(F.col("vote").isNotNull())
     resolvable = F.startswith(F.coalesce(F.col("assistant_message_id"), F.lit("")), F.lit(RESPONSE_PREFIX))
     return v.withColumn("route", F.when(resolvable, "resolvable").otherwise("unresolved")) \
-        .withColumn("comment", F.trim("comment")) \
+        .withColumn("comment", py_strip("comment")) \
         .withColumn("response_content", F.when(~resolvable, F.substring("response_content", 1,
                                                                          MAX_UNRESOLVED_CONTENT)))
 

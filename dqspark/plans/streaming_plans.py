@@ -185,7 +185,7 @@ SELECT app_user, assistant_message_id, arg_max(vote, (ts, feedback_id)) AS vote,
 FROM f WHERE vote IS NOT NULL GROUP BY ALL""")
 def stream_latest_vote(spark, sf):
     """ST4: the latest vote per (user, message) maintained incrementally."""
-    from dqspark.functions.exprs import vote_from_label
+    from dqspark.functions.exprs import py_strip, vote_from_label
     from dqspark.plans.traces_plans import LABELS
     ev = events_stream(spark, sf)
     lab = None
@@ -196,7 +196,7 @@ def stream_latest_vote(spark, sf):
                    vote_from_label(lab).alias("vote"),
                    F.concat(F.lit("response-"), (F.col("user_id") % 100).cast("string"), F.lit("-"),
                             (F.col("event_id") % 4 * 2 + 1).cast("string")).alias("assistant_message_id"),
-                   F.when(F.col("value") > 400, F.lit(None)).otherwise(F.trim(F.col("props"))).alias("comment"), "ts") \
+                   F.when(F.col("value") > 400, F.lit(None)).otherwise(py_strip(F.col("props"))).alias("comment"), "ts") \
         .where(F.col("vote").isNotNull())
     out = ST.run_update(ST.stream_latest_vote(fb), spark, "stream_latest_vote", ["app_user", "assistant_message_id"])
     return out.select("app_user", "assistant_message_id", "vote", "comment",

@@ -375,12 +375,12 @@ def text_helpers_pages(spark, sf):
                     X.resolve_cluster(F.col("url")).alias("cluster"))
 
 
-@register("merge_descriptions", f"""
+@register("merge_descriptions", rf"""
 SELECT conv_id, turn, 'Investigation ' || turn || CASE WHEN d = '' THEN ''
-   WHEN starts_with(d, chr(10)) THEN d ELSE chr(10) || chr(10) || trim(d) END AS description,
+   WHEN starts_with(d, chr(10)) THEN d ELSE chr(10) || chr(10) || regexp_replace(d, '^\s+|\s+$', '', 'g') END AS description,
   CASE WHEN turn % 3 = 0 THEN 'error' WHEN turn % 3 = 1 THEN 'interrupted' ELSE 'completed' END AS status
 FROM (SELECT conv_id, turn, CASE WHEN position('{X.DESCRIPTION_MARKER}' IN o) > 0
-        THEN rtrim(split_part(o, '{X.DESCRIPTION_MARKER}', 1)) ELSE o END AS d
+        THEN regexp_replace(split_part(o, '{X.DESCRIPTION_MARKER}', 1), '\s+$', '') ELSE o END AS d
       FROM (SELECT conv_id, turn, coalesce(CASE WHEN turn % 2 = 0 THEN text || chr(10) || '{X.DESCRIPTION_MARKER}' || chr(10) || 'old log' ELSE text END, '') AS o
             FROM conversations))""")
 def merge_descriptions(spark, sf):

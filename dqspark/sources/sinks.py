@@ -15,9 +15,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 
-from dqspark.functions.exprs import stringify
+from dqspark.functions.exprs import py_strip, stringify
 
 
 def _q(c: str) -> str:
@@ -203,7 +204,7 @@ def upsert_sessions(target: DataFrame, incoming: DataFrame, as_of: Column | None
     default), app_user, history, turn_count = size(history), updated_at."""
     now = as_of if as_of is not None else F.current_timestamp()
     inc = incoming.select(
-        F.lower(F.trim(F.coalesce(F.col("region"), F.lit(default_region)))).alias("region"),
+        F.lower(py_strip(F.coalesce(F.col("region"), F.lit(default_region)))).alias("region"),
         "session_id", "app_user", "conversation_history",
         F.size("conversation_history").alias("turn_count"), now.alias("updated_at"))
     cols = ["region", "session_id", "app_user", "conversation_history", "turn_count", "updated_at"]
@@ -223,7 +224,7 @@ def upsert_turns(target: DataFrame, incoming: DataFrame, as_of: Column | None =
     now = as_of if as_of is not None else F.current_timestamp()
     inc = incoming.where(F.col("status").isin(*TURN_STATUSES)).withColumn(
         "duration_ms", F.greatest(F.col("duration_ms").cast("int"), F.lit(0))) \
-        .withColumn("region", F.lower(F.trim(F.coalesce("region", F.lit("apac"))))) \
+        .withColumn("region", F.lower(py_strip(F.coalesce("region", F.lit("apac"))))) \
         .withColumn("completed_at", now)
     return upsert(target, inc, ["turn_id"], target.columns, update_cols=TURN_MUTABLE)
 
