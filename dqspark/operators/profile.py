@@ -85,7 +85,7 @@ def profile_table(df: DataFrame, table_name: str | None = None) -> DataFrame:
 
 # A2 ------------------------------------------------------------------------
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                    value_type: str = "double") -> DataFrame:
+                    value_type: str = "double", rsd: float = 0.01) -> DataFrame:
     """One row per column: row_count, null_count, distinct_count (non-null),
     min_value, max_value, null_fraction_ref, null_ratio.
 
@@ -99,7 +99,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         if bad:
             raise ValueError(f"value_type='double' needs numeric columns, got {bad}")
     long = unpivot(df, cols, value=value_type)
-    distinct = (F.count_distinct("value") if exact else F.approx_count_distinct("value"))
+    distinct = (F.count_distinct("value") if exact else F.approx_count_distinct("value", rsd))
     agg = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("value").alias("non_null_count"),
@@ -252,7 +252,8 @@ def normalize_topn(records: DataFrame) -> DataFrame:
 
 
 # A9 ------------------------------------------------------------------------
-def run_profile(df: DataFrame, run: Column | str, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def run_profile(df: DataFrame, run: Column | str, cols: Sequence[str], exact: bool = True,
+                rsd: float = 0.01) -> DataFrame:
     """Per (run_id, column): row_count, null/empty/filled percent (0-100),
     unique_cnt, unique_ratio (unique_cnt / row_count, a fraction), numeric
     min/max/mean (numeric columns only) and the column's data type.
@@ -277,7 +278,7 @@ def run_profile(df: DataFrame, run: Column | str, cols: Sequence[str], exact: bo
     dtypes = F.create_map(*[x for t, d in zip(tmp, types) for x in (F.lit(t), F.lit(d))])
     long = long.select("run_id", names[F.col("_c")].alias("column_name"), dtypes[F.col("_c")].alias("data_type"),
                        F.col("_v.sval").alias("sval"), F.col("_v.nval").alias("nval"))
-    distinct = F.count_distinct("sval") if exact else F.approx_count_distinct("sval")
+    distinct = F.count_distinct("sval") if exact else F.approx_count_distinct("sval", rsd)
     agg = long.groupBy("run_id", "column_name", "data_type").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("sval").alias("non_null"),

@@ -171,8 +171,8 @@ def prune_missing(target: DataFrame, incoming: DataFrame, group_cols: Sequence[s
         for q in patterns:                # null pattern of incoming tuples
             on = list(group_cols) + [c for c in rest if c not in p and c not in q]
             inc_q = only_pattern(inc, q).select(*on).distinct()
-            doomed = doomed.join(inc_q, on, "left_anti")
-        kept = only_pattern(touched, p).exceptAll(doomed)
+            doomed = doomed.join(inc_q, on, "left_anti").select(*touched.columns)   # keep column order
+        kept = only_pattern(touched, p).exceptAll(doomed)                           # (positional)
         survivors = kept if survivors is None else survivors.unionByName(kept)
     return untouched.unionByName(survivors)
 
