@@ -176,7 +176,7 @@ def _dupe_keyed(df: DataFrame, include: Sequence[str], digest: bool = False):
         joined = F.concat_ws("\u0001", *[F.coalesce(F.col(_q(c)).cast("string"), F.lit("\u0000"))
                                          for c in include])
         keyed = df.select(F.sha2(joined, 256).alias("group_key"),
-                          F.length(joined).alias("key_length"), *df.columns)
+                          F.length(joined).cast("long").alias("key_length"), *df.columns)
         keys = ["group_key", "key_length"]
     else:
         keyed, keys = df, include
@@ -213,7 +213,7 @@ def topn_bottomn(df: DataFrame, cols: Sequence[str], n: int = 5) -> DataFrame:
            .withColumn("profile_type", F.lit("TOPN")))
     bot = (vc.withColumn("rank", F.row_number().over(bot_w)).where(F.col("rank") <= n)
            .withColumn("profile_type", F.lit("BOTTOMN")))
-    return top.unionByName(bot).select("column_name", "profile_type", "rank", "value",
+    return top.unionByName(bot).select("column_name", "profile_type", F.col("rank").cast("long").alias("rank"), "value",
                                        F.col("n").alias("count"))
 
 
@@ -328,7 +328,7 @@ def shape_check(df: DataFrame, cols: Sequence[str], sensitivity: float = 0.001,
     ranked = (counts.withColumn("shape_rank", F.row_number().over(w_rank))
               .where(F.col("shape_rank") <= max_per_col)
               .join(totals, "column_name"))
-    return ranked.select("column_name", "shape_rank", "shape", "n",
+    return ranked.select("column_name", F.col("shape_rank").cast("long").alias("shape_rank"), "shape", "n",
                          (F.col("n") / F.col("total")).alias("share"),
                          ((F.col("n") / F.col("total")) < sensitivity).alias("is_rare"))
 

@@ -45,8 +45,8 @@ def sql_rule_rates(tbl="lineitem", rules=LINEITEM_RULES):
         flt = r.get("filterQuery") or "TRUE"
         dim = R.DIMENSIONS.get(int(r.get("dimId") or 0))
         parts.append(f"""SELECT '{r["ruleNm"]}' AS rule_name, {int(r.get("dimId") or 0)} AS dim_id,
-  '{dim}' AS dimension, {int(r.get("points", 1))} AS points, {float(r.get("perc", 1))} AS perc,
-  {float(r.get("tolerance", 0))} AS tolerance,
+  '{dim}' AS dimension, {int(r.get("points", 1))} AS points, {float(r.get("perc", 1))}::DOUBLE AS perc,
+  {float(r.get("tolerance", 0))}::DOUBLE AS tolerance,
   count(*) FILTER (WHERE coalesce(({flt}), FALSE) AND coalesce(({_sql_cond(r)}), FALSE)) AS breaks,
   count(*) FILTER (WHERE coalesce(({flt}), FALSE)) AS total FROM {tbl}""")
     body = "\nUNION ALL\n".join(parts)

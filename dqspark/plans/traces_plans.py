@@ -60,7 +60,7 @@ def refusal_flags(spark, sf):
     """F12 over every message (some prefixed / replaced by refusal phrases)."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", _refusal_text().alias("t"))
     looks, pure, stripped = TX.classify_refusal(F.col("t"))
-    return c.select("conv_id", "turn", looks, pure, F.length(stripped).alias("stripped_length"))
+    return c.select("conv_id", "turn", looks, pure, F.length(stripped).cast("long").alias("stripped_length"))
 
 
 # E17 -----------------------------------------------------------------------
@@ -84,8 +84,8 @@ def redact_props(spark, sf):
     """E17 (flat form): credential-like keys of tool inputs redacted."""
     ev = table(spark, sf, "events").select("event_id", _tool_input().alias("j"))
     m = X.redact_flat_json(F.col("j"))
-    return ev.select("event_id", F.size(m).alias("n_keys"),
-                     F.size(F.filter(F.map_values(m), lambda v: v == X.REDACTED)).alias("n_redacted"),
+    return ev.select("event_id", F.size(m).cast("long").alias("n_keys"),
+                     F.size(F.filter(F.map_values(m), lambda v: v == X.REDACTED)).cast("long").alias("n_redacted"),
                      m["k"].alias("k"))
 
 
@@ -127,7 +127,7 @@ def extract_responses(spark, sf):
     answer = F.concat(F.lit("I cannot provide a full answer. ```json\n"),
                       F.to_json(F.struct(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"))),
                       F.lit("\n```"))
-    return c.select("conv_id", "turn", F.length(X.extract_text(resp)).alias("text_length"),
+    return c.select("conv_id", "turn", F.length(X.extract_text(resp)).cast("long").alias("text_length"),
                     F.get_json_object(X.extract_json_text(answer), "$.turn").cast("long").alias("json_turn"))
 
 
@@ -154,7 +154,7 @@ def real_messages(spark, sf):
     hist = hist.select("conv_id", F.transform("h", lambda x: x["e"]).alias("history"))
     msgs = TX.real_messages(F.col("history"), extra=("turn",))
     return hist.select("conv_id", F.inline(F.transform(msgs, lambda m: F.struct(
-        m["turn"].alias("turn"), m["role"].alias("role"), F.length(m["text"]).alias("text_length")))))
+        m["turn"].alias("turn"), m["role"].alias("role"), F.length(m["text"]).cast("long").alias("text_length")))))
 
 
 # sessions / feedback from events ----------------------------------------------
@@ -291,8 +291,10 @@ def feedback_evaluation(spark, sf):
     """J14 + W2: votes with request, response, timing and ordered tool calls."""
     turns = turns_from_conversations(table(spark, sf, "conversations"))
     ev = TR.feedback_evaluation(accepted_votes(spark, sf), turns, tools_from_turns(turns))
-    return ev.select("app_user", "assistant_message_id", "vote", F.length("user_message").alias("request_length"),
-                     F.length("assistant_response").alias("response_length"), "duration_ms", "n_tools",
+    return ev.select("app_user", "assistant_message_id", "vote",
+                     F.length("user_message").cast("long").alias("request_length"),
+                     F.length("assistant_response").cast("long").alias("response_length"),
+                     F.col("duration_ms").cast("long").alias("duration_ms"), "n_tools",
                      "tool_sequence")
 
 
