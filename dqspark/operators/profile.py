@@ -343,3 +343,38 @@ def rare_shapes(df: DataFrame, cols: Sequence[str], sensitivity: float = 0.001,
     return (counts.join(totals, "column_name")
             .where(F.col("n") / F.col("total") < sensitivity)
             .select("column_name", "shape", "n", (F.col("n") / F.col("total")).alias("share")))
+
+
+# Q11 -----------------------------------------------------------------------
+def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, accuracy: int = 10000) -> DataFrame:
+    """Per numeric column the IQR fences ``[q1 - k*IQR, q3 + k*IQR]`` from
+    ``percentile_approx`` (a bounded quantile sketch per column, one scan, no
+    value shuffle).  The outlier layer's algorithm is ours: the reference only
+    names the layer."""
+    long = unpivot(df, cols, value="double").where(F.col("value").isNotNull())
+    q = long.groupBy("column_name").agg(F.percentile_approx("value", [0.25, 0.75], accuracy).alias("q"))
+    iqr = F.col("q")[1] - F.col("q")[0]
+    return q.select("column_name", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"),
+                    (F.col("q")[0] - k * iqr).alias("lower"), (F.col("q")[1] + k * iqr).alias("upper"))
+
+
+def outlier_check(df: DataFrame, cols: Sequence[str], k: float = 1.5, accuracy: int = 10000) -> DataFrame:
+    """Outlying values per column with their counts: the (one row per column)
+    bounds are broadcast to the unpivoted values, counts are pre-aggregated
+    per (column, value)."""
+    bounds = outlier_bounds(df, cols, k, accuracy)
+    long = unpivot(df, cols, value="double").where(F.col("value").isNotNull())
+    hits = long.join(F.broadcast(bounds), "column_name") \
+        .where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
+    return hits.groupBy("column_name", "value", "lower", "upper").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pattern_check(df: DataFrame, key: str, dependent: str, min_share: float = 0.01) -> DataFrame:
+    """Rare value pairs: for each ``key`` value, ``dependent`` values whose
+    share within that key is below ``min_share`` (pair counts pre-aggregated,
+    key totals from the pair counts - no second scan)."""
+    pairs = df.groupBy(F.col(_q(key)).alias("key"), F.col(_q(dependent)).alias("value")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    totals = pairs.groupBy("key").agg(F.sum("n").alias("key_total"))
+    return pairs.join(totals, "key").withColumn("share", F.col("n") / F.col("key_total")) \
+        .where(F.col("share") < min_share)

@@ -158,3 +158,23 @@ RUN_PROFILE_SELECT = """run_id, column_name, data_type, row_count, null_count, e
 @register("run_profile_orders", f"SELECT {RUN_PROFILE_SELECT} FROM ({sql_run_profile_orders()})")
 def run_profile_orders(spark, sf):
     return P.run_profile(table(spark, sf, "orders"), orders_run(), ORDERS_COLS)
+
+
+# Q11 -----------------------------------------------------------------------
+@register("outliers_events")
+def outliers_events(spark, sf):
+    """Q11 outlier layer: IQR fences from quantile sketches (approximate by
+    design; rows-only check) over event values and order prices."""
+    a = P.outlier_check(table(spark, sf, "events"), ["value"])
+    b = P.outlier_check(table(spark, sf, "orders"), ["o_totalprice"])
+    return a.unionByName(b)
+
+
+@register("patterns_orders", """
+WITH p AS (SELECT o_orderpriority AS key, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL),
+t AS (SELECT key, sum(n) AS key_total FROM p GROUP BY key)
+SELECT p.key, value, n, key_total::BIGINT AS key_total, n / key_total AS share FROM p JOIN t USING (key)
+WHERE n / key_total < 0.34""")
+def patterns_orders(spark, sf):
+    """Q11 pattern layer: order statuses rare within an order priority."""
+    return P.pattern_check(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", min_share=0.34)

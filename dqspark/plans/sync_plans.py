@@ -159,3 +159,50 @@ def line_diff_conversations(spark, sf):
     conv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
     d = conv.select("conv_id", "turn", F.col("text").alias("b"), _after_text(F.col("text")).alias("a"))
     return A.line_diff(d, ["conv_id", "turn"], "b", "a")
+
+
+# S1 S2 U5 ------------------------------------------------------------------
+@register("read_part_columns", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def read_part_columns(spark, sf):
+    """A column subset of a table (pruned scan)."""
+    from dqspark.sources.tables import read_table
+    return read_table(spark, f"{sf}/part.parquet", ["p_partkey", "p_name", "p_retailprice"])
+
+
+@register("sample_orders", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50")
+def sample_orders(spark, sf):
+    """A deterministic sample (limit clamped to 50, ordered by key)."""
+    from dqspark.sources.tables import sample_table
+    return sample_table(table(spark, sf, "orders"), limit=500, order_by=["o_orderkey"])
+
+
+@register("reconcile_orders", """
+WITH s AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders),
+t AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW'
+      UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT *, 'source_only' AS side FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM t)
+UNION ALL SELECT *, 'target_only' AS side FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM s)""")
+def reconcile_orders(spark, sf):
+    """Orders missing from / duplicated in a downstream copy."""
+    from dqspark.sources.tables import reconcile_sources
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    copy = o.where(F.col("o_orderpriority") != "5-LOW").unionByName(o.where(F.col("o_orderpriority") == "1-URGENT"))
+    return reconcile_sources(o, copy)
+
+
+@register("list_table_files")
+def list_table_files(spark, sf):
+    """Object listing of the table folder (metadata only), 10 keys."""
+    from dqspark.sources.tables import list_objects
+    return list_objects(spark, sf, max_keys=10, glob="*.parquet")
+
+
+@register("sample_csv_customers")
+def sample_csv_customers(spark, sf):
+    """S3: the customer table exported as CSV to the shared scratch folder,
+    then sampled (header, permissive, byte budget)."""
+    from dqspark.session import scratch_path
+    from dqspark.sources.tables import sample_csv
+    path = scratch_path(spark, "customer-csv")
+    table(spark, sf, "customer").write.option("header", True).csv(path)
+    return sample_csv(spark, path, limit=20, max_bytes=4096)
