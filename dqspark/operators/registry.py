@@ -124,9 +124,9 @@ def dataset_business_unit(datasets: DataFrame, mapping: DataFrame, units: DataFr
     """First mapping row per dataset (by mapping id), then its unit, parsed
     into market / project / CDE; no mapping -> nulls."""
     from dqspark.functions.exprs import parse_business_unit_cols
-    w = Window.partitionBy("dataset").orderBy("id")
-    first = mapping.withColumn("_rn", F.row_number().over(w)).where("_rn = 1") \
-        .select("dataset", F.col("id").alias("mapping_id"), "businessUnitId")
+    # first mapping row per dataset as an aggregate (partial, skew-safe)
+    first = mapping.groupBy("dataset").agg(F.min_by(F.struct("id", "businessUnitId"), F.col("id")).alias("_f")) \
+        .select("dataset", F.col("_f.id").alias("mapping_id"), F.col("_f.businessUnitId").alias("businessUnitId"))
     u = units.select(F.col("id").alias("businessUnitId"), F.col("name").alias("business_unit"))
     j = datasets.join(first, "dataset", "left").join(u, "businessUnitId", "left")
     return j.select(*datasets.columns, "mapping_id", "business_unit",

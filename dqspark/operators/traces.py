@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.exprs import py_strip, vote_from_label
+from dqspark.operators.windows import run_ids
 
 # --------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -34,15 +35,13 @@ def merge_consecutive_roles(messages: DataFrame, conv: str = "conv_id", turn: st
                             sep: str = "\n\n") -> DataFrame:
     """Roles other than user/assistant become user; empty messages are
     dropped; adjacent messages with the same role merge (gaps-and-islands:
-    ``lag`` -> running ``sum`` -> ``groupBy(conv, island)``); a conversation
+    blocked run numbering -> ``groupBy(conv, island)``); a conversation
     that starts with the assistant gets a user "Continue." first.
     Output: conv_id, seq (0 for the prepended message), role, text, n_parts."""
     m = messages.where(F.coalesce(F.col("text"), F.lit("")) != "").select(
         conv, turn, F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("user").alias("role"),
         "text")
-    w = Window.partitionBy(conv).orderBy(turn)
-    m = m.withColumn("_new", F.when(F.lag("role").over(w).eqNullSafe(F.col("role")), 0).otherwise(1))
-    m = m.withColumn("seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = run_ids(m, conv, turn, "role", out="seq")          # skew-safe gaps-and-islands
     merged = m.groupBy(conv, "seq", "role").agg(_ordered_join("text", turn, sep).alias("text"),
                                                F.count(F.lit(1)).alias("n_parts"))
     lead = merged.where((F.col("seq") == 1) & (F.col("role") == "assistant")).select(
@@ -61,11 +60,10 @@ def feedback_target(messages: DataFrame, clicks: DataFrame, conv: str = "conv_id
       text that has a ``response-`` id; otherwise null.
     ``messages``: conv_id, turn, role, msg_id, text; ``clicks``: conv_id, turn.
     """
-    w = Window.partitionBy(conv).orderBy(turn)
     is_asst = F.col("role") == "assistant"
-    m = messages.withColumn("_brk", F.when(is_asst & F.lag("role").over(w).eqNullSafe(F.lit("assistant")), 0)
-                            .otherwise(1))
-    m = m.withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # consecutive assistant messages share a run; every other message is its own run
+    runv = F.when(is_asst, F.lit("assistant")).otherwise(F.concat(F.lit("#"), F.col(turn).cast("string")))
+    m = run_ids(messages.withColumn("_rv", runv), conv, turn, "_rv", out="_run").drop("_rv")
     resp = F.startswith(F.coalesce(F.col("msg_id"), F.lit("")), F.lit(RESPONSE_PREFIX))
     run_target = m.where(is_asst & resp).groupBy(conv, "_run").agg(F.max_by("msg_id", turn).alias("_run_tgt"))
     by_text = m.where(is_asst & resp).groupBy(conv, "text").agg(F.max_by("msg_id", turn).alias("_text_tgt"))
@@ -79,10 +77,17 @@ def feedback_target(messages: DataFrame, clicks: DataFrame, conv: str = "conv_id
 # W1 ------------------------------------------------------------------------
 def latest_session(history: DataFrame, by: Sequence[str] = ("app_user",), region: str | None = None) -> DataFrame:
     """Most recently updated session per user (optionally within a region);
-    ties broken by session_id."""
+    ties broken by session_id.
+
+    Aggregations instead of a per-user window: the latest time per user is a
+    partial aggregate (a user with a huge history is reduced map-side), then
+    the rows at that time (normally one per user) pick the smallest session."""
     h = history if region is None else history.where(F.col("region") == region.strip().lower())
-    w = Window.partitionBy(*by).orderBy(F.col("updated_at").desc(), F.col("session_id").asc())
-    return h.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    cols = [c for c in h.columns if c not in by]
+    mx = h.groupBy(*by).agg(F.max("updated_at").alias("_mx"))
+    at_max = h.join(mx, [*by]).where(F.col("updated_at") == F.col("_mx")).drop("_mx")
+    best = at_max.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("session_id")).alias("_b"))
+    return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 
 # W7 ------------------------------------------------------------------------

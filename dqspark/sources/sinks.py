@@ -46,6 +46,21 @@ def _any_null(cols: Sequence[str]) -> Column:
     return cond
 
 
+def _one_per_key(df: DataFrame, keys: Sequence[str], cols: Sequence[str], order_by, first: bool) -> DataFrame:
+    """One row per key: the first (or last) by ``order_by``, as a
+    ``min_by``/``max_by`` aggregate - partial aggregation collapses a hot key
+    map-side instead of sorting all its rows in one window task."""
+    if order_by is None:
+        return df.dropDuplicates(list(keys)).select(*cols)
+    o = F.col(order_by) if isinstance(order_by, str) else order_by
+    rest = [c for c in cols if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    pick = (F.min_by if first else F.max_by)(F.struct(*[F.col(_q(c)) for c in rest]), o)
+    return df.groupBy(*keys).agg(pick.alias("_p")).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in rest]) \
+        .select(*cols)
+
+
 # S6 ------------------------------------------------------------------------
 def insert_or_ignore(target: DataFrame, incoming: DataFrame, insert_cols: Sequence[str],
                      conflict_cols: Sequence[str], order_by: str | Column | None = None) -> DataFrame:
@@ -57,12 +72,7 @@ def insert_or_ignore(target: DataFrame, incoming: DataFrame, insert_cols: Sequen
     inc = with_columns(incoming, list(insert_cols) + extra, like=target)
     nullk = inc.where(_any_null(conflict_cols)).select(*insert_cols)
     keyed = inc.where(~_any_null(conflict_cols))
-    if order_by is not None:
-        w = Window.partitionBy(*conflict_cols).orderBy(order_by)
-        keyed = keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    else:
-        keyed = keyed.dropDuplicates(list(conflict_cols))
-    keyed = keyed.select(*insert_cols)
+    keyed = _one_per_key(keyed, conflict_cols, insert_cols, order_by, first=True)
     tk = target.select(*conflict_cols).where(~_any_null(conflict_cols)).distinct()
     new = keyed.join(tk, list(conflict_cols), "left_anti")
     return with_columns(target, insert_cols).unionByName(new).unionByName(nullk)
@@ -90,13 +100,7 @@ def upsert(target: DataFrame, incoming: DataFrame, key_cols: Sequence[str], all_
     if not upd:
         return insert_or_ignore(target, incoming, all_cols, key_cols, order_by)
     inc = with_columns(incoming, all_cols, like=target)
-    if order_by is not None:
-        o = F.col(order_by) if isinstance(order_by, str) else order_by
-        w = Window.partitionBy(*key_cols).orderBy(o.desc())
-        inc_k = inc.where(~_any_null(key_cols)).withColumn("_rn", F.row_number().over(w)) \
-            .where("_rn = 1").drop("_rn")
-    else:
-        inc_k = inc.where(~_any_null(key_cols)).dropDuplicates(list(key_cols))
+    inc_k = _one_per_key(inc.where(~_any_null(key_cols)), key_cols, all_cols, order_by, first=False)
     inc_null = inc.where(_any_null(key_cols))
     t = with_columns(target, all_cols).alias("t")
     i = inc_k.alias("i")
@@ -154,7 +158,8 @@ def prune_missing(target: DataFrame, incoming: DataFrame, group_cols: Sequence[s
     inc = incoming.where(~_any_null(group_cols)).select(*group_cols, *rest)
     if len(rest) == 1:
         inc = inc.where(F.col(_q(rest[0])).isNotNull())
-    groups = inc.select(*group_cols).distinct()
+    from dqspark.operators.joins import bounded_broadcast
+    groups = bounded_broadcast(inc.select(*group_cols).distinct())   # few groups: broadcast after a size check
     touched = target.join(groups, list(group_cols), "left_semi")
     untouched = target.join(groups, list(group_cols), "left_anti")
     patterns = [frozenset(p) for r in range(len(rest) + 1) for p in itertools.combinations(rest, r)]

@@ -208,3 +208,26 @@ def test_search_limits_and_wildcards(spark):
     d = rows(G.detect_cluster(spark.createDataFrame([("s", "t1"), ("s", "zz")], "table_schema string, table_name string"),
                               cat), ["table_name"])
     assert [(r["table_name"], r["cluster"]) for r in d] == [("t1", "local"), ("zz", None)]
+
+
+def test_run_ids_across_blocks(spark):
+    import random
+    from dqspark.operators.windows import run_ids
+    rnd = random.Random(7)
+    data = []
+    for conv in range(4):
+        for turn in range(rnd.randint(1, 40)):
+            if rnd.random() < 0.2:
+                continue                                   # gaps in the order column
+            data.append((conv, turn, rnd.choice(["user", "assistant", None])))
+    df = spark.createDataFrame(data, "conv int, turn int, role string")
+    got = {(r["conv"], r["turn"]): r["run_id"] for r in rows(run_ids(df, "conv", "turn", "role", block=3))}
+    want = {}
+    for conv in range(4):
+        prev, run = object(), 0
+        for c, t, role in sorted(x for x in data if x[0] == conv):
+            if role != prev:
+                run += 1
+            prev = role
+            want[(c, t)] = run
+    assert got == want
