@@ -308,14 +308,24 @@ def _score_block(tg: pd.DataFrame, reg: pd.DataFrame, n: int, w_tok: float, w_ra
                  b_conn: float, b_schema: float) -> pd.DataFrame:
     """Exact top-n registry rows for each (distinct) target key of ``tg``.
 
-    Token overlap and bonuses are cheap and computed for every registry row.
-    The Ratcliff-Obershelp ratio (the expensive part) is bounded above by the
-    character-multiset ratio (difflib's ``quick_ratio``), computed for all
-    registry rows at once with numpy; exact ratios are computed in bound order
-    only while a row can still reach the current n-th best score, so the
-    result equals scoring every pair.
+    * Token overlap is vectorised: the registry's tokens form a boolean
+      incidence matrix, so a target's intersection sizes are one column sum.
+    * Targets sharing a dataset name (differing only in connection / schema)
+      share the overlap vector, the ratio upper bounds and the exact ratios.
+    * The Ratcliff-Obershelp ratio (the expensive part) is bounded above by
+      the character-multiset ratio (difflib's ``quick_ratio``); exact ratios
+      are computed in bound order only while a row can still reach the n-th
+      best score, so the result equals scoring every pair.
+    * Score = w_tok*J + w_ratio*R, then + b_conn, then + b_schema, in the
+      reference's order so rounding (and hence ties) match it.
     """
     reg_tokens = [py_tokens(d) | py_tokens(t) for d, t in zip(reg["dataset"], reg["table_nm"])]
+    vocab = {t: k for k, t in enumerate(sorted(set().union(*reg_tokens)))} if reg_tokens else {}
+    inc = np.zeros((len(reg_tokens), max(len(vocab), 1)), dtype=np.int32)
+    for r_i, toks in enumerate(reg_tokens):
+        for t in toks:
+            inc[r_i, vocab[t]] = 1
+    reg_sizes = inc.sum(axis=1).astype(float)
     reg_lower = [(d or "").lower() for d in reg["dataset"]]
     reg_len = np.array([len(x) for x in reg_lower], dtype=float)
     reg_cc = _char_counts(reg_lower) if w_ratio else None
@@ -323,38 +333,49 @@ def _score_block(tg: pd.DataFrame, reg: pd.DataFrame, n: int, w_tok: float, w_ra
     reg_db = np.array([(c or "").lower() for c in reg["db_nm"]], dtype=object)
     reg_names = np.array(reg["dataset"].astype(object))
     out = []
+    by_name: dict = {}
     for ds, tb, conn, db in zip(tg["dataset"], tg["table_nm"], tg["connectionName"], tg["db_nm"]):
-        tt = py_tokens(ds) | py_tokens(tb)
-        jac = np.array([(len(tt & rt) / len(tt | rt)) if (tt or rt) else 0.0 for rt in reg_tokens])
-        bonus = np.zeros(len(reg_lower))
-        if conn:
-            bonus = bonus + np.where(reg_conn == conn.lower(), b_conn, 0.0)
-        if db:
-            bonus = bonus + np.where(reg_db == db.lower(), b_schema, 0.0)
-        dl = (ds or "").lower()
-        if w_ratio == 0:
-            score = w_tok * jac + bonus
+        key = (ds, tb)
+        if key not in by_name:
+            tt = py_tokens(ds) | py_tokens(tb)
+            idx = [vocab[t] for t in tt if t in vocab]
+            inter = inc[:, idx].sum(axis=1).astype(float) if idx else np.zeros(len(reg_lower))
+            union = len(tt) + reg_sizes - inter
+            jac = np.where(union > 0, inter / np.maximum(union, 1), 0.0)
+            dl = (ds or "").lower()
+            if w_ratio:
+                common = np.minimum(reg_cc, _char_counts([dl])[0]).sum(axis=1)
+                tot = reg_len + len(dl)
+                ub_ratio = np.where(tot > 0, 2.0 * common / np.maximum(tot, 1), 1.0)
+            else:
+                ub_ratio = None
+            by_name[key] = (jac, dl, ub_ratio, {})
+        jac, dl, ub_ratio, ratios = by_name[key]
+        cb = np.where(reg_conn == conn.lower(), b_conn, 0.0) if conn else np.zeros(len(reg_lower))
+        sb = np.where(reg_db == db.lower(), b_schema, 0.0) if db else np.zeros(len(reg_lower))
+        if not w_ratio:
+            score = ((w_tok * jac + 0.0) + cb) + sb
         else:
-            inter = np.minimum(reg_cc, _char_counts([dl])[0]).sum(axis=1)
-            tot = reg_len + len(dl)
-            ub_ratio = np.where(tot > 0, 2.0 * inter / np.maximum(tot, 1), 1.0)
-            ub = w_tok * jac + w_ratio * ub_ratio + bonus
+            ub = ((w_tok * jac + w_ratio * ub_ratio) + cb) + sb + 1e-12
             order = np.argsort(-ub, kind="stable")
             score = np.full(len(reg_lower), -1.0)
             best: list[float] = []
             for i in order:
                 if len(best) >= n and ub[i] < best[n - 1]:
                     break
-                s = w_tok * jac[i] + w_ratio * sequence_ratio_py(dl, reg_lower[i]) + bonus[i]
-                score[i] = s
-                best.append(s)
+                r = ratios.get(i)
+                if r is None:
+                    r = ratios[i] = sequence_ratio_py(dl, reg_lower[i])
+                sc = ((w_tok * jac[i] + w_ratio * r) + cb[i]) + sb[i]
+                score[i] = sc
+                best.append(sc)
                 best.sort(reverse=True)
                 del best[n + 1:]
-        idx = np.lexsort((reg_names, -score))[:n]
-        for r, i in enumerate(idx, start=1):
+        idx_top = np.lexsort((reg_names, -score))[:n]
+        for rank, i in enumerate(idx_top, start=1):
             if score[i] < 0:
                 continue
-            out.append((ds, tb, conn, db, r, reg_names[i], round(float(score[i]), 3), float(score[i])))
+            out.append((ds, tb, conn, db, rank, reg_names[i], round(float(score[i]), 3), float(score[i])))
     return pd.DataFrame(out, columns=KEY_COLS + ["rank", "match_dataset", "similarity", "score"])
 
 
