@@ -206,22 +206,22 @@ def parse_profile_delta(json_df: DataFrame, json_col: str = "json") -> DataFrame
 def metrics_long(runs: DataFrame, dataset: str | Column = "dataset") -> DataFrame:
     """Run profile -> (dataset, run_id, item, metric_type, value) for the
     adaptive metrics NULL, EMPTY, CARDINALITY, MIN/MAX/MEAN VALUE (numeric
-    columns) and the dataset-level ROW_COUNT (item 'Row Count')."""
+    columns) and the dataset-level ROW_COUNT (item 'Row Count').
+
+    ROW_COUNT comes out of the same projection as the column metrics (every
+    column row carries the run's row count; the tiny metrics table is then
+    deduplicated), so the profiled table is scanned once."""
     ds = F.lit(dataset) if isinstance(dataset, str) and dataset not in runs.columns else (
         F.col(dataset) if isinstance(dataset, str) else dataset)
     base = runs.select(ds.alias("dataset"), "*") if "dataset" not in runs.columns else runs
-    per_col = base.select(
-        "dataset", "run_id", F.col("column_name").alias("item"),
-        F.inline(F.array(
-            F.struct(F.lit("NULL").alias("metric_type"), F.col("null_pct").cast("double").alias("value")),
-            *[F.struct(F.lit(m).alias("metric_type"), F.col(c).cast("double").alias("value"))
-              for m, c in (("EMPTY", "empty_pct"), ("CARDINALITY", "unique_cnt"), ("MIN VALUE", "min_value"),
-                           ("MAX VALUE", "max_value"), ("MEAN VALUE", "mean_value"))])))
-    per_col = per_col.where(F.col("value").isNotNull())
-    rows = (base.groupBy("dataset", "run_id").agg(F.max("row_count").cast("double").alias("value"))
-            .select("dataset", "run_id", F.lit(GENERIC_ITEM_NAMES["ROW_COUNT"]).alias("item"),
-                    F.lit("ROW_COUNT").alias("metric_type"), "value"))
-    return per_col.unionByName(rows)
+    per_col = [("NULL", "null_pct"), ("EMPTY", "empty_pct"), ("CARDINALITY", "unique_cnt"),
+               ("MIN VALUE", "min_value"), ("MAX VALUE", "max_value"), ("MEAN VALUE", "mean_value")]
+    entries = [F.struct(F.col("column_name").alias("item"), F.lit(m).alias("metric_type"),
+                        F.col(c).cast("double").alias("value")) for m, c in per_col]
+    entries.append(F.struct(F.lit(GENERIC_ITEM_NAMES["ROW_COUNT"]).alias("item"), F.lit("ROW_COUNT").alias("metric_type"),
+                            F.col("row_count").cast("double").alias("value")))
+    long = base.select("dataset", "run_id", F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    return long.groupBy("dataset", "run_id", "item", "metric_type").agg(F.max("value").alias("value"))
 
 
 def adaptive_check(metrics: DataFrame, lookback: int = 6, k: float = 2.0, min_runs: int = 3,

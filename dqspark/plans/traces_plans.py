@@ -6,7 +6,6 @@ and tool inputs from ``events``.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dqspark.functions import exprs as X
@@ -90,9 +89,17 @@ def redact_props(spark, sf):
 
 
 # A13 -----------------------------------------------------------------------
+def with_previous_text(conv):
+    """Previous message's text via an equi-join on (conv_id, turn - 1): turns
+    are consecutive, and a hash join on (conversation, turn) spreads a huge
+    conversation over many tasks (a per-conversation window would not)."""
+    prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("_prev_text"))
+    return conv.join(prev, ["conv_id", "turn"], "left")
+
+
 def _responses(conv):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    prev = F.lag("text").over(w)
+    conv = with_previous_text(conv)
+    prev = F.col("_prev_text")
     usage = F.when(F.col("turn") == 1, F.lit(None)).otherwise(F.struct(
         F.floor(F.length(F.coalesce(prev, F.lit(""))) / 4).cast("long").alias("input_tokens"),
         F.floor(F.length("text") / 4).cast("long").alias("output_tokens")))
@@ -196,8 +203,8 @@ def feedback_events(ev):
 
 
 def turns_from_conversations(conv):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return conv.withColumn("user_message", F.lag("text").over(w)).where(F.col("role") == "assistant").select(
+    return with_previous_text(conv).withColumnRenamed("_prev_text", "user_message") \
+        .where(F.col("role") == "assistant").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"),
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),
         F.concat(F.lit("user_"), F.col("conv_id").cast("string")).alias("app_user"),
