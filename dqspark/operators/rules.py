@@ -247,12 +247,12 @@ def plan_rule_changes(existing: DataFrame, payload: DataFrame, key: str = "ruleN
     """Match payload rules to existing ones by (dataset, name) or by
     ``old_rule_nm`` for renames; status new/update/rename/reject and
     ``requires_validation`` when the rule text changes (new rules count)."""
-    e = existing.select("dataset", F.col(key).alias("_ename"),
-                        *[F.col(c).alias(f"_old_{c}") for c in tracked])
+    e = existing.select(F.col("dataset").alias("_eds"), F.col(key).alias("_ename"),
+                        *[F.col(c).alias(f"_old_{c}") for c in tracked if c in existing.columns])
     p = payload.withColumn("_lookup", F.coalesce(F.col("old_rule_nm"), F.col(key)))
-    j = p.join(e, (p["dataset"] == e["dataset"]) & (p["_lookup"] == e["_ename"]), "left").drop(e["dataset"])
-    taken = existing.select("dataset", F.col(key).alias("_taken"))
-    j = j.join(taken, (j["dataset"] == taken["dataset"]) & (j[key] == taken["_taken"]), "left").drop(taken["dataset"])
+    j = p.join(e, (F.col("dataset") == F.col("_eds")) & (F.col("_lookup") == F.col("_ename")), "left")
+    taken = existing.select(F.col("dataset").alias("_tds"), F.col(key).alias("_taken"))
+    j = j.join(taken, (F.col("dataset") == F.col("_tds")) & (F.col(key) == F.col("_taken")), "left")
     renaming = F.col("old_rule_nm").isNotNull() & (F.col("old_rule_nm") != F.col(key))
     status = (F.when(F.col("old_rule_nm").isNotNull() & F.col("_ename").isNull(), "reject: unknown old name")
               .when(renaming & F.col("_taken").isNotNull(), "reject: new name taken")

@@ -190,10 +190,10 @@ CHANGE_LOG_COLUMNS = ["dataset", "region", "session_id", "dataset_category", "ch
 def change_log_rows(changes: DataFrame, changed_at: Column | None = None) -> DataFrame:
     """Project change records to the fixed change-history columns (missing ->
     null) plus ``changed_at``."""
-    out = with_columns(changes, CHANGE_LOG_COLUMNS)
     ts = changed_at if changed_at is not None else (
         F.col("changed_at") if "changed_at" in changes.columns else F.current_timestamp())
-    return out.select(*CHANGE_LOG_COLUMNS, ts.alias("changed_at"))
+    return with_columns(changes.withColumn("_ts", ts), [*CHANGE_LOG_COLUMNS, "_ts"]) \
+        .withColumnRenamed("_ts", "changed_at")
 
 
 def append_change_log(changes: DataFrame, path: str) -> None:
