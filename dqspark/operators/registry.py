@@ -190,10 +190,10 @@ def resolve_connection(spark: SparkSession, paths: DataFrame, connections: DataF
     conns = connections.select(
         "ordinal", "connName", "location",
         F.lower(F.regexp_replace("location", "/+$", "")).alias("_loc")).where(F.col("_loc") != "")
-    lens = conns.select(F.length("_loc").alias("len")).distinct()
-    if not is_bounded(lens, max_lengths):
+    lens = conns.select(F.length("_loc").alias("len")).distinct().limit(max_lengths + 1).collect()
+    if len(lens) > max_lengths:                 # at most max+1 small ints reach the driver
         raise ValueError(f"more than {max_lengths} distinct location lengths")
-    lengths = sorted(r["len"] for r in lens.collect())
+    lengths = sorted(r["len"] for r in lens)
     norm = F.lower(F.regexp_replace(py_strip(F.col(path_col)), "/+$", ""))
     base = paths.select("*", norm.alias("_norm"), *parse_object_path(F.col(path_col), schemes))
     cand = base.select("*", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("_len")) \
@@ -405,8 +405,9 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
     keys = targets.select(*KEY_COLS).distinct()
     par = spark.sparkContext.defaultParallelism
     args = (n, w_tok, w_ratio, b_conn, b_schema)
-    if is_bounded(reg, max_registry_rows):
-        reg_pdf = reg.toPandas()              # bounded: checked above
+    reg_pdf = reg.limit(max_registry_rows + 1).toPandas()     # at most max+1 rows reach the driver
+    small = len(reg_pdf) <= max_registry_rows
+    if small:
         bc = spark.sparkContext.broadcast(reg_pdf)
 
         def score_parts(it):
@@ -436,4 +437,5 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
     per_target = t.join(top, cond, "inner").select("target_id", F.col("rank").cast("long").alias("rank"),
                                                    "match_dataset", "similarity")
     carried = registry.withColumnRenamed("dataset", "match_dataset").drop("table_nm", "connectionName", "db_nm")
-    return per_target.join(bounded_broadcast(carried), "match_dataset", "left")
+    carried = F.broadcast(carried) if small else carried             # size known from the check above
+    return per_target.join(carried, "match_dataset", "left")

@@ -28,7 +28,11 @@ def register(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (parquet; Catalyst prunes columns and pushes
-    filters into the scan)."""
+    filters into the scan).  The queries compare timestamps with literals and
+    cast timestamp_ntz columns for watermarks, so the session time zone is
+    pinned to UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
