@@ -399,6 +399,8 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
     and each (bucket, chunk) block is scored by a cogrouped pandas function;
     the per-chunk top-n lists are merged by a ``row_number() <= n`` window.
     """
+    from dqspark.session import ship_package
+    ship_package(spark)
     n = clamp(top_n, 1, 50)
     reg = registry.select(*KEY_COLS)
     # score each distinct target key once (a hot key is scored once, not per row)

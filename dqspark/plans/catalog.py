@@ -33,6 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     pinned to UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    from dqspark.session import ship_package
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -70,3 +70,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def local_path(p: str) -> str:
     return p if "://" in p else os.path.abspath(p)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``dqspark`` importable in Python workers (pandas UDFs,
+    ``mapInPandas``, ``applyInPandasWithState`` pickle its functions by
+    reference).  Equivalent to ``spark-submit --py-files dqspark.zip``: the
+    package is zipped once on the driver and ``addPyFile`` lets Spark's file
+    server hand it to every executor.  Done once per SparkContext."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_dqspark_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="dqspark-pyfiles-"), "dqspark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._dqspark_shipped = True

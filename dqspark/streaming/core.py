@@ -110,6 +110,8 @@ def approve_within_ttl(events: DataFrame, ttl_seconds: int = CHANGE_TTL_SECONDS,
     change id is evicted by an event-time timeout once the TTL has passed the
     watermark, so it stays bounded.
     """
+    from dqspark.session import ship_package
+    ship_package(events.sparkSession)
     return (events.withWatermark("ts", watermark).groupBy("change_id")
             .applyInPandasWithState(_approval_fn(ttl_seconds), APPROVAL_OUT_SCHEMA, APPROVAL_STATE_SCHEMA,
                                     "append", GroupStateTimeout.EventTimeTimeout))
