@@ -403,3 +403,71 @@ def merge_descriptions(spark, sf):
     stop = F.when(F.col("turn") % 3 == 1, F.lit("interrupt"))
     return c.select("conv_id", "turn", X.merge_description(old, new).alias("description"),
                     X.turn_status(err, stop).alias("status"))
+
+
+# S10 / S11 -----------------------------------------------------------------
+def session_histories(conv):
+    """One chat-history row per conversation (the session table's shape)."""
+    hist = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+                       lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    return conv.groupBy("conv_id").agg(hist.alias("conversation_history"),
+                                       F.max(F.col("role") == "system").alias("_has_system"),
+                                       F.count(F.lit(1)).alias("_n"))
+
+
+@register("upsert_sessions_conversations", """
+WITH c AS (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS has_sys,
+                  count(*) FILTER (WHERE turn < 2) AS tn FROM conversations GROUP BY conv_id)
+SELECT 's' || conv_id AS session_id,
+  CASE WHEN n > 3 AND has_sys THEN 'cn' ELSE 'apac' END AS region, 'user_' || conv_id AS app_user,
+  (CASE WHEN n > 3 THEN n ELSE tn END)::INTEGER AS turn_count,
+  CASE WHEN n > 3 THEN '2024-02-01 00:00:00' ELSE '2024-01-15 00:00:00' END AS updated_at
+FROM c""")
+def upsert_sessions_conversations(spark, sf):
+    """Stored sessions (first two turns of every conversation) upserted
+    with the full histories of the longer conversations."""
+    from dqspark.sources.sinks import upsert_sessions
+    conv = table(spark, sf, "conversations")
+    early = session_histories(conv.where(F.col("turn") < 2))
+    target = early.select(F.lit("apac").alias("region"), F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+                          .alias("session_id"), F.concat(F.lit("user_"), F.col("conv_id").cast("string")).alias("app_user"),
+                          "conversation_history", F.size("conversation_history").alias("turn_count"),
+                          F.lit("2024-01-15 00:00:00").cast("timestamp").alias("updated_at"))
+    full = session_histories(conv).where(F.col("_n") > 3)
+    inc = full.select(F.when(F.col("_has_system"), F.lit(" CN ")).alias("region"),
+                      F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),
+                      F.concat(F.lit("user_"), F.col("conv_id").cast("string")).alias("app_user"), "conversation_history")
+    out = upsert_sessions(target, inc, as_of=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return out.select("session_id", "region", "app_user", "turn_count",
+                      F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@register("upsert_turns_conversations", """
+WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+t AS (SELECT conv_id || '-' || turn AS turn_id, 's' || conv_id AS session_id, length(text) AS len, turn, prev
+      FROM c WHERE role = 'assistant')
+SELECT turn_id, session_id, length(prev)::BIGINT AS request_length,
+  CASE WHEN len > 700 AND turn <> 3 THEN 'error' ELSE 'completed' END AS status,
+  (CASE WHEN len > 700 AND turn <> 3 THEN 0 ELSE len * 3 END)::INTEGER AS duration_ms,
+  CASE WHEN len > 700 AND turn <> 3 THEN 5 ELSE len END::BIGINT AS response_length
+FROM t""")
+def upsert_turns_conversations(spark, sf):
+    """Agent turns re-logged (long answers failed and were retried; a
+    status outside the three allowed values is rejected); only the mutable
+    columns change, message fields keep their first value."""
+    from dqspark.sources.sinks import upsert_turns
+    turns = turns_from_conversations(table(spark, sf, "conversations")).select(
+        "turn_id", "session_id", "app_user", F.lit("apac").alias("region"),
+        F.concat(F.lit("u-"), F.col("turn_id")).alias("user_message_id"), "assistant_message_id", "user_message",
+        "assistant_response", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("stop_reason"),
+        F.col("duration_ms").cast("int").alias("duration_ms"),
+        F.lit("2024-01-15 00:00:00").cast("timestamp").alias("created_at"),
+        F.lit("2024-01-15 00:00:00").cast("timestamp").alias("completed_at"))
+    retry = turns.where(F.length("assistant_response") > 700).select(
+        "turn_id", F.lit("other-session").alias("session_id"), "app_user", "region", "user_message_id",
+        "assistant_message_id", F.lit("changed").alias("user_message"), F.lit("retry").alias("assistant_response"),
+        F.when(F.col("turn_id").endswith("-3"), F.lit("weird")).otherwise(F.lit("error")).alias("status"),
+        F.lit("Boom").alias("stop_reason"), F.lit(-5).alias("duration_ms"), "created_at", "completed_at")
+    out = upsert_turns(turns, retry, as_of=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return out.select("turn_id", "session_id", F.length("user_message").cast("long").alias("request_length"), "status",
+                      "duration_ms", F.length("assistant_response").cast("long").alias("response_length"))
