@@ -130,27 +130,6 @@ def stream_profile(spark, sf):
 
 
 # ST3 -----------------------------------------------------------------------
-def stream_upsert(spark, incoming, target, key_cols, all_cols, name="stream_upsert"):
-    """ST3: each micro-batch is upserted into the target snapshot; snapshot
-    versions are written per batch id, so a replayed batch rewrites the same
-    version (idempotent) and readers use the newest complete version."""
-    from dqspark.session import scratch_path
-    base = scratch_path(spark, name)
-    S.write_snapshot(target, f"{base}/v=-1")
-    state = {"latest": -1}
-
-    def sink(batch, batch_id):
-        prev = max(v for v in (state["latest"], batch_id - 1) if v <= batch_id - 1) if batch_id > 0 else -1
-        cur = spark.read.parquet(f"{base}/v={prev}")
-        S.write_snapshot(S.upsert(cur, batch, key_cols, all_cols), f"{base}/v={batch_id}")
-        state["latest"] = batch_id
-
-    ckpt = scratch_path(spark, name + "-ckpt")
-    q = incoming.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/v={state['latest']}")
-
-
 _TS_ = "('" + "','".join(TARGET_SEGS) + "')"
 _IS_ = "('" + "','".join(INCOMING_SEGS) + "')"
 
@@ -169,7 +148,7 @@ def stream_upsert_customers(spark, sf):
     target = cust.where(F.col("c_mktsegment").isin(*TARGET_SEGS))
     inc = ST.file_stream(spark, sf, "customer.parquet", table(spark, sf, "customer").schema) \
         .select(*CUST_COLS).where(F.col("c_mktsegment").isin(*INCOMING_SEGS))
-    return stream_upsert(spark, inc, target, ["c_custkey"], CUST_COLS)
+    return ST.stream_upsert(spark, inc, target, ["c_custkey"], CUST_COLS)
 
 
 # ST4 -----------------------------------------------------------------------

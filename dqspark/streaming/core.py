@@ -138,6 +138,30 @@ def coalesce_updates(updates: DataFrame, fields: Sequence[str], gap: str = "15 m
     return agg.select("session", *keys, "n_updates", F.inline(entries)).where(F.col("value").isNotNull())
 
 
+# ST3 -----------------------------------------------------------------------
+def stream_upsert(spark: SparkSession, incoming: DataFrame, target: DataFrame, key_cols: Sequence[str],
+                  all_cols: Sequence[str], name: str = "stream_upsert", **upsert_kw) -> DataFrame:
+    """ST3: each micro-batch of ``incoming`` is upserted (S7) into the target
+    snapshot.  Snapshot ``v=<batch_id>`` is built from ``v=<batch_id - 1>``
+    and written with overwrite, so a replayed batch rebuilds the same version
+    (idempotent) and a restart continues from the checkpointed batch id.
+    Returns the newest snapshot."""
+    from dqspark.sources.sinks import upsert, write_snapshot
+    base = scratch_path(spark, name)
+    write_snapshot(target, f"{base}/v=-1")
+    done = {"latest": -1}
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        cur = spark.read.parquet(f"{base}/v={batch_id - 1}")
+        write_snapshot(upsert(cur, batch, key_cols, all_cols, **upsert_kw), f"{base}/v={batch_id}")
+        done["latest"] = batch_id
+
+    ckpt = scratch_path(spark, name + "-ckpt")
+    q = incoming.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/v={done['latest']}")
+
+
 # ST4 -----------------------------------------------------------------------
 def stream_latest_vote(feedback: DataFrame, keys: Sequence[str] = ("app_user", "assistant_message_id")) -> DataFrame:
     """ST4: latest vote per (user, message) maintained incrementally."""
