@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from dqspark.functions.exprs import infer_market, infer_project, normalize_name, py_strip
-from dqspark.operators.joins import bounded_broadcast, is_bounded
+from dqspark.functions.exprs import infer_market, infer_project, py_strip
+from dqspark.operators.joins import bounded_broadcast
 
 
 def _c(c) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from dqspark.plans.catalog import register, table
 from dqspark.plans.sync_plans import CUST_COLS, INCOMING_SEGS, TARGET_SEGS
-from dqspark.sources import sinks as S
 from dqspark.streaming import core as ST
 
 _TSF = "yyyy-MM-dd HH:mm:ss.SSSSSS"
