@@ -66,9 +66,11 @@ def feedback_target(messages: DataFrame, clicks: DataFrame, conv: str = "conv_id
     m = run_ids(messages.withColumn("_rv", runv), conv, turn, "_rv", out="_run").drop("_rv")
     resp = F.startswith(F.coalesce(F.col("msg_id"), F.lit("")), F.lit(RESPONSE_PREFIX))
     run_target = m.where(is_asst & resp).groupBy(conv, "_run").agg(F.max_by("msg_id", turn).alias("_run_tgt"))
-    by_text = m.where(is_asst & resp).groupBy(conv, "text").agg(F.max_by("msg_id", turn).alias("_text_tgt"))
+    # identical-text fallback keyed by a digest of the text: only 64-char keys are shuffled
+    m = m.withColumn("_th", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    by_text = m.where(is_asst & resp).groupBy(conv, "_th").agg(F.max_by("msg_id", turn).alias("_text_tgt"))
     c = clicks.join(m, [conv, turn], "left")
-    c = c.join(run_target, [conv, "_run"], "left").join(by_text, [conv, "text"], "left")
+    c = c.join(run_target, [conv, "_run"], "left").join(by_text, [conv, "_th"], "left")
     own = F.when(resp, F.col("msg_id"))
     in_run = F.when(is_asst, F.col("_run_tgt"))
     return c.select(*clicks.columns, F.coalesce(own, in_run, F.col("_text_tgt")).alias("assistant_message_id"))
