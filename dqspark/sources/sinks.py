@@ -162,6 +162,12 @@ def prune_missing(target: DataFrame, incoming: DataFrame, group_cols: Sequence[s
     groups = bounded_broadcast(inc.select(*group_cols).distinct())   # few groups: broadcast after a size check
     touched = target.join(groups, list(group_cols), "left_semi")
     untouched = target.join(groups, list(group_cols), "left_anti")
+    if len(rest) == 1:
+        # single key: NULL NOT IN (...) is unknown -> kept; otherwise kept iff the key is listed
+        k = rest[0]
+        listed = inc.select(*group_cols, k).distinct()
+        kept = touched.where(F.col(_q(k)).isNotNull()).join(listed, [*group_cols, k], "left_semi")
+        return untouched.unionByName(touched.where(F.col(_q(k)).isNull())).unionByName(kept)
     patterns = [frozenset(p) for r in range(len(rest) + 1) for p in itertools.combinations(rest, r)]
 
     def only_pattern(df, p):
