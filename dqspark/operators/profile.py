@@ -375,6 +375,6 @@ def pattern_check(df: DataFrame, key: str, dependent: str, min_share: float = 0.
     key totals from the pair counts - no second scan)."""
     pairs = df.groupBy(F.col(_q(key)).alias("key"), F.col(_q(dependent)).alias("value")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    totals = pairs.groupBy("key").agg(F.sum("n").alias("key_total"))
-    return pairs.join(totals, "key").withColumn("share", F.col("n") / F.col("key_total")) \
-        .where(F.col("share") < min_share)
+    # key totals over the pre-aggregated pairs (one row per distinct pair): one scan of the table
+    tot = pairs.withColumn("key_total", F.sum("n").over(Window.partitionBy("key")))
+    return tot.withColumn("share", F.col("n") / F.col("key_total")).where(F.col("share") < min_share)

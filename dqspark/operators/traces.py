@@ -44,10 +44,13 @@ def merge_consecutive_roles(messages: DataFrame, conv: str = "conv_id", turn: st
     m = run_ids(m, conv, turn, "role", out="seq")          # skew-safe gaps-and-islands
     merged = m.groupBy(conv, "seq", "role").agg(_ordered_join("text", turn, sep).alias("text"),
                                                F.count(F.lit(1)).alias("n_parts"))
-    lead = merged.where((F.col("seq") == 1) & (F.col("role") == "assistant")).select(
-        conv, F.lit(0).cast("long").alias("seq"), F.lit("user").alias("role"), F.lit(CONTINUE_TEXT).alias("text"),
-        F.lit(0).cast("long").alias("n_parts"))
-    return merged.select(conv, F.col("seq").cast("long"), "role", "text", "n_parts").unionByName(lead)
+    # the prepended user message comes out of the same rows (no second pass over the input)
+    row = F.struct(F.col("seq").cast("long").alias("seq"), F.col("role").alias("role"), F.col("text").alias("text"),
+                   F.col("n_parts").alias("n_parts"))
+    lead = F.struct(F.lit(0).cast("long").alias("seq"), F.lit("user").alias("role"), F.lit(CONTINUE_TEXT).alias("text"),
+                    F.lit(0).cast("long").alias("n_parts"))
+    first_is_assistant = (F.col("seq") == 1) & (F.col("role") == "assistant")
+    return merged.select(conv, F.inline(F.when(first_is_assistant, F.array(lead, row)).otherwise(F.array(row))))
 
 
 # W4 ------------------------------------------------------------------------
@@ -121,6 +124,16 @@ def route_feedback(events: DataFrame, label: str = "label") -> DataFrame:
                                                                          MAX_UNRESOLVED_CONTENT)))
 
 
+def feedback_status(routed: DataFrame, turns: DataFrame) -> DataFrame:
+    """E28 + J2 in one pass: every routed vote with status 'accepted' (a turn
+    with that message id and user exists; turn_id / session_id attached),
+    'rejected' (no such turn) or 'unresolved' (no response- id)."""
+    t = turns.select("assistant_message_id", "app_user", "turn_id", "session_id")
+    j = routed.join(t, ["assistant_message_id", "app_user"], "left")
+    return j.withColumn("status", F.when(F.col("route") == "unresolved", "unresolved")
+                        .when(F.col("turn_id").isNotNull(), "accepted").otherwise("rejected"))
+
+
 def feedback_resolve(feedback: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A vote is stored only when a turn with that assistant_message_id AND
     the same user exists; it then takes the turn's id and session.  Returns

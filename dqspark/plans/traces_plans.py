@@ -236,23 +236,14 @@ WHERE f.vote IS NOT NULL""")
 def feedback_join(spark, sf):
     """E28 + J2: votes routed by label; resolvable ones accepted only when the
     turn exists for the same user."""
-    fb = routed_feedback(spark, sf)
-    res = fb.where(F.col("route") == "resolvable")
     turns = turns_from_conversations(table(spark, sf, "conversations"))
-    acc, rej = TR.feedback_resolve(res, turns)
-    unres = fb.where(F.col("route") == "unresolved")
-    cols = ["feedback_id", "vote"]
-    return (acc.select(*cols, F.lit("accepted").alias("status"), "turn_id", "session_id")
-            .unionByName(rej.select(*cols, F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("turn_id"),
-                                    F.lit(None).cast("string").alias("session_id")))
-            .unionByName(unres.select(*cols, F.lit("unresolved").alias("status"),
-                                      F.lit(None).cast("string").alias("turn_id"),
-                                      F.lit(None).cast("string").alias("session_id"))))
-
-
-def accepted_votes(spark, sf):
+    out = TR.feedback_status(routed_feedback(spark, sf), turns)
+    return out.select("feedback_id", "vote", "status", "turn_id", "session_id")
+
+
+def accepted_votes(spark, sf, turns=None):
     fb = routed_feedback(spark, sf).where(F.col("route") == "resolvable")
-    turns = turns_from_conversations(table(spark, sf, "conversations"))
+    turns = turns if turns is not None else turns_from_conversations(table(spark, sf, "conversations"))
     acc, _ = TR.feedback_resolve(fb, turns)
     return TR.latest_vote(acc.withColumn("turn_key", F.col("turn_id")),
                           keys=("app_user", "assistant_message_id", "turn_id"))
@@ -297,7 +288,7 @@ FROM v LEFT JOIN t ON v.turn_id = t.turn_id LEFT JOIN tl ON v.turn_id = tl.turn_
 def feedback_evaluation(spark, sf):
     """J14 + W2: votes with request, response, timing and ordered tool calls."""
     turns = turns_from_conversations(table(spark, sf, "conversations"))
-    ev = TR.feedback_evaluation(accepted_votes(spark, sf), turns, tools_from_turns(turns))
+    ev = TR.feedback_evaluation(accepted_votes(spark, sf, turns), turns, tools_from_turns(turns))
     return ev.select("app_user", "assistant_message_id", "vote",
                      F.length("user_message").cast("long").alias("request_length"),
                      F.length("assistant_response").cast("long").alias("response_length"),
