@@ -156,18 +156,21 @@ def prune_missing(target: DataFrame, incoming: DataFrame, group_cols: Sequence[s
     if not rest:
         return target
     inc = incoming.where(~_any_null(group_cols)).select(*group_cols, *rest)
-    if len(rest) == 1:
-        inc = inc.where(F.col(_q(rest[0])).isNotNull())
     from dqspark.operators.joins import bounded_broadcast
+    if len(rest) == 1:
+        # single key: the target is read once; two left joins flag its group as touched and its key
+        # as listed.  NULL NOT IN (...) is unknown, so a null key is kept.
+        k = rest[0]
+        listed = inc.where(F.col(_q(k)).isNotNull()).select(*group_cols, k).distinct() \
+            .withColumn("_listed", F.lit(True))
+        groups = bounded_broadcast(listed.select(*group_cols).distinct().withColumn("_touched", F.lit(True)))
+        j = target.join(groups, list(group_cols), "left").join(listed, [*group_cols, k], "left")
+        keep = ~F.coalesce(F.col("_touched"), F.lit(False)) | F.col(_q(k)).isNull() | \
+            F.coalesce(F.col("_listed"), F.lit(False))
+        return j.where(keep).select(*target.columns)
     groups = bounded_broadcast(inc.select(*group_cols).distinct())   # few groups: broadcast after a size check
     touched = target.join(groups, list(group_cols), "left_semi")
     untouched = target.join(groups, list(group_cols), "left_anti")
-    if len(rest) == 1:
-        # single key: NULL NOT IN (...) is unknown -> kept; otherwise kept iff the key is listed
-        k = rest[0]
-        listed = inc.select(*group_cols, k).distinct()
-        kept = touched.where(F.col(_q(k)).isNotNull()).join(listed, [*group_cols, k], "left_semi")
-        return untouched.unionByName(touched.where(F.col(_q(k)).isNull())).unionByName(kept)
     patterns = [frozenset(p) for r in range(len(rest) + 1) for p in itertools.combinations(rest, r)]
 
     def only_pattern(df, p):
