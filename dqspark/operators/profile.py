@@ -375,6 +375,10 @@ def pattern_check(df: DataFrame, key: str, dependent: str, min_share: float = 0.
     key totals from the pair counts - no second scan)."""
     pairs = df.groupBy(F.col(_q(key)).alias("key"), F.col(_q(dependent)).alias("value")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    # key totals over the pre-aggregated pairs (one row per distinct pair): one scan of the table
-    tot = pairs.withColumn("key_total", F.sum("n").over(Window.partitionBy("key")))
+    # key totals from the pre-aggregated pairs (one scan of the table).  A
+    # grouped sum (partial per partition) joined back on the key instead of a
+    # window over the key: a key with very many distinct dependent values is
+    # then not sorted inside one task.  null keys match null keys.
+    totals = pairs.groupBy(F.col("key").alias("_k")).agg(F.sum("n").alias("key_total"))
+    tot = pairs.join(totals, F.col("key").eqNullSafe(F.col("_k"))).select("key", "value", "n", "key_total")
     return tot.withColumn("share", F.col("n") / F.col("key_total")).where(F.col("share") < min_share)

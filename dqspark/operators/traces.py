@@ -30,6 +30,23 @@ def _ordered_join(text: str, order: str, sep: str) -> Column:
                                     lambda x: x[text]), sep)
 
 
+def ordered_concat(df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str,
+                   block: int = 10_000, block_of: Column | None = None) -> DataFrame:
+    """``keys..., text, n_parts``: the texts of each group joined with ``sep``
+    in ``order`` (ties broken by the text).
+
+    Two levels, so no single list holds a hot group: the pieces of one block
+    of the order column - ``block`` consecutive values of a numeric order, or
+    the value of ``block_of`` (an expression monotonic in ``order``, such as
+    ``date_trunc('hour', ts)``) - are joined first, in parallel, then the
+    pieces of a group are joined in block order."""
+    blk = F.floor(F.col(order) / block) if block_of is None else block_of
+    part = df.groupBy(*keys, blk.alias("_blk")).agg(
+        _ordered_join(text, order, sep).alias("_piece"), F.count(F.lit(1)).alias("_n"))
+    return part.groupBy(*keys).agg(_ordered_join("_piece", "_blk", sep).alias(text),
+                                   F.sum("_n").alias("n_parts"))
+
+
 # W3 ------------------------------------------------------------------------
 def merge_consecutive_roles(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                             sep: str = "\n\n") -> DataFrame:
@@ -42,8 +59,7 @@ def merge_consecutive_roles(messages: DataFrame, conv: str = "conv_id", turn: st
         conv, turn, F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("user").alias("role"),
         "text")
     m = run_ids(m, conv, turn, "role", out="seq")          # skew-safe gaps-and-islands
-    merged = m.groupBy(conv, "seq", "role").agg(_ordered_join("text", turn, sep).alias("text"),
-                                               F.count(F.lit(1)).alias("n_parts"))
+    merged = ordered_concat(m, [conv, "seq", "role"], turn, "text", sep)
     # the prepended user message comes out of the same rows (no second pass over the input)
     row = F.struct(F.col("seq").cast("long").alias("seq"), F.col("role").alias("role"), F.col("text").alias("text"),
                    F.col("n_parts").alias("n_parts"))

@@ -145,8 +145,8 @@ WITH m AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN text ELSE rep
 SELECT conv_id, turn, role, length(t) AS text_length FROM m
 WHERE role IN ('user', 'assistant') AND NOT pending AND coalesce(t, '') <> ''""")
 def real_messages(spark, sf):
-    """F11 over per-session histories (odd turns stored as text blocks,
-    pending status rows are display-only)."""
+    """F11 over history entries (odd turns stored as text blocks, pending
+    status rows are display-only), applied to each message row."""
     c = table(spark, sf, "conversations")
     blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text")))
     entry = F.struct(
@@ -156,12 +156,11 @@ def real_messages(spark, sf):
                  F.when(F.col("turn") % 5 == 3, F.lit("pending")).alias("status"),
                  F.lit(None).cast("string").alias("parent_id")).alias("metadata"),
         F.col("turn").alias("turn"))
-    hist = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("k"), entry.alias("e"))))
-                                    .alias("h"))
-    hist = hist.select("conv_id", F.transform("h", lambda x: x["e"]).alias("history"))
-    msgs = TX.real_messages(F.col("history"), extra=("turn",))
-    return hist.select("conv_id", F.inline(F.transform(msgs, lambda m: F.struct(
-        m["turn"].alias("turn"), m["role"].alias("role"), F.length(m["text"]).cast("long").alias("text_length")))))
+    # per message row: no conversation is gathered into one array
+    e = c.select("conv_id", entry.alias("e"))
+    m = e.where(TX.is_real_message(F.col("e"))).select("conv_id", TX.real_message(F.col("e"), extra=("turn",)).alias("m"))
+    return m.select("conv_id", F.col("m.turn").alias("turn"), F.col("m.role").alias("role"),
+                    F.length("m.text").cast("long").alias("text_length"))
 
 
 # sessions / feedback from events ----------------------------------------------

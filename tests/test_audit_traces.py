@@ -177,3 +177,28 @@ def test_token_usage_and_catalog(spark):
     assert (u["input_tokens"], u["output_tokens"], u["total_tokens"], u["n_responses"]) == (3, 0, 3, 2)
     t = spark.createDataFrame([("b", "z"), ("a", "y"), ("b", "x")], "category string, title string")
     assert [(x["category"], x["titles"]) for x in rows(TR.prompt_catalog(t))] == [("a", ["y"]), ("b", ["x", "z"])]
+
+
+def test_ordered_concat_blocks_match_single_pass(spark):
+    """Two-level join with blocks much smaller than the groups (a hot group
+    spans many blocks) equals one ordered join per group."""
+    data = [(g, t, f"t{g}-{t}") for g in ("hot", "cold") for t in range(1, (400 if g == "hot" else 3))]
+    df = spark.createDataFrame(data, "g string, turn long, text string")
+    out = {r["g"]: (r["text"], r["n_parts"]) for r in rows(TR.ordered_concat(df, ["g"], "turn", "text", "|", block=7))}
+    for g in ("hot", "cold"):
+        exp = [x[2] for x in sorted(d for d in data if d[0] == g)]
+        assert out[g] == ("|".join(exp), len(exp))
+
+
+def test_real_message_rows_equal_array_form(spark):
+    h = spark.createDataFrame([
+        (1, [("user", "hi", None, ("m1", None, None, None)),
+             ("assistant", None, [("a",), ("b",)], ("m2", None, None, None)),
+             ("assistant", "x", None, ("m3", None, "pending", None)),
+             ("system", "s", None, ("m4", None, None, None)),
+             ("user", "", None, ("m5", None, None, None))])],
+        "k int, h " + TX.MESSAGE_SCHEMA)
+    arr = rows(h.select(F.inline(TX.real_messages(F.col("h")))))
+    per_row = rows(h.select(F.explode("h").alias("e")).where(TX.is_real_message(F.col("e")))
+                   .select(TX.real_message(F.col("e")).alias("m")).select("m.*"))
+    assert arr == per_row == [{"role": "user", "text": "hi"}, {"role": "assistant", "text": "ab"}]
