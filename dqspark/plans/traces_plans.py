@@ -396,15 +396,6 @@ def merge_descriptions(spark, sf):
 
 
 # S10 / S11 -----------------------------------------------------------------
-def session_histories(conv):
-    """One chat-history row per conversation (the session table's shape)."""
-    hist = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
-                       lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return conv.groupBy("conv_id").agg(hist.alias("conversation_history"),
-                                       F.max(F.col("role") == "system").alias("_has_system"),
-                                       F.count(F.lit(1)).alias("_n"))
-
-
 @register("upsert_sessions_conversations", """
 WITH c AS (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS has_sys,
                   count(*) FILTER (WHERE turn < 2) AS tn FROM conversations GROUP BY conv_id)
@@ -415,18 +406,20 @@ SELECT 's' || conv_id AS session_id,
 FROM c""")
 def upsert_sessions_conversations(spark, sf):
     """Stored sessions (first two turns of every conversation) upserted
-    with the full histories of the longer conversations."""
-    from dqspark.sources.sinks import upsert_sessions
+    with the full histories of the longer conversations.  Sessions are kept
+    in row form: messages per (session, turn), turn counts by aggregate - no
+    conversation is gathered into one row."""
+    from dqspark.sources.sinks import session_counts, upsert_sessions
     conv = table(spark, sf, "conversations")
-    early = session_histories(conv.where(F.col("turn") < 2))
-    target = early.select(F.lit("apac").alias("region"), F.concat(F.lit("s"), F.col("conv_id").cast("string"))
-                          .alias("session_id"), F.concat(F.lit("user_"), F.col("conv_id").cast("string")).alias("app_user"),
-                          "conversation_history", F.size("conversation_history").alias("turn_count"),
-                          F.lit("2024-01-15 00:00:00").cast("timestamp").alias("updated_at"))
-    full = session_histories(conv).where(F.col("_n") > 3)
-    inc = full.select(F.when(F.col("_has_system"), F.lit(" CN ")).alias("region"),
-                      F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),
-                      F.concat(F.lit("user_"), F.col("conv_id").cast("string")).alias("app_user"), "conversation_history")
+    sid = F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+    user = F.concat(F.lit("user_"), F.col("conv_id").cast("string"))
+    early = session_counts(conv.where(F.col("turn") < 2), "conv_id")
+    target = early.select(F.lit("apac").alias("region"), sid.alias("session_id"), user.alias("app_user"),
+                          "turn_count", F.lit("2024-01-15 00:00:00").cast("timestamp").alias("updated_at"))
+    full = conv.groupBy("conv_id").agg(F.max(F.col("role") == "system").alias("_has_system"),
+                                       F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 3)
+    inc = full.select(F.when(F.col("_has_system"), F.lit(" CN ")).alias("region"), sid.alias("session_id"),
+                      user.alias("app_user"), F.col("_n").alias("turn_count"))
     out = upsert_sessions(target, inc, as_of=F.lit("2024-02-01 00:00:00").cast("timestamp"))
     return out.select("session_id", "region", "app_user", "turn_count",
                       F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))

@@ -215,16 +215,40 @@ def append_change_log(changes: DataFrame, path: str) -> None:
 def upsert_sessions(target: DataFrame, incoming: DataFrame, as_of: Column | None = None,
                     default_region: str = "apac") -> DataFrame:
     """Upsert chat sessions keyed by session_id: region (trimmed, lower,
-    default), app_user, history, turn_count = size(history), updated_at."""
+    default), app_user, turn_count, updated_at.
+
+    ``incoming`` carries either the whole ``conversation_history`` value
+    (turn_count = its size, as the reference stores it) or, in row form, a
+    ``turn_count`` computed by an aggregate over the message rows (see
+    :func:`session_counts`); the messages themselves are then upserted with
+    :func:`upsert_session_messages`, so no history is gathered into one row."""
     now = as_of if as_of is not None else F.current_timestamp()
+    hist = "conversation_history" in incoming.columns
+    turn_count = F.size("conversation_history") if hist else F.col("turn_count").cast("int")
     inc = incoming.select(
         F.lower(py_strip(F.coalesce(F.col("region"), F.lit(default_region)))).alias("region"),
-        "session_id", "app_user", "conversation_history",
-        F.size("conversation_history").alias("turn_count"), now.alias("updated_at"))
-    cols = ["region", "session_id", "app_user", "conversation_history", "turn_count", "updated_at"]
+        "session_id", "app_user", *(["conversation_history"] if hist else []),
+        turn_count.alias("turn_count"), now.alias("updated_at"))
+    cols = ["region", "session_id", "app_user", *(["conversation_history"] if hist else []), "turn_count",
+            "updated_at"]
     return upsert(target, inc, ["session_id"], cols)
 
 
+def session_counts(messages: DataFrame, key: str = "session_id") -> DataFrame:
+    """``key, turn_count`` of message rows (a partial aggregate: a session
+    with a huge history is reduced map-side)."""
+    return messages.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("turn_count"))
+
+
+def upsert_session_messages(target: DataFrame, incoming: DataFrame, key: str = "session_id") -> DataFrame:
+    """S10 history in row form (one row per message of a session): a session
+    in the batch has its stored messages replaced by the batch's - the
+    history value is replaced whole, as in the reference - other sessions
+    keep theirs.  An anti join on the session key plus a union."""
+    batch_sessions = incoming.select(key).distinct()
+    return target.join(batch_sessions, key, "left_anti").unionByName(incoming.select(*target.columns))
+
+
 TURN_STATUSES = ["completed", "interrupted", "error"]
 TURN_MUTABLE = ["assistant_message_id", "assistant_response", "status", "stop_reason", "duration_ms",
                 "completed_at"]

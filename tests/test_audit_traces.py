@@ -202,3 +202,19 @@ def test_real_message_rows_equal_array_form(spark):
     per_row = rows(h.select(F.explode("h").alias("e")).where(TX.is_real_message(F.col("e")))
                    .select(TX.real_message(F.col("e")).alias("m")).select("m.*"))
     assert arr == per_row == [{"role": "user", "text": "hi"}, {"role": "assistant", "text": "ab"}]
+
+
+def test_upsert_sessions_row_form(spark):
+    """Row form of S10: counts by aggregate, messages replaced per session."""
+    msg = "session_id string, pos int, role string, content string"
+    stored = spark.createDataFrame([("s1", 0, "user", "hi"), ("s3", 0, "user", "keep")], msg)
+    batch = spark.createDataFrame([("s1", 0, "user", "hi"), ("s1", 1, "assistant", "yo"), ("s2", 0, "user", "x")], msg)
+    merged = rows(S.upsert_session_messages(stored, batch), ["session_id", "pos"])
+    assert [(r["session_id"], r["pos"]) for r in merged] == [("s1", 0), ("s1", 1), ("s2", 0), ("s3", 0)]
+    target = spark.createDataFrame([("apac", "s1", "u", 1, T0)],
+                                   "region string, session_id string, app_user string, turn_count int, "
+                                   "updated_at timestamp")
+    inc = S.session_counts(batch).select(F.lit(" CN ").alias("region"), "session_id", F.lit("u").alias("app_user"),
+                                         "turn_count")
+    out = {r["session_id"]: r for r in rows(S.upsert_sessions(target, inc, as_of=F.lit(T0).cast("timestamp")))}
+    assert out["s1"]["turn_count"] == 2 and out["s1"]["region"] == "cn" and out["s2"]["turn_count"] == 1
