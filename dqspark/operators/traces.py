@@ -42,7 +42,8 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order: str, text: str, se
     pieces of a group are joined in block order."""
     blk = F.floor(F.col(order) / block) if block_of is None else block_of
     part = df.groupBy(*keys, blk.alias("_blk")).agg(
-        _ordered_join(text, order, sep).alias("_piece"), F.count(F.lit(1)).alias("_n"))
+        # a block without any non-null text adds no piece (array_join skips nulls)
+        F.when(F.count(text) > 0, _ordered_join(text, order, sep)).alias("_piece"), F.count(F.lit(1)).alias("_n"))
     return part.groupBy(*keys).agg(_ordered_join("_piece", "_blk", sep).alias(text),
                                    F.sum("_n").alias("n_parts"))
 
@@ -164,10 +165,8 @@ def feedback_resolve(feedback: DataFrame, turns: DataFrame) -> tuple[DataFrame,
 def feedback_evaluation(votes: DataFrame, turns: DataFrame, tools: DataFrame) -> DataFrame:
     """Votes joined with their request, response, timing and the ordered tool
     calls of the turn (tool calls pre-aggregated per turn before the join)."""
-    tool_seq = tools.groupBy("turn_id").agg(
-        F.count(F.lit(1)).alias("n_tools"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_number", "tool_name"))),
-                                 lambda x: x["tool_name"]), ">").alias("tool_sequence"))
+    tool_seq = ordered_concat(tools, ["turn_id"], "sequence_number", "tool_name", ">").select(
+        "turn_id", F.col("n_parts").alias("n_tools"), F.col("tool_name").alias("tool_sequence"))
     t = turns.select("turn_id", "user_message", "assistant_response", "duration_ms")
     return votes.join(t, "turn_id", "left").join(tool_seq, "turn_id", "left") \
         .withColumn("n_tools", F.coalesce("n_tools", F.lit(0)))
