@@ -370,3 +370,35 @@ def similar_parts_votes(spark, sf):
     part = table(spark, sf, "part")
     m = G.similar_datasets(spark, part_targets(part), part_registry(part), top_n=5)
     return G.domain_votes(m, keys=["target_id"])
+
+
+# J7 --------------------------------------------------------------------------
+# Catalog: every document source is a table (schema = language) in the local
+# cluster when the document is short, in the region cluster when it is long.
+# Requests: the (language, source) pairs of the documents plus the
+# (language segment, host) pairs of the pages, which are in no cluster.
+@register("detect_cluster_documents", """
+WITH cat AS (SELECT DISTINCT CASE WHEN n_chars < 2000 THEN 'local' ELSE 'region' END AS cluster,
+                    lang AS table_schema, source AS table_name FROM documents),
+req AS (SELECT DISTINCT lang AS table_schema, source AS table_name FROM documents
+        UNION SELECT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS table_schema,
+                     regexp_extract(url, '^https?://([^/?#]+)', 1) AS table_name FROM pages),
+m AS (SELECT r.table_schema, r.table_name,
+             coalesce(list_sort(list(c.cluster) FILTER (WHERE c.cluster IS NOT NULL)), []::VARCHAR[]) AS matched
+      FROM req r LEFT JOIN cat c ON r.table_schema = c.table_schema AND r.table_name = c.table_name
+      GROUP BY r.table_schema, r.table_name)
+SELECT table_schema, table_name, array_to_string(matched, ',') AS matched, list_contains(matched, 'local') AS found_local,
+       list_contains(matched, 'region') AS found_region, CASE WHEN len(matched) = 1 THEN matched[1] END AS cluster
+FROM m""")
+def detect_cluster_documents(spark, sf):
+    """Which cluster holds each requested (schema, table)."""
+    docs = table(spark, sf, "documents")
+    cat = docs.select(F.when(F.col("n_chars") < 2000, "local").otherwise("region").alias("cluster"),
+                      F.col("lang").alias("table_schema"), F.col("source").alias("table_name"))
+    pages = table(spark, sf, "pages")
+    req = docs.select(F.col("lang").alias("table_schema"), F.col("source").alias("table_name")).unionByName(
+        pages.select(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]*)", 1).alias("table_schema"),
+                     F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("table_name"))).distinct()
+    d = G.detect_cluster(req, cat)
+    return d.select("table_schema", "table_name", F.array_join("matched", ",").alias("matched"), "found_local",
+                    "found_region", "cluster")
