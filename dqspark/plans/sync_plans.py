@@ -206,3 +206,29 @@ def sample_csv_customers(spark, sf):
     path = scratch_path(spark, "customer-csv")
     table(spark, sf, "customer").write.option("header", True).csv(path)
     return sample_csv(spark, path, limit=20, max_bytes=4096)
+
+
+# S12 -------------------------------------------------------------------------
+def part_definitions(part):
+    """One column definition per part: a dataset per brand, the column named
+    by part name and key, dataset-level fields from the part's attributes."""
+    return part.select(
+        F.concat(F.lit("ds_"), F.lower("p_brand")).alias("dataset"),
+        F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("col_name"),
+        F.lit("double").alias("Data Type"), F.col("p_size").alias("Row Count"),
+        F.col("p_type").alias("Scheduler"), F.concat(F.lit("tpch_"), F.col("p_size").cast("string")).alias("db_nm"),
+        F.lower(F.regexp_replace("p_brand", "#", "_")).alias("table_nm"))
+
+
+@register("split_definitions_part", """
+SELECT 'ds_' || lower(p_brand) AS dataset,
+  arg_min(p_type, p_name || '#' || p_partkey) AS "Scheduler",
+  arg_min('tpch_' || p_size, p_name || '#' || p_partkey) AS db_nm,
+  arg_min(lower(replace(p_brand, '#', '_')), p_name || '#' || p_partkey) AS table_nm
+FROM part GROUP BY 1""")
+def split_definitions_part(spark, sf):
+    """Dataset-level fields of each dataset (from its first column row
+    by name), grouped in one aggregation."""
+    from dqspark.sources.sinks import split_definitions
+    info, _ = split_definitions(part_definitions(table(spark, sf, "part")))
+    return info
