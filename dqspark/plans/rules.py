@@ -158,3 +158,54 @@ def validate_rules_lineitem(spark, sf):
                                      + [("lineitem", "2024-01-31", EXPECTED_EXTRA)],
                                      "dataset string, run_date string, rule_name string")
     return R.validate_rules(expected, findings)
+
+
+# S14 + S15 + F14 ---------------------------------------------------------------
+# Findings payloads (JSON text, as the result service returns them) of one run
+# per (order priority, month): a status rule per order status, a dqItem for
+# runs of more than 40 orders, no other finding arrays.  The payload arrays
+# have a fixed size (built from aggregates, not from collected rows).
+def orders_findings_json(orders):
+    n = F.count(F.lit(1))
+    st = {s: F.count_if(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
+    g = orders.groupBy(F.col("o_orderpriority").alias("dataset"),
+                       F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-01")).alias("run_date")).agg(
+        n.alias("rows"), *[v.alias(f"_{s}") for s, v in st.items()], F.max("o_totalprice").alias("_mx"))
+    rules = F.array(*[F.struct(F.lit(f"if_status_{s}").alias("ruleNm"),
+                               F.when(F.col(f"_{s}") > 0, "BREAK").otherwise("Passing").alias("breakMsg"),
+                               F.col(f"_{s}").cast("double").alias("score"),
+                               (F.col(f"_{s}") * 100.0 / F.col("rows")).alias("perc")) for s in st])
+    dq = F.when(F.col("rows") > 40, F.array(F.struct(F.lit("o_totalprice").alias("item"), F.lit("MAX").alias("metric"),
+                                                      F.col("_mx").alias("score"))))
+    payload = F.struct("dataset", "run_date", "rows", rules.alias("rules"),
+                       F.coalesce(dq, F.array().cast("array<struct<item:string,metric:string,score:double>>"))
+                       .alias("dqItems"), F.col("_F").cast("double").alias("ruleScore"))
+    return g.select(F.to_json(payload).alias("json"))
+
+
+@register("findings_orders", """
+WITH g AS (SELECT o_orderpriority AS dataset, strftime(o_orderdate, '%Y-%m') || '-01' AS run_date, count(*) AS n,
+                  count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o,
+                  count(*) FILTER (WHERE o_orderstatus = 'P') AS p, max(o_totalprice) AS mx
+           FROM orders GROUP BY 1, 2),
+i AS (SELECT dataset, run_date, 'rules' AS finding_type, 'if_status_F' AS item_name, f::DOUBLE AS item_score, TRUE AS has_item FROM g
+      UNION ALL SELECT dataset, run_date, 'rules', 'if_status_O', o::DOUBLE, TRUE FROM g
+      UNION ALL SELECT dataset, run_date, 'rules', 'if_status_P', p::DOUBLE, TRUE FROM g
+      UNION ALL SELECT dataset, run_date, 'dqItems', CASE WHEN n > 40 THEN 'o_totalprice' END,
+                       CASE WHEN n > 40 THEN mx END, n > 40 FROM g
+      UNION ALL SELECT dataset, run_date, 'outliers', NULL, NULL, FALSE FROM g)
+SELECT * FROM i WHERE dataset = '1-URGENT' AND run_date >= '1994-01-01' AND run_date <= '1996-12-31'""")
+def findings_orders(spark, sf):
+    """S14 -> S15 -> F14: findings payloads ingested with the declared schema,
+    flattened to one row per finding (a missing or empty array still gives
+    its run one row), then filtered by dataset, run-date window and finding
+    types.  Typed fields are read back out of each item's JSON."""
+    from dqspark.sources.tables import ingest_findings
+    flat = R.flatten_findings(ingest_findings(orders_findings_json(table(spark, sf, "orders"))))
+    f = R.filter_findings(flat, "1-URGENT", since="1994-01-01", until="1996-12-31",
+                          finding_types=["rules", "dqItems", "outliers"])
+    return f.select("dataset", "run_date", "finding_type",
+                    F.coalesce(F.get_json_object("item", "$.ruleNm"), F.get_json_object("item", "$.item"))
+                    .alias("item_name"),
+                    F.get_json_object("item", "$.score").cast("double").alias("item_score"),
+                    F.col("item").isNotNull().alias("has_item"))
