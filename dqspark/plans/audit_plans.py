@@ -246,3 +246,43 @@ def evaluate_alerts(spark, sf):
     plan = A.plan_alerts(datasets, dataset_alerts(region))
     out = A.evaluate_alerts(scores, plan)
     return out.select("dataset", "run_date", "score", "alertCond", "is_default", "fired")
+
+
+# Q4 --------------------------------------------------------------------------
+def part_profile_requests(part):
+    """Per part: the stored profile flags and one requested patch, chosen by
+    p_size % 5 (modifiable flags, a locked flag, an unknown flag, or a mix of
+    modifiable, locked and unknown)."""
+    profile = F.create_map(F.lit("behaviorRowCheck"), F.col("p_size") % 2 == 0,
+                           F.lit("behaviorNullCheck"), F.col("p_size") > 25, F.lit("detectTopnBotn"), F.lit(True))
+    k = F.col("p_size") % 5
+    patch = (F.when(k == 0, F.create_map(F.lit("behaviorNullCheck"), F.lit(False)))
+             .when(k == 1, F.create_map(F.lit("behaviorMeanValueCheck"), F.lit(True),
+                                        F.lit("behaviorRowCheck"), F.col("p_retailprice") > 1500))
+             .when(k == 2, F.create_map(F.lit("detectTopnBotn"), F.lit(False)))
+             .when(k == 3, F.create_map(F.lit("fooCheck"), F.lit(True)))
+             .otherwise(F.create_map(F.lit("behaviorUniqueCheck"), F.lit(True), F.lit("detectScalePrecision"), F.lit(True),
+                                     F.lit("barCheck"), F.lit(False))))
+    return part.select("p_partkey", profile.alias("profile"), patch.alias("patch"))
+
+
+@register("profile_settings_part", """
+SELECT p_partkey,
+  CASE p_size % 5 WHEN 2 THEN 'locked flags: detectTopnBotn' WHEN 3 THEN 'unknown flags: fooCheck'
+                  WHEN 4 THEN 'locked flags: detectScalePrecision' END AS error,
+  CASE WHEN p_size % 5 = 1 THEN p_retailprice > 1500 ELSE p_size % 2 = 0 END AS behaviorRowCheck,
+  CASE WHEN p_size % 5 = 0 THEN FALSE ELSE p_size > 25 END AS behaviorNullCheck,
+  CASE WHEN p_size % 5 = 1 THEN TRUE END AS behaviorMeanValueCheck,
+  CAST(NULL AS BOOLEAN) AS behaviorUniqueCheck,
+  TRUE AS detectTopnBotn,
+  (CASE WHEN p_size % 5 = 1 THEN 4 ELSE 3 END)::INTEGER AS n_flags
+FROM part""")
+def profile_settings_part(spark, sf):
+    """Q4: requested profile flags overlaid on each definition's profile;
+    a request touching a locked or unknown flag is rejected whole."""
+    out = A.apply_profile_settings(part_profile_requests(table(spark, sf, "part")))
+    p = F.col("new_profile")
+    return out.select("p_partkey", "error",
+                      *[p[f].alias(f) for f in ("behaviorRowCheck", "behaviorNullCheck", "behaviorMeanValueCheck",
+                                                "behaviorUniqueCheck", "detectTopnBotn")],
+                      F.size(p).alias("n_flags"))
