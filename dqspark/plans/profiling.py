@@ -93,6 +93,32 @@ def topn_bottomn_part(spark, sf):
     return P.topn_bottomn(table(spark, sf, "part"), ["p_brand", "p_type", "p_size"], n=5)
 
 
+# The A7 lists as the flat records the result service returns (record id
+# orders TOPN before BOTTOMN), grouped back into one list per column.
+_TOPN_PART_COLS = ["p_brand", "p_type", "p_size"]
+
+
+@register("normalize_topn_part", f"""
+WITH t AS ({_sql_topn("part", _TOPN_PART_COLS, 5)})
+SELECT 'part' AS dataset, '2024-01-31' AS run_id, column_name, 'TOPN' AS header_type,
+  (row_number() OVER (PARTITION BY column_name
+                      ORDER BY CASE WHEN profile_type = 'TOPN' THEN 0 ELSE 100 END + rank) - 1)::INTEGER AS pos,
+  profile_type, CASE WHEN value IN ('null', 'NULL', '') THEN NULL ELSE value END AS value, count
+FROM t""")
+def normalize_topn_part(spark, sf):
+    lists = P.topn_bottomn(table(spark, sf, "part"), _TOPN_PART_COLS, n=5)
+    recs = lists.select(
+        (F.when(F.col("profile_type") == "TOPN", 0).otherwise(100) + F.col("rank")).alias("id"),
+        F.lit("part").alias("dataset"), F.lit("2024-01-31").alias("runId"), F.col("column_name").alias("fieldNm"),
+        F.col("profile_type").alias("fieldFunc"), F.col("value").alias("fieldValue"),
+        F.col("count").alias("uniqueCnt"), F.lit("2024-01-31 06:00:00").alias("updtTs"))
+    norm = P.normalize_topn(recs)
+    return norm.select("dataset", "run_id", "column_name", F.col("profile_type").alias("header_type"),
+                       F.posexplode("values").alias("pos", "e")).select(
+        "dataset", "run_id", "column_name", "header_type", "pos", F.col("e.profile_type").alias("profile_type"),
+        F.col("e.value").alias("value"), F.col("e.count").alias("count"))
+
+
 @register("top_values_lineitem", """
 SELECT l_partkey AS value, count(*) AS count FROM lineitem GROUP BY 1
 ORDER BY count DESC, value ASC NULLS FIRST LIMIT 10""")
