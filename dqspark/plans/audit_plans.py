@@ -286,3 +286,55 @@ def profile_settings_part(spark, sf):
                       *[p[f].alias(f) for f in ("behaviorRowCheck", "behaviorNullCheck", "behaviorMeanValueCheck",
                                                 "behaviorUniqueCheck", "detectTopnBotn")],
                       F.size(p).alias("n_flags"))
+
+
+# Q5 --------------------------------------------------------------------------
+# Existing rules: one per part of size <= 25 in its brand's dataset.  Payload:
+# one rule per part, by p_partkey % 5 - kept as is (0), renamed with a new
+# value (1), renamed onto the previous part's name (2), value changed (3),
+# old name equal to the name (4).
+def _rule_name(k):
+    return F.concat(F.lit("if_p"), k.cast("string"))
+
+
+def _size_rule(s):
+    return F.concat(F.lit("p_size > "), s.cast("string"))
+
+
+def part_rule_sets(part):
+    ds = F.concat(F.lit("ds_"), F.lower("p_brand"))
+    nm, val = _rule_name, _size_rule
+    k, m = F.col("p_partkey"), F.col("p_partkey") % 5
+    existing = part.where(F.col("p_size") <= 25).select(ds.alias("dataset"), nm(k).alias("ruleNm"),
+                                                        val(F.col("p_size")).alias("ruleValue"))
+    payload = part.select(
+        "p_partkey", ds.alias("dataset"),
+        F.when(m == 1, F.concat(nm(k), F.lit("_v2"))).when(m == 2, nm(k - 1)).otherwise(nm(k)).alias("ruleNm"),
+        F.when(m.isin(1, 3), val(F.col("p_size") + 1)).otherwise(val(F.col("p_size"))).alias("ruleValue"),
+        F.when(m.isin(1, 2, 4), nm(k)).alias("old_rule_nm"))
+    return existing, payload
+
+
+@register("rule_changes_part", """
+WITH e AS (SELECT 'ds_' || lower(p_brand) AS dataset, 'if_p' || p_partkey AS ruleNm, 'p_size > ' || p_size AS ruleValue
+           FROM part WHERE p_size <= 25),
+p AS (SELECT p_partkey, 'ds_' || lower(p_brand) AS dataset,
+        CASE p_partkey % 5 WHEN 1 THEN 'if_p' || p_partkey || '_v2' WHEN 2 THEN 'if_p' || (p_partkey - 1)
+             ELSE 'if_p' || p_partkey END AS ruleNm,
+        CASE WHEN p_partkey % 5 IN (1, 3) THEN 'p_size > ' || (p_size + 1) ELSE 'p_size > ' || p_size END AS ruleValue,
+        CASE WHEN p_partkey % 5 IN (1, 2, 4) THEN 'if_p' || p_partkey END AS old_rule_nm
+      FROM part)
+SELECT p.p_partkey, p.dataset, p.ruleNm, p.ruleValue, p.old_rule_nm,
+  CASE WHEN p.old_rule_nm IS NOT NULL AND e.ruleNm IS NULL THEN 'reject: unknown old name'
+       WHEN p.old_rule_nm IS NOT NULL AND p.old_rule_nm <> p.ruleNm AND t.ruleNm IS NOT NULL THEN 'reject: new name taken'
+       WHEN p.old_rule_nm IS NOT NULL AND p.old_rule_nm <> p.ruleNm THEN 'rename'
+       WHEN e.ruleNm IS NOT NULL THEN 'update' ELSE 'new' END AS status,
+  p.ruleValue IS DISTINCT FROM e.ruleValue AS requires_validation
+FROM p LEFT JOIN e ON p.dataset = e.dataset AND coalesce(p.old_rule_nm, p.ruleNm) = e.ruleNm
+LEFT JOIN e t ON p.dataset = t.dataset AND p.ruleNm = t.ruleNm""")
+def rule_changes_part(spark, sf):
+    """Q5: payload rules matched to existing ones by (dataset, name) or by the
+    old name of a rename; new / update / rename / reject and whether the rule
+    text needs validation."""
+    existing, payload = part_rule_sets(table(spark, sf, "part"))
+    return R.plan_rule_changes(existing, payload)
