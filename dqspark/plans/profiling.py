@@ -126,10 +126,14 @@ def top_values_lineitem(spark, sf):
     return P.top_values(table(spark, sf, "lineitem"), "l_partkey", n=10)
 
 
+def _sql_shape_expr(col, max_len=12):
+    return (f"substr(regexp_replace(regexp_replace(regexp_replace("
+            f"regexp_replace(regexp_replace(regexp_replace(CAST({col} AS VARCHAR), '\\p{{Lu}}', 'A', 'g'),"
+            f" '\\p{{Ll}}', 'a', 'g'), '[0-9]', '9', 'g'), 'A+', 'A', 'g'), 'a+', 'a', 'g'), '9+', '9', 'g'), 1, {max_len})")
+
+
 def _sql_shape(tbl, col, max_per_col=20, sensitivity=0.001, max_len=12):
-    shp = (f"substr(regexp_replace(regexp_replace(regexp_replace("
-           f"regexp_replace(regexp_replace(regexp_replace(CAST({col} AS VARCHAR), '\\p{{Lu}}', 'A', 'g'),"
-           f" '\\p{{Ll}}', 'a', 'g'), '[0-9]', '9', 'g'), 'A+', 'A', 'g'), 'a+', 'a', 'g'), '9+', '9', 'g'), 1, {max_len})")
+    shp = _sql_shape_expr(col, max_len)
     return f"""
 SELECT column_name, shape_rank, shape, n, n / total AS share, n / total < {sensitivity} AS is_rare FROM (
   SELECT '{col}' AS column_name, {shp} AS shape, count(*) AS n,
@@ -148,6 +152,15 @@ def shape_check_customer(spark, sf):
     return a.unionByName(b).unionByName(c)
 
 
+@register("rare_shapes_conversations", f"""
+SELECT column_name, shape, n, n / total AS share FROM (
+  SELECT 'text' AS column_name, {_sql_shape_expr("text")} AS shape, count(*) AS n, sum(count(*)) OVER () AS total
+  FROM conversations WHERE text IS NOT NULL GROUP BY 2) WHERE n / total < 0.01""")
+def rare_shapes_conversations(spark, sf):
+    """A18, uncapped: every message-text shape with a share below 1 %."""
+    return P.rare_shapes(table(spark, sf, "conversations"), ["text"], sensitivity=0.01)
+
+
 ORDERS_COLS = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"]
 ORDERS_TYPES = {"o_orderstatus": "string", "o_orderpriority": "string", "o_totalprice": "double",
                 "o_custkey": "bigint"}
