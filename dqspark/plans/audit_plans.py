@@ -211,6 +211,19 @@ def change_digest(spark, sf):
     return A.change_digest(ch)
 
 
+@register("change_batches", f"""
+SELECT dataset, strftime(changed_at, '{_SFMT}') AS changed_at, change_by, coalesce(change_reason, '') AS change_reason,
+  count(*) OVER (PARTITION BY dataset, changed_at, change_by, coalesce(change_reason, '')) AS n_changes,
+  change_category, change_item, change_from, change_to
+FROM ({SQL_CHANGES})""")
+def change_batches(spark, sf):
+    """Changes grouped into batches (time, user, reason); each change is
+    listed with the size of its batch."""
+    b = A.change_batches(event_changes(table(spark, sf, "events")))
+    return b.select("dataset", F.date_format("changed_at", _FMT).alias("changed_at"), "change_by", "change_reason",
+                    "n_changes", F.inline("changes"))
+
+
 # Q9 ------------------------------------------------------------------------
 def event_scores(events):
     return events.groupBy(F.concat(F.lit("ds_app_"), (F.col("user_id") % 5).cast("string")).alias("dataset"),
