@@ -219,3 +219,17 @@ def test_upsert_sessions_row_form(spark):
                                          "turn_count")
     out = {r["session_id"]: r for r in rows(S.upsert_sessions(target, inc, as_of=F.lit(T0).cast("timestamp")))}
     assert out["s1"]["turn_count"] == 2 and out["s1"]["region"] == "cn" and out["s2"]["turn_count"] == 1
+
+
+def test_evaluate_alerts_pages_equal_one_pass(spark):
+    """Conditions fetched in pages of 2 give the same firing as one page."""
+    scores = spark.createDataFrame([(f"d{i}", float(s)) for i in range(6) for s in (10, 50, 90)],
+                                   "dataset string, score double")
+    alerts = spark.createDataFrame([(f"d{i}", f"a{i}", f"score < {20 * (i + 1)}", True) for i in range(5)]
+                                   + [("d5", "a5", None, True)],
+                                   "dataset string, alertNm string, alertCond string, active boolean")
+    key = ["dataset", "score"]
+    one = rows(A.evaluate_alerts(scores, alerts).select(*key, "fired"), key)
+    paged = rows(A.evaluate_alerts(scores, alerts, page_size=2).select(*key, "fired"), key)
+    assert one == paged and len(one) == 18
+    assert [r["fired"] for r in one if r["dataset"] == "d1"] == [True, False, False]      # score < 40
