@@ -232,3 +232,20 @@ def split_definitions_part(spark, sf):
     from dqspark.sources.sinks import split_definitions
     info, _ = split_definitions(part_definitions(table(spark, sf, "part")))
     return info
+
+
+# S13 -------------------------------------------------------------------------
+@register("clean_documents", """
+SELECT doc_id, to_json({'lang': lang, 'source': source})::VARCHAR AS meta,
+  to_json([lang, source])::VARCHAR AS tags, to_json([n_chars, doc_id])::VARCHAR AS sizes,
+  CASE WHEN n_chars % 7 = 0 THEN NULL ELSE n_chars / 1000.0 END AS kchars
+FROM documents""")
+def clean_documents(spark, sf):
+    """Nested values (struct, string and integer arrays) become JSON
+    text and NaN becomes null before a write; other columns pass through."""
+    d = table(spark, sf, "documents")
+    nan = F.lit(float("nan"))
+    frame = d.select("doc_id", F.struct("lang", "source").alias("meta"), F.array("lang", "source").alias("tags"),
+                     F.array("n_chars", "doc_id").alias("sizes"),
+                     F.when(F.col("n_chars") % 7 == 0, nan).otherwise(F.col("n_chars") / 1000.0).alias("kchars"))
+    return S.clean_for_write(frame)
