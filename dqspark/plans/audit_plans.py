@@ -224,6 +224,25 @@ def change_batches(spark, sf):
                     "n_changes", F.inline("changes"))
 
 
+@register("change_log_events", f"""
+SELECT dataset, region, session_id, dataset_category, change_category, change_item, change_from, change_to,
+  change_reason, change_by, strftime(changed_at, '{_SFMT}') AS changed_at FROM ({SQL_CHANGES})""")
+def change_log_events(spark, sf):
+    """Event-derived changes appended to a change-history table in the
+    shared scratch folder in two batches (before / from mid-January), then
+    read back."""
+    from dqspark.session import scratch_path
+    from dqspark.sources.sinks import append_change_log
+    ch = event_changes(table(spark, sf, "events"))
+    mid = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    path = scratch_path(spark, "change-log")
+    append_change_log(ch.where(F.col("changed_at") < mid), path)
+    append_change_log(ch.where(F.col("changed_at") >= mid), path)
+    log = spark.read.parquet(path)
+    return log.select(*[c for c in log.columns if c != "changed_at"],
+                      F.date_format("changed_at", _FMT).alias("changed_at"))
+
+
 # Q9 ------------------------------------------------------------------------
 def event_scores(events):
     return events.groupBy(F.concat(F.lit("ds_app_"), (F.col("user_id") % 5).cast("string")).alias("dataset"),
