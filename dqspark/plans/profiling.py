@@ -1,4 +1,4 @@
-"""Profiling queries (A1 A2 A3 A7 A9 A17 A18 T5) over the driver tables."""
+"""Profiling queries (A1 A2 A3 A7 A8 A9 A17 A18 T3 T5) over the driver tables."""
 
 from __future__ import annotations
 
@@ -29,6 +29,13 @@ def profile_columns_lineitem(spark, sf):
     return P.profile_columns(table(spark, sf, "lineitem"), LINEITEM_NUMERIC)
 
 
+@register("columns_for_review_orders", _sql_profile_columns("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def columns_for_review_orders(spark, sf):
+    """The numeric column profile of orders, least-null columns first."""
+    return P.columns_for_review(P.profile_columns(table(spark, sf, "orders"),
+                                                  ["o_orderkey", "o_custkey", "o_totalprice"]))
+
+
 @register("profile_table_all", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, "
     f"(SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}')::INTEGER AS column_count"
