@@ -18,6 +18,7 @@ from dqspark.functions.exprs import (
     SEVERITY_RANK, abs_diff, highest_severity, relative_change_pct, safe_float, severity,
     severity_rank, validate_thresholds,
 )
+from dqspark.operators.profile import unpivot
 
 # --------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -279,21 +280,40 @@ def audit_suppressions(req: DataFrame) -> DataFrame:
 
 
 # J12 -----------------------------------------------------------------------
+def _drift_status(ca: Column, cb: Column) -> Column:
+    return (F.when(ca == 0, "appeared").when(cb == 0, "disappeared")
+            .when(ca != cb, "changed").otherwise("unchanged"))
+
+
 def value_distribution_drift(run_a: DataFrame, run_b: DataFrame, col: str) -> DataFrame:
     """Which values appeared, disappeared or changed count between two runs.
 
-    Each side is pre-aggregated (partial aggregation, one row per value) before
-    the full outer join on the value (null-safe), so only distinct values move.
-    """
-    a = run_a.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count_a"))
-    b = run_b.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count_b"))
-    j = a.alias("a").join(b.alias("b"), F.col("a.value").eqNullSafe(F.col("b.value")), "full_outer")
-    ca, cb = F.coalesce(F.col("count_a"), F.lit(0)), F.coalesce(F.col("count_b"), F.lit(0))
-    return j.select(
-        F.coalesce(F.col("a.value"), F.col("b.value")).alias("value"),
-        ca.alias("count_a"), cb.alias("count_b"), (cb - ca).alias("count_change"),
-        F.when(F.col("count_a").isNull(), "appeared").when(F.col("count_b").isNull(), "disappeared")
-         .when(ca != cb, "changed").otherwise("unchanged").alias("status"))
+    The two runs are unioned with a side flag and counted in ONE grouped
+    aggregation (partial per partition, one row per value and partition), so
+    there is a single shuffle and no join; null is a value like any other."""
+    a = run_a.select(F.col(col).cast("string").alias("value"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    b = run_b.select(F.col(col).cast("string").alias("value"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    g = a.unionByName(b).groupBy("value").agg(F.sum("_a").cast("long").alias("count_a"),
+                                              F.sum("_b").cast("long").alias("count_b"))
+    ca, cb = F.col("count_a"), F.col("count_b")
+    return g.select("value", "count_a", "count_b", (cb - ca).alias("count_change"),
+                    _drift_status(ca, cb).alias("status"))
+
+
+def value_drift_by_run(df: DataFrame, run: Column, run_a, run_b, cols: Sequence[str]) -> DataFrame:
+    """J12 for several columns of one table in ONE scan: rows of run ``run_a``
+    and run ``run_b`` (values of the ``run`` expression; the filter reaches the
+    scan) are unpivoted to (column_name, value) and counted per side with
+    conditional counts in a single grouped aggregation.
+    Output: column_name, value, count_a, count_b, count_change, status."""
+    side = F.when(run == F.lit(run_a), F.lit("a")).when(run == F.lit(run_b), F.lit("b"))
+    d = df.select(side.alias("_side"), *[F.col(f"`{c}`") for c in cols]).where(F.col("_side").isNotNull())
+    long = unpivot(d, cols, ids=["_side"], value="string")
+    g = long.groupBy("column_name", "value").agg(F.count_if(F.col("_side") == "a").alias("count_a"),
+                                                  F.count_if(F.col("_side") == "b").alias("count_b"))
+    ca, cb = F.col("count_a"), F.col("count_b")
+    return g.select("column_name", "value", "count_a", "count_b", (cb - ca).alias("count_change"),
+                    _drift_status(ca, cb).alias("status"))
 
 
 # E26 -----------------------------------------------------------------------

@@ -185,3 +185,19 @@ def test_value_distribution_drift_nulls(spark):
     assert out == {"x": (2, 1, "changed"), None: (1, 2, "changed"), "y": (1, 0, "disappeared"),
                    "z": (0, 1, "appeared")}
     assert not math.isnan(1.0)
+
+
+def test_value_drift_by_run_equals_two_sided(spark):
+    """One-scan multi-column drift equals the two-input form per column."""
+    data = [("a", "x", None), ("a", "y", "1"), ("a", None, "1"), ("b", "x", "2"), ("b", "z", None),
+            ("b", "x", "1"), ("c", "x", "9")]
+    df = spark.createDataFrame(data, "run string, c1 string, c2 string")
+    got = rows(D.value_drift_by_run(df, F.col("run"), "a", "b", ["c1", "c2"]), ["column_name", "value"])
+    exp = []
+    for c in ("c1", "c2"):
+        two = D.value_distribution_drift(df.where("run = 'a'").select(c), df.where("run = 'b'").select(c), c)
+        exp += [dict(r, column_name=c) for r in rows(two)]
+    exp.sort(key=lambda r: (r["column_name"], r["value"] is None, r["value"]))
+    assert got == exp
+    st = {(r["column_name"], r["value"]): r["status"] for r in got}
+    assert st[("c1", "z")] == "appeared" and st[("c1", "y")] == "disappeared" and st[("c2", None)] == "unchanged"
