@@ -85,10 +85,15 @@ def feedback_target(messages: DataFrame, clicks: DataFrame, conv: str = "conv_id
     runv = F.when(is_asst, F.lit("assistant")).otherwise(F.concat(F.lit("#"), F.col(turn).cast("string")))
     m = run_ids(messages.withColumn("_rv", runv), conv, turn, "_rv", out="_run").drop("_rv")
     resp = F.startswith(F.coalesce(F.col("msg_id"), F.lit("")), F.lit(RESPONSE_PREFIX))
-    run_target = m.where(is_asst & resp).groupBy(conv, "_run").agg(F.max_by("msg_id", turn).alias("_run_tgt"))
     # identical-text fallback keyed by a digest of the text: only 64-char keys are shuffled
     m = m.withColumn("_th", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    by_text = m.where(is_asst & resp).groupBy(conv, "_th").agg(F.max_by("msg_id", turn).alias("_text_tgt"))
+    # both targets in ONE aggregation over the response rows (grouping sets
+    # (conv, run) and (conv, text digest)), so the run-numbered messages are
+    # consumed twice (targets, clicks) rather than three times
+    tg = m.where(is_asst & resp).groupingSets([[conv, "_run"], [conv, "_th"]], conv, "_run", "_th").agg(
+        F.max_by("msg_id", turn).alias("_tgt"), F.grouping("_run").alias("_g_run"))
+    run_target = tg.where(F.col("_g_run") == 0).select(conv, "_run", F.col("_tgt").alias("_run_tgt"))
+    by_text = tg.where(F.col("_g_run") == 1).select(conv, "_th", F.col("_tgt").alias("_text_tgt"))
     c = clicks.join(m, [conv, turn], "left")
     c = c.join(run_target, [conv, "_run"], "left").join(by_text, [conv, "_th"], "left")
     own = F.when(resp, F.col("msg_id"))
