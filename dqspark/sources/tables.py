@@ -110,12 +110,29 @@ def ingest_findings(df: DataFrame, json_col: str = "json") -> DataFrame:
 
 
 # U5 ------------------------------------------------------------------------
-def reconcile_sources(source: DataFrame, target: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def reconcile_sources(source: DataFrame, target: DataFrame, cols: Sequence[str] | None = None,
+                      chunk: int = 10_000) -> DataFrame:
     """Source reconciliation ("source" finding type): rows present on one side
-    only, with multiplicity (``exceptAll`` both ways).  Output: side, the
-    compared columns."""
+    only, with multiplicity (``EXCEPT ALL`` both ways).  Output: the compared
+    columns, side.
+
+    One signed count per distinct row over the union of both sides (+1 source,
+    -1 target; partial aggregation, a single shuffle) replaces two
+    ``exceptAll`` passes.  A row left over ``n`` times is emitted ``n`` times:
+    up to ``chunk`` copies come from one bounded array; a larger surplus is
+    first cut into chunks that are spread over tasks (round robin) and then
+    expanded, so a hot duplicate never builds one huge array in one task."""
     cols = list(cols or source.columns)
-    s = source.select(*[F.col(_q(c)) for c in cols])
-    t = target.select(*[F.col(_q(c)) for c in cols])
-    return s.exceptAll(t).withColumn("side", F.lit("source_only")).unionByName(
-        t.exceptAll(s).withColumn("side", F.lit("target_only")))
+    sel = [F.col(_q(c)) for c in cols]
+    u = source.select(*sel, F.lit(1).alias("_v")).unionByName(target.select(*sel, F.lit(-1).alias("_v")))
+    d = u.groupBy(*sel).agg(F.sum("_v").alias("_d")).where(F.col("_d") != 0)
+    d = d.select(*sel, F.when(F.col("_d") > 0, F.lit("source_only")).otherwise(F.lit("target_only")).alias("side"),
+                 F.abs("_d").alias("_n"))
+    small = d.where(F.col("_n") <= chunk).select(*sel, "side", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    big = d.where(F.col("_n") > chunk).select(
+        *sel, "side", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))).alias("_k"))
+    spread = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    big = big.repartition(spread).select(
+        *sel, "side", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(chunk), F.col("_n") - F.col("_k") * chunk)
+                                                        .cast("int"))))
+    return small.drop("col").unionByName(big.drop("col"))
