@@ -59,8 +59,10 @@ def merge_consecutive_roles(messages: DataFrame, conv: str = "conv_id", turn: st
     m = messages.where(F.coalesce(F.col("text"), F.lit("")) != "").select(
         conv, turn, F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("user").alias("role"),
         "text")
-    m = run_ids(m, conv, turn, "role", out="seq")          # skew-safe gaps-and-islands
-    merged = ordered_concat(m, [conv, "seq", "role"], turn, "text", sep)
+    # skew-safe gaps-and-islands; the rows stay partitioned by (conv, block of
+    # turns), so the first level of the text join below needs no shuffle
+    m = run_ids(m, conv, turn, "role", out="seq", keep_block="_rblk")
+    merged = ordered_concat(m, [conv, "seq", "role"], turn, "text", sep, block_of=F.col("_rblk"))
     # the prepended user message comes out of the same rows (no second pass over the input)
     row = F.struct(F.col("seq").cast("long").alias("seq"), F.col("role").alias("role"), F.col("text").alias("text"),
                    F.col("n_parts").alias("n_parts"))

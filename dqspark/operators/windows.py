@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def run_ids(df: DataFrame, key: str, order: str, value: str, block: int = 100_000,
-            out: str = "run_id") -> DataFrame:
+            out: str = "run_id", keep_block: str | None = None) -> DataFrame:
     """Add ``out``: 1-based number of the maximal run of equal ``value``
     (null-safe) that each row belongs to, within ``key`` ordered by ``order``
-    (a numeric column, unique within the key)."""
+    (a numeric column, unique within the key).  With ``keep_block`` the
+    block number is kept under that name: the rows come out partitioned by
+    (key, block), so a later aggregation on a superset of those columns needs
+    no shuffle."""
     d = df.withColumn("_blk", F.floor(F.col(order) / block))
     wb = Window.partitionBy(key, "_blk").orderBy(order)
     d = d.withColumn("_prev", F.lag(value).over(wb)) \
@@ -40,5 +43,6 @@ def run_ids(df: DataFrame, key: str, order: str, value: str, block: int = 100_00
         wk.rowsBetween(Window.unboundedPreceding, -1)))
     summ = summ.select(key, "_blk", F.coalesce("_before", F.lit(0)).alias("_before"), "_start")
     res = d.join(summ, [key, "_blk"])
-    return res.withColumn(out, (F.col("_before") + F.col("_start") + F.col("_cum")).cast("long")) \
-        .drop("_blk", "_prev", "_first", "_chg", "_cum", "_before", "_start")
+    res = res.withColumn(out, (F.col("_before") + F.col("_start") + F.col("_cum")).cast("long")) \
+        .drop("_prev", "_first", "_chg", "_cum", "_before", "_start")
+    return res.withColumnRenamed("_blk", keep_block) if keep_block else res.drop("_blk")
