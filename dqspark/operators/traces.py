@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqspark.functions.exprs import py_strip, vote_from_label
 from dqspark.operators.windows import run_ids
@@ -106,16 +107,28 @@ def feedback_target(messages: DataFrame, clicks: DataFrame, conv: str = "conv_id
 # W1 ------------------------------------------------------------------------
 def latest_session(history: DataFrame, by: Sequence[str] = ("app_user",), region: str | None = None) -> DataFrame:
     """Most recently updated session per user (optionally within a region);
-    ties broken by session_id.
+    ties broken by the smallest session_id (the session key, never null).
+    Rows without an update time are not candidates.
 
-    Aggregations instead of a per-user window: the latest time per user is a
-    partial aggregate (a user with a huge history is reduced map-side), then
-    the rows at that time (normally one per user) pick the smallest session."""
+    One aggregation: ``min_by(row, (-update time, session_id))`` is a
+    partial aggregate, so a user with a huge history is reduced map-side and
+    the table is read once.  (For an update time that is neither a time nor a
+    number: the latest time per user, then the rows at that time.)"""
     h = history if region is None else history.where(F.col("region") == region.strip().lower())
     cols = [c for c in h.columns if c not in by]
-    mx = h.groupBy(*by).agg(F.max("updated_at").alias("_mx"))
-    at_max = h.join(mx, [*by]).where(F.col("updated_at") == F.col("_mx")).drop("_mx")
-    best = at_max.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("session_id")).alias("_b"))
+    h = h.where(F.col("updated_at").isNotNull() & F.col("session_id").isNotNull())
+    t = h.schema["updated_at"].dataType
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        recency = -F.unix_micros(F.col("updated_at").cast("timestamp"))
+    elif isinstance(t, T.NumericType):
+        recency = -F.col("updated_at")
+    else:
+        mx = h.groupBy(*by).agg(F.max("updated_at").alias("_mx"))
+        at_max = h.join(mx, [*by]).where(F.col("updated_at") == F.col("_mx")).drop("_mx")
+        best = at_max.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("session_id")).alias("_b"))
+        return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in cols])
+    order = F.struct(recency.alias("r"), F.col("session_id").alias("s"))
+    best = h.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("_b"))
     return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 

@@ -233,3 +233,17 @@ def test_evaluate_alerts_pages_equal_one_pass(spark):
     paged = rows(A.evaluate_alerts(scores, alerts, page_size=2).select(*key, "fired"), key)
     assert one == paged and len(one) == 18
     assert [r["fired"] for r in one if r["dataset"] == "d1"] == [True, False, False]      # score < 40
+
+
+def test_latest_session_ties_region_and_fallback(spark):
+    t1, t2 = dt.datetime(2024, 3, 1, 9), dt.datetime(2024, 3, 2, 9)
+    h = spark.createDataFrame([
+        ("u1", "s3", "apac", t2, 3), ("u1", "s2", "apac", t2, 2), ("u1", "s1", "apac", t1, 9),
+        ("u2", "s9", "cn", t1, 1), ("u2", "s8", "apac", None, 5), ("u3", "s7", "apac", None, 1)],
+        "app_user string, session_id string, region string, updated_at timestamp, turn_count int")
+    got = {r["app_user"]: (r["session_id"], r["turn_count"]) for r in rows(TR.latest_session(h))}
+    assert got == {"u1": ("s2", 2), "u2": ("s9", 1)}           # tie -> smallest id; null times ignored
+    apac = {r["app_user"]: r["session_id"] for r in rows(TR.latest_session(h, region=" APAC "))}
+    assert apac == {"u1": "s2"}
+    hs = h.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm"))   # string times
+    assert {r["app_user"]: (r["session_id"], r["turn_count"]) for r in rows(TR.latest_session(hs))} == got
