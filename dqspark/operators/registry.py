@@ -230,19 +230,22 @@ def name_candidates(requests: DataFrame, existing: DataFrame, base_col: str = "b
     ``_2`` ... ``_19``; case-insensitive against ``existing``.
     Output: base_name, candidate, rank, base_exists."""
     suffixes = F.sequence(F.lit(1), F.lit(max_suffix))
-    cands = requests.select(base_col).distinct().select(
+    cands = requests.select(base_col).where(F.col(base_col).isNotNull()).distinct().select(
         F.col(base_col), F.explode(suffixes).alias("_s")).select(
         base_col, "_s", F.when(F.col("_s") == 1, F.col(base_col))
         .otherwise(F.concat(F.col(base_col), F.lit("_"), F.col("_s").cast("string"))).alias("candidate"))
     ex = existing.select(F.lower(F.col(existing_col)).alias("_taken")).distinct()
-    free = cands.join(ex, F.lower(F.col("candidate")) == F.col("_taken"), "left_anti")
+    # one left join flags every candidate (the existing names are distinct, so
+    # at most one match each); windows over a base name's <= max_suffix
+    # candidates give both the base flag and the free candidates' ranks
+    j = cands.join(ex, F.lower(F.col("candidate")) == F.col("_taken"), "left") \
+        .withColumn("_is_taken", F.col("_taken").isNotNull())
+    base_exists = F.max(F.when(F.col("_s") == 1, F.col("_is_taken"))).over(Window.partitionBy(base_col))
+    j = j.withColumn("base_exists", base_exists)
     w = Window.partitionBy(base_col).orderBy("_s")
+    free = j.where(~F.col("_is_taken"))
     picked = free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= wanted)
-    base_taken = requests.select(base_col).distinct().join(
-        ex, F.lower(F.col(base_col)) == F.col("_taken"), "left").select(
-        base_col, F.col("_taken").isNotNull().alias("base_exists"))
-    return picked.join(base_taken, base_col).select(base_col, "candidate", F.col("rank").cast("long").alias("rank"),
-                                                    "base_exists")
+    return picked.select(base_col, "candidate", F.col("rank").cast("long").alias("rank"), "base_exists")
 
 
 # A4 / A5 -------------------------------------------------------------------
