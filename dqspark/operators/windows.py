@@ -46,3 +46,19 @@ def run_ids(df: DataFrame, key: str, order: str, value: str, block: int = 100_00
     res = res.withColumn(out, (F.col("_before") + F.col("_start") + F.col("_cum")).cast("long")) \
         .drop("_prev", "_first", "_chg", "_cum", "_before", "_start")
     return res.withColumnRenamed("_blk", keep_block) if keep_block else res.drop("_blk")
+
+
+def ordinal(df: DataFrame, order: str, out: str = "ordinal", partitions: int | None = None) -> DataFrame:
+    """Add ``out``: the 1-based position of each row in ``order`` order
+    (values unique), without a single-partition window.  Range partitioning
+    sorts the rows across tasks; per-partition row numbers are offset by the
+    sizes of the partitions before them (one small row per partition, the
+    only global step - its size is the partition count, so broadcasting it is
+    bounded)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order)))
+    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return s.join(F.broadcast(offsets), "_pid").select(*df.columns, (F.col("_off") + F.col("_rn")).alias(out))

@@ -149,9 +149,9 @@ def connections_from_pages(pages):
     first = F.regexp_extract("url", r"^(https?://[^/?#]+/[^/?#]+)", 1)
     locs = pages.select(host.alias("location")).union(pages.select(first.alias("location"))) \
         .where(F.col("location") != "").distinct()
-    from pyspark.sql import Window
-    w = Window.orderBy("location")
-    return locs.select(F.row_number().over(w).alias("ordinal"), "location") \
+    from dqspark.operators.windows import ordinal
+    # registry order = location order, numbered across tasks (no single-partition window)
+    return ordinal(locs, "location") \
         .select("ordinal", F.concat(F.lit("conn_"), F.col("ordinal")).alias("connName"), F.lit("S3").alias("type"),
                 "location")
 

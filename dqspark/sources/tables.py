@@ -55,6 +55,7 @@ def sample_csv(spark: SparkSession, path: str, limit: int = 10, max_bytes: int =
     head = df.limit(n)
     line_len = F.length(F.concat_ws(",", *[F.coalesce(F.col(_q(c)).cast("string"), F.lit("")) for c in df.columns])) + 1
     from pyspark.sql import Window
+    # one-partition window over the <= 50 rows of ``head`` (bounded by the limit)
     w = Window.orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)
     return head.withColumn("_bytes", F.sum(line_len).over(w)).where(F.col("_bytes") <= budget).drop("_bytes")
 
@@ -72,7 +73,7 @@ def list_objects(spark: SparkSession, prefix: str, max_keys: int = 50, glob: str
                                  F.col("modificationTime").alias("last_modified"))
     first = meta.orderBy("key").limit(n + 1)                       # n+1 rows tell whether more exist
     from pyspark.sql import Window
-    w = Window.orderBy("key")
+    w = Window.orderBy("key")                                       # over <= n+1 (<= 201) rows
     ranked = first.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(
         Window.partitionBy()))
     return ranked.where(F.col("_rn") <= n).select("key", "size", "last_modified",

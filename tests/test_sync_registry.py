@@ -248,3 +248,13 @@ def test_reconcile_sources_matches_except_all(spark):
         Counter((r["k"], r["v"], "target_only") for r in rows(t.exceptAll(s)))
     assert got == exp
     assert got[("a", 1, "source_only")] == 7 and got[("b", 2, "target_only")] == 7
+
+
+def test_ordinal_equals_global_row_number(spark):
+    from pyspark.sql import Window
+
+    from dqspark.operators.windows import ordinal
+    df = spark.createDataFrame([(f"k{i:04d}",) for i in range(0, 3000, 7)], "v string").repartition(5)
+    got = {r["v"]: r["ordinal"] for r in rows(ordinal(df, "v", partitions=6))}
+    exp = {r["v"]: r["rn"] for r in rows(df.select("v", F.row_number().over(Window.orderBy("v")).alias("rn")))}
+    assert got == exp
