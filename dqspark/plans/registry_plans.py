@@ -67,14 +67,14 @@ SCHEMAS = ["anz", "cn", "hk", "jp", "kr", "region", "tw", "vn", "na", "pixonomy"
 _SC = "[" + ",".join(f"'{s}'" for s in SCHEMAS) + "]"
 
 
-def customer_requests(customer):
+def customer_requests(customer, keep=()):
     sc = F.array(*[F.lit(s) for s in SCHEMAS])
     db = F.element_at(sc, (F.col("c_nationkey") % len(SCHEMAS) + 1).cast("int"))
     seg = F.lower("c_mktsegment")
     tbl = (F.when(seg == "building", F.concat(seg, F.lit("_angen")))
            .when(seg == "automobile", F.concat(seg, F.lit("_angen_maf")))
            .when(seg == "machinery", F.concat(F.lit("sales_dp_"), seg)).otherwise(seg))
-    return customer.select("c_custkey", db.alias("db_nm"), tbl.alias("table_nm")) \
+    return customer.select("c_custkey", db.alias("db_nm"), tbl.alias("table_nm"), *keep) \
         .withColumn("dataset", dataset_name("redshift", F.lit("local"), F.col("db_nm"), F.col("table_nm")))
 
 
@@ -136,9 +136,10 @@ FROM j""")
 def dataset_business_unit(spark, sf):
     """First mapping row per dataset, then its unit, parsed into market / project / CDE."""
     cust = table(spark, sf, "customer")
-    req = customer_requests(cust)
-    mapping = req.join(cust.select("c_custkey", "c_nationkey"), "c_custkey").select(
-        F.col("c_custkey").alias("id"), "dataset", (F.col("c_nationkey") + 100).cast("long").alias("businessUnitId"))
+    # one projection of customer carries the request fields and its unit id
+    # (c_custkey is the key, so no self-join is needed)
+    req = customer_requests(cust.withColumn("_unit", (F.col("c_nationkey") + 100).cast("long")), keep=["_unit"])
+    mapping = req.select(F.col("c_custkey").alias("id"), "dataset", F.col("_unit").alias("businessUnitId"))
     datasets = req.select("dataset").distinct()
     return G.dataset_business_unit(datasets, mapping, units_from_nation(table(spark, sf, "nation")))
 
