@@ -423,6 +423,9 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
             r = bc.value
             for pdf in it:
                 yield _score_block(pdf, r, *args)
+        # explicit round-robin: the scoring is CPU-heavy per key while the keys
+        # are few bytes, so AQE would coalesce them into very few partitions;
+        # a repartition with a number is never coalesced
         top = keys.repartition(max(par, keys.rdd.getNumPartitions())).mapInPandas(score_parts, MATCH_SCHEMA)
     else:
         n_chunks = int(reg.count() // max_registry_rows) + 1
