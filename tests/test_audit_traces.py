@@ -247,3 +247,26 @@ def test_latest_session_ties_region_and_fallback(spark):
     assert apac == {"u1": "s2"}
     hs = h.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm"))   # string times
     assert {r["app_user"]: (r["session_id"], r["turn_count"]) for r in rows(TR.latest_session(hs))} == got
+
+
+def test_ordered_concat_property(spark):
+    """Random groups, order values, null texts and block sizes: the two-level
+    join equals sorting each group's (order, text) pairs and joining."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.sampled_from(["g1", "g2", "g3"]), st.integers(0, 60),
+                    st.one_of(st.none(), st.text("abc", min_size=0, max_size=3)))
+
+    @settings(max_examples=12, deadline=None)
+    @given(st.lists(row, min_size=1, max_size=40, unique_by=lambda r: (r[0], r[1])), st.integers(1, 9))
+    def check(data, block):
+        df = spark.createDataFrame(data, "g string, o long, t string")
+        got = {r["g"]: (r["t"], r["n_parts"]) for r in rows(TR.ordered_concat(df, ["g"], "o", "t", "|", block=block))}
+        exp = {}
+        for g in {d[0] for d in data}:
+            grp = sorted((d for d in data if d[0] == g), key=lambda d: d[1])
+            exp[g] = ("|".join(d[2] for d in grp if d[2] is not None), len(grp))
+        assert got == exp
+
+    check()
