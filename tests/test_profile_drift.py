@@ -201,3 +201,33 @@ def test_value_drift_by_run_equals_two_sided(spark):
     assert got == exp
     st = {(r["column_name"], r["value"]): r["status"] for r in got}
     assert st[("c1", "z")] == "appeared" and st[("c1", "y")] == "disappeared" and st[("c2", None)] == "unchanged"
+
+
+def test_value_drift_by_run_property(spark):
+    """Random rows of three runs (the third is ignored) and null values: the
+    one-scan drift equals counting each column's values per run."""
+    from collections import Counter
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.sampled_from(["r1", "r2", "r3"]), st.one_of(st.none(), st.sampled_from(["x", "y", "z"])),
+                    st.one_of(st.none(), st.integers(0, 3)))
+
+    @settings(max_examples=10, deadline=None)
+    @given(st.lists(row, max_size=40))
+    def check(data):
+        df = spark.createDataFrame(data, "run string, c1 string, c2 int")
+        got = {(r["column_name"], r["value"]): (r["count_a"], r["count_b"], r["status"])
+               for r in rows(D.value_drift_by_run(df, F.col("run"), "r1", "r2", ["c1", "c2"]))}
+        exp = {}
+        for i, c in ((1, "c1"), (2, "c2")):
+            a = Counter(None if d[i] is None else str(d[i]) for d in data if d[0] == "r1")
+            b = Counter(None if d[i] is None else str(d[i]) for d in data if d[0] == "r2")
+            for v in set(a) | set(b):
+                st_ = "appeared" if a[v] == 0 else "disappeared" if b[v] == 0 else \
+                    "changed" if a[v] != b[v] else "unchanged"
+                exp[(c, v)] = (a[v], b[v], st_)
+        assert got == exp
+
+    check()
