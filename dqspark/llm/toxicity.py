@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,11 @@ from pyspark.sql.types import StructType
 
 from dqspark.llm.common import bounded_labels, crc_fold, logistic_fit, written
 
-ORDER = 8
+ORDER = 6
 #: Discount of corpus counts, and of class counts.
 DISCOUNT, CLASS_DISCOUNT = 0.75, 1.5
 #: Further weight of the shared distribution, in occurrences of the context.
-SHARED = 5.0
+SHARED = 20.0
 #: Log-likelihoods of a word that differ by less count as equal: small
 #: differences, which a language's share of a class also makes, don't add up.
 DEAD_ZONE = 2.5
@@ -39,7 +39,7 @@ ALPHABET = 256
 #: Labelled rows of each class that counts and calibration are learned from.
 PER_CLASS = 10_000
 #: Log-ratios kept in the model that tasks get: 4 bytes each, whatever the corpus.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -69,28 +69,32 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
               .select("_text", F.col("_label"), F.col("_fold")))
 
     def count(batches):
-        words = [Counter() for _ in range(5)]
+        chunks = [Counter() for _ in range(5)]
 
         def flush():
-            total = defaultdict(lambda: [0] * 5)
-            for k, counter in enumerate(words):
+            total = [Counter() for _ in range(5)]
+            for kind, counter in enumerate(chunks):
+                words = Counter()
                 for chunk, n in counter.items():
                     for w in words_of(chunk):
-                        for g in grams(w):
-                            total[g][k] += n
+                        words[w] += n
                 counter.clear()
-            cols = list(zip(*total.values(), strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array(c, pa.int64()) for c in cols)],
-                                              ["gram", "n", *_COUNTS])
+                into = total[kind]
+                for w, n in words.items():
+                    for g in grams(w):
+                        into[g] += n
+            names = list(total[0])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(map(t.__getitem__, names), pa.int64(), len(names))
+                                                                               for t in total)], ["gram", "n", *_COUNTS])
 
         for b in batches:
-            for text, label, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parts = text.split()
-                words[0].update(parts)
+            for text, label, fold in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                parts = text.as_py().split()
+                chunks[0].update(parts)
                 if label is not None:
-                    words[1 + 2 * (label == 0) + (fold == 2)].update(parts)
-            if len(words[0]) > 500_000:
-                yield flush()
+                    chunks[1 + 2 * (label == 0) + (fold == 2)].update(parts)
+                if len(chunks[0]) > 300_000:  # bounds the task's memory
+                    yield flush()
         yield flush()
 
     each = marked.mapInArrow(count, "gram string, " + ", ".join(f"{c} bigint" for c in ("n", *_COUNTS)))
@@ -160,14 +164,24 @@ class _ChunkScores(dict):
     def __init__(self, table):
         super().__init__()
         self.table = table
+        self.words: dict[str, float] = {}
+
+    def word(self, w):
+        v = self.words.get(w)
+        if v is None:
+            r = sum(self.table[_slot(g)] for g in grams(w))
+            v = max(0.0, r - DEAD_ZONE) - max(0.0, -r - DEAD_ZONE)
+            if len(self.words) >= 300_000:
+                self.words.clear()
+            self.words[w] = v
+        return v
 
     def __missing__(self, chunk):
         v = 0j
         for w in words_of(chunk):
-            r = sum(self.table[_slot(g)] for g in grams(w))
-            v += complex(max(0.0, r - DEAD_ZONE) - max(0.0, -r - DEAD_ZONE), 1)
+            v += complex(self.word(w), 1)
         if len(chunk) <= 48:
-            if len(self) >= 500_000:
+            if len(self) >= 400_000:
                 self.clear()
             self[chunk] = v
         return v
@@ -187,7 +201,7 @@ def _mean_ratios(rows: DataFrame, model) -> DataFrame:
             _SCORES[name] = _ChunkScores(memoryview(model.value))
         get = _SCORES[name].__getitem__
         for b in batches:
-            total = [sum(map(get, t.split()), 0j) for t in b.column("_text").to_pylist()]
+            total = [sum(map(get, t.as_py().split()), 0j) for t in b.column("_text")]
             x = np.array([v.real / v.imag if v.imag else 0.0 for v in total])
             x = np.sign(x) * np.log1p(np.abs(x) / KNEE)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.float64())], [*keep, "_x"])
