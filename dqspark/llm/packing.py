@@ -137,26 +137,26 @@ def pack_best_two_fit(docs: DataFrame, tokenizer_path: str, max_len: int = 2048,
     sizes = pieces.groupBy("length", "_g").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
 
-    # places: for each length, runs of bins that take `uses` pieces each
-    places, next_bin, dealt = [], 0, dict.fromkeys(counts, 0)
+    # for each length its runs of bins, which take len(offsets) pieces each
+    runs, next_bin, dealt = {}, 0, dict.fromkeys(counts, 0)
     for bin_, times in plan_two_fit(counts, max_len):
         offset, at = {}, 0
         for length in bin_:
             offset.setdefault(length, []).append(at)
             at += length
         for length, offsets in offset.items():
-            places.append((length, dealt[length], dealt[length] + len(offsets) * times, next_bin, offsets))
-            dealt[length] += len(offsets) * times
+            upto = dealt[length] + len(offsets) * times
+            runs.setdefault(length, []).append((dealt[length], upto, next_bin, offsets))
+            dealt[length] = upto
         next_bin += times
-    table = spark.createDataFrame(places, "_len bigint, _from bigint, _to bigint, _bin bigint, _offsets array<int>")
+    runs = spark.createDataFrame(list(runs.items()), "_len bigint, _runs array<struct<_from: bigint, _to: bigint, _bin: bigint, "
+                                 "_offsets: array<int>>>")
 
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     order = Window.partitionBy("length", "_g").orderBy("_id", "piece", "ids_crc32")
     numbered = (pieces.withColumn("_r", F.row_number().over(order) - 1).join(bases, ["length", "_g"])
                 .withColumn("_n", F.col("_base") + F.col("_r")))
-    # a length's runs as one sorted array: a piece finds its run in it
-    runs = table.groupBy("_len").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_bin", "_offsets"))).alias("_runs"))
     run = F.filter("_runs", lambda x: (x["_from"] <= F.col("_n")) & (F.col("_n") < x["_to"]))[0]
     placed = numbered.join(runs, numbered["length"] == runs["_len"]).withColumn("_run", run)
     uses = F.size("_run._offsets")

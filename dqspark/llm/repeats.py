@@ -349,10 +349,11 @@ def find_repeats(rows: DataFrame, min_len: int = 400, gram: int = GRAM, tree_lim
     body = rows.select("_id", "_h", utf8(F.col("_text")).alias("_b")).filter(F.octet_length("_b") >= min_len)
     runs = written(body.mapInArrow(_anchor_batches(min_len, gram), f"_id {id_type}, _h bigint, anchor bigint, context bigint, "
                                    "x bigint, lo bigint, hi bigint"), "repeat-anchors")
-    again = runs.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor")
+    # stored, so that the joins read both sides by shuffles that Spark can split at a hot key
+    again = written(runs.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor"), "repeat-grams")
     runs = written(runs.join(again, "anchor", "left_semi"), "repeat-runs")
     place = F.struct("_h", "x", "_id", "lo", "hi")
-    contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("_n"), F.min(place).alias("_at"))
+    contexts = written(runs.groupBy("anchor", "context").agg(F.count("*").alias("_n"), F.min(place).alias("_at")), "repeat-contexts")
     equal = contexts.filter("_n > 1").select("anchor", "context")
     whole = (runs.join(equal, ["anchor", "context"], "left_semi")
              .select("_id", "_h", F.col("lo").alias("first"), (F.col("hi") + min_len).alias("last"), F.col("context").alias("repeat")))
