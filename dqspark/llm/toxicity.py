@@ -27,7 +27,7 @@ ORDER = 6
 #: Discount of corpus counts, and of class counts.
 DISCOUNT, CLASS_DISCOUNT = 0.75, 1.5
 #: Further weight of the shared distribution, in occurrences of the context.
-SHARED = 20.0
+SHARED = 8.0
 #: Log-likelihoods of a word that differ by less count as equal: small
 #: differences, which a language's share of a class also makes, don't add up.
 DEAD_ZONE = 2.5
@@ -84,8 +84,8 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
                     for g in grams(w):
                         into[g] += n
             names = list(total[0])
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(map(t.__getitem__, names), pa.int64(), len(names))
-                                                                               for t in total)], ["gram", "n", *_COUNTS])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([t[g] for g in names], pa.int64()) for t in total)],
+                                              ["gram", "n", *_COUNTS])
 
         for b in batches:
             for text, label, fold in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
