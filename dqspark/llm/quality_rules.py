@@ -67,7 +67,7 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def sketch(stats: DataFrame) -> DataFrame:
     """``(lang, source, rule, value, c)``: rows of each group per thousandth
     of each rule's ratio (at most 100 a word), from rows that passed the base."""
-    value = (lambda col: F.least(F.floor(1000 * F.col(col) / F.col("n_words")), F.lit(100_000)).cast("int"))
+    value = (lambda col: F.least(F.floor(F.try_divide(1000 * F.col(col), F.col("n_words"))), F.lit(100_000)).cast("int"))
     each = F.array(*[F.struct(F.lit(r).alias("rule"), value(c).alias("value")) for r, (c, _, _) in RULES.items()])
     return (stats.filter(~F.col("base_failed")).select("_lang", "_source", F.explode(each).alias("_v"))
             .groupBy("_lang", "_source", "_v.rule", "_v.value").agg(F.count("*").alias("c")))
@@ -126,7 +126,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = stats.join(limits, stats["_lang"].eqNullSafe(limits["_glang"]) & stats["_source"].eqNullSafe(limits["_gsource"]), "left")
     kept = ~F.col("base_failed")
     for rule, (count, _, _) in RULES.items():
-        value = F.floor(1000 * F.col(count) / F.col("n_words"))
+        value = F.floor(F.try_divide(1000 * F.col(count), F.col("n_words")))
         kept = kept & F.coalesce(value.between(F.col(f"lo_{rule}"), F.col(f"hi_{rule}")), F.lit(False))
     return d.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", kept.alias("kept"))
