@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and null-aware key joins."""
+"""Join helpers: null-aware key joins (J1).  Broadcasts are left to the planner."""
 
 from __future__ import annotations
 
@@ -7,23 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast explicitly.  Above it the join is left
-# to Catalyst (sort-merge / shuffle-hash, AQE may still convert at runtime).
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Runs ``limit(n+1)
-    .count()``, which stops reading once the bound is exceeded."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven to be within
-    ``max_rows``; otherwise ``df`` unchanged so the planner shuffles."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
-
 def key_condition(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool):
     cond = None
     for k in keys:
@@ -37,13 +20,3 @@ def filter_new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) ->
     matches missing (null-safe equality), as pandas ``isin`` does."""
     ex = existing.select(*keys).distinct()
     return df.join(ex, key_condition(df, ex, keys, null_safe=True), "left_anti")
-
-
-def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than
-    the cluster's default parallelism (e.g. one small file with a single row
-    group).  Used before per-row heavy work (unpivot, pandas scoring).  On
-    large inputs the scan already has thousands of splits and this is a no-op,
-    so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from dqspark.functions.exprs import py_strip
 from pyspark.sql import types as T
 
-from dqspark.operators.joins import ensure_parallel
-
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 _FLOATING = (T.FloatType, T.DoubleType)
@@ -61,7 +59,7 @@ def unpivot(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
         vals = [(_norm_double(F.col(_q(c))) if isinstance(_dtype(df, c), _FLOATING) else F.col(_q(c)))
                 .cast(value) for c in cols]
     tmp = [f"_v{i}" for i in range(len(cols))]
-    src = ensure_parallel(df.select(*[F.col(_q(c)) for c in dict.fromkeys([*ids, *cols])]))
+    src = df.select(*[F.col(_q(c)) for c in dict.fromkeys([*ids, *cols])])
     wide = src.select(*[F.col(_q(i)) for i in ids], *[v.alias(t) for v, t in zip(vals, tmp)])
     long = wide.unpivot(list(ids), tmp, name_col, value_col)
     names = F.create_map(*[x for t, c in zip(tmp, cols) for x in (F.lit(t), F.lit(c))])
@@ -85,35 +83,38 @@ def profile_table(df: DataFrame, table_name: str | None = None) -> DataFrame:
 
 # A2 ------------------------------------------------------------------------
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                    value_type: str = "double", rsd: float = 0.01) -> DataFrame:
+                    value_type: str | None = None, rsd: float = 0.01) -> DataFrame:
     """One row per column: row_count, null_count, distinct_count (non-null),
     min_value, max_value, null_fraction_ref, null_ratio.
 
+    Any column type: counts and extremes come from one typed aggregate per
+    column (one map-side pass), distinct values from their own pass over the
+    values' exact text.  ``value_type``: ``double`` or ``string`` form of the
+    extremes (default: double if all columns are numeric; use ``string`` to
+    see longs beyond 2^53 exactly).
+
     ``null_fraction_ref = null_count / (distinct_count + null_count)`` (0 when
     the denominator is 0) is the reference's formula, whose denominator is not
     the row count; ``null_ratio = null_count / row_count`` is the usual one.
     """
     cols = list(cols or df.columns)
+    value_type = value_type or ("double" if all(is_numeric(df, c) for c in cols) else "string")
+    typed = [_norm_double(F.col(_q(c))) if isinstance(_dtype(df, c), _FLOATING) else F.col(_q(c)) for c in cols]
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, v in enumerate(typed) for x in (
+        F.count(v).alias(f"c{i}"), F.min(v).cast(value_type).alias(f"lo{i}"), F.max(v).cast(value_type).alias(f"hi{i}"))])
     if value_type == "double":
-        bad = [c for c in cols if not is_numeric(df, c)]
-        if bad:
-            raise ValueError(f"value_type='double' needs numeric columns, got {bad}")
-    long = unpivot(df, cols, value=value_type)
+        wide = wide.withColumns({f"{e}{i}": F.col(f"{e}{i}") + F.lit(0.0) for i in range(len(cols)) for e in ("lo", "hi")})
+    stats = wide.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col("n").alias("row_count"), (F.col("n") - F.col(f"c{i}")).alias("null_count"),
+        F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(cols)])))
     distinct = (F.count_distinct("value") if exact else F.approx_count_distinct("value", rsd))
-    agg = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count("value").alias("non_null_count"),
-        distinct.alias("distinct_count"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"))
-    null_count = F.col("row_count") - F.col("non_null_count")
-    den = F.col("distinct_count") + null_count
-    return agg.select(
-        "column_name", "row_count", null_count.alias("null_count"), "distinct_count",
-        "min_value", "max_value",
-        F.when(den == 0, F.lit(0.0)).otherwise(null_count / den).alias("null_fraction_ref"),
+    kinds = unpivot(df, cols, value="string").groupBy("column_name").agg(distinct.alias("distinct_count"))
+    den = F.col("distinct_count") + F.col("null_count")
+    return stats.join(kinds, "column_name").select(
+        "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value",
+        F.when(den == 0, F.lit(0.0)).otherwise(F.col("null_count") / den).alias("null_fraction_ref"),
         F.when(F.col("row_count") == 0, F.lit(0.0))
-         .otherwise(null_count / F.col("row_count")).alias("null_ratio"))
+         .otherwise(F.col("null_count") / F.col("row_count")).alias("null_ratio"))
 
 
 # T3 ------------------------------------------------------------------------
@@ -262,7 +263,7 @@ def run_profile(df: DataFrame, run: Column | str, cols: Sequence[str], exact: bo
     runs is profiled in one scan.  Formula for the C-tagged ratios is ours.
     """
     run_c = F.col(run) if isinstance(run, str) else run
-    base = ensure_parallel(df.select(run_c.alias("run_id"), *[F.col(_q(c)) for c in cols]))
+    base = df.select(run_c.alias("run_id"), *[F.col(_q(c)) for c in cols])
     vals, types = [], []
     for c in cols:
         dt = _dtype(df, c)

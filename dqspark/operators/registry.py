@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.functions.exprs import infer_market, infer_project, py_strip
-from dqspark.operators.joins import bounded_broadcast
 
 
 def _c(c) -> Column:
@@ -163,7 +162,7 @@ def parse_object_path(path, schemes: Sequence[str] = ("s3://",)) -> list[Column]
     for s in schemes:
         cond = F.startswith(F.lower(p), F.lit(s.lower()))
         ok_scheme = cond if ok_scheme is None else (ok_scheme | cond)
-        r = F.substring(p, len(s) + 1, 1 << 20)
+        r = F.substr(p, F.lit(len(s) + 1))
         rest = F.when(cond, r) if rest is None else rest.when(cond, r)
     segs = F.filter(F.split(rest, "/"), lambda x: x != "")
     n = F.size(segs)
@@ -175,39 +174,41 @@ def parse_object_path(path, schemes: Sequence[str] = ("s3://",)) -> list[Column]
 
 
 def resolve_connection(spark: SparkSession, paths: DataFrame, connections: DataFrame, id_col: str = "path_id",
-                       path_col: str = "path", strict: bool = False, schemes: Sequence[str] = ("s3://",),
-                       max_lengths: int = 4096) -> DataFrame:
+                       path_col: str = "path", strict: bool = False, schemes: Sequence[str] = ("s3://",)) -> DataFrame:
     """Longest connection location that prefixes each path (case-insensitive,
     trailing '/' stripped); ties keep registry order (``ordinal``).
 
-    A prefix theta-join becomes an equi-join: every path is expanded only to
-    its prefixes whose lengths occur among the locations (a bounded set:
-    at most ``max_lengths`` distinct lengths, checked), so candidate rows are
-    produced by hashing, never by pairing every path with every location.
+    A prefix join as equi-joins: a location with a folder must agree with the
+    path on scheme and host, so they join on that and the rest is compared;
+    a location without a folder may end within the host, so it joins the
+    prefixes of the *distinct* hosts.  The best match is an aggregate.
     ``strict=True`` also requires the match to end at a '/' boundary (the
     reference's prefix is not segment-aware).
     """
-    conns = connections.select(
-        "ordinal", "connName", "location",
-        F.lower(F.regexp_replace("location", "/+$", "")).alias("_loc")).where(F.col("_loc") != "")
-    lens = conns.select(F.length("_loc").alias("len")).distinct().limit(max_lengths + 1).collect()
-    if len(lens) > max_lengths:                 # at most max+1 small ints reach the driver
-        raise ValueError(f"more than {max_lengths} distinct location lengths")
-    lengths = sorted(r["len"] for r in lens)
+    head = lambda x: F.regexp_extract(x, "^(?:[a-z0-9+.-]*://)?[^/]*", 0)   # noqa: E731  scheme and host
+    conns = connections.select("ordinal", "connName", "location", F.lower(F.regexp_replace("location", "/+$", "")).alias("_loc")) \
+        .where(F.col("_loc") != "").withColumn("_lhead", head(F.col("_loc")))
     norm = F.lower(F.regexp_replace(py_strip(F.col(path_col)), "/+$", ""))
-    base = paths.select("*", norm.alias("_norm"), *parse_object_path(F.col(path_col), schemes))
-    cand = base.select("*", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("_len")) \
-        .where(F.length("_norm") >= F.col("_len")) \
-        .withColumn("_prefix", F.substring("_norm", 1, F.col("_len")))
+    base = paths.select("*", norm.alias("_norm"), *parse_object_path(F.col(path_col), schemes)).withColumn("_head", head(F.col("_norm")))
+    keyed = base.select(F.col(id_col).alias("_pid"), "_norm", "_head")
+    folders = conns.where(F.col("_loc") != F.col("_lhead"))
+    ends = F.length("_norm") == F.length("_loc")
+    at_bound = ends | (F.substr("_norm", F.length("_loc") + 1, F.lit(1)) == "/") if strict else F.lit(True)
+    deep = keyed.join(folders, keyed["_head"] == folders["_lhead"]) \
+        .where(F.col("_norm").startswith(F.col("_loc")) & at_bound).select("_pid", "connName", "location", "ordinal")
+    hosts = keyed.select("_head").distinct()
+    begins = hosts.select("_head", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_head"), F.lit(1))),
+                                                         lambda n: F.substr("_head", F.lit(1), n))).alias("_begin"))
     if strict:
-        nxt = F.substring("_norm", F.col("_len") + 1, 1)
-        cand = cand.where((nxt == "") | (nxt == "/"))
-    matched = cand.join(bounded_broadcast(conns), cand["_prefix"] == conns["_loc"], "inner")
-    w = Window.partitionBy(id_col).orderBy(F.length("location").desc(), F.col("ordinal").asc())
-    best = matched.withColumn("_rn", F.row_number().over(w)).where("_rn = 1") \
-        .select(id_col, "connName", "location")
-    out = base.join(best, id_col, "left")
-    return out.select(*paths.columns, F.col("connName").alias("connection_name"), "location",
+        begins = begins.where(F.col("_begin") == F.col("_head"))
+    shallow = conns.where(F.col("_loc") == F.col("_lhead"))
+    by_host = begins.join(shallow, begins["_begin"] == shallow["_loc"]).select(
+        F.col("_head").alias("_h"), "connName", "location", "ordinal")
+    wide = keyed.join(by_host, keyed["_head"] == by_host["_h"]).select("_pid", "connName", "location", "ordinal")
+    best = deep.unionByName(wide).groupBy("_pid").agg(F.max_by(
+        F.struct("connName", "location"), F.struct(F.length("location").alias("n"), (-F.col("ordinal")).alias("o"))).alias("_b"))
+    out = base.join(best, base[id_col].eqNullSafe(best["_pid"]), "left")
+    return out.select(*paths.columns, F.col("_b.connName").alias("connection_name"), F.col("_b.location").alias("location"),
                       "schema", "table", "error")
 
 
@@ -277,11 +278,12 @@ def domain_votes(matches: DataFrame, keys: Sequence[str] = ("target_id",), domai
 
 
 # J5 / E9 -------------------------------------------------------------------
-_TOK = re.compile(r"[^a-z0-9]+")
+_NAME_WORD = re.compile("[a-z0-9]{2,}")
 
 
-def py_tokens(s) -> frozenset:
-    return frozenset(t for t in _TOK.split((s or "").lower()) if len(t) > 1)
+def _name_words(*names) -> frozenset:
+    """Words of at least two characters in any of the names."""
+    return frozenset(w for n in names if n for w in _NAME_WORD.findall(n.lower()))
 
 
 def sequence_ratio_py(a: str, b: str) -> float:
@@ -297,7 +299,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 KEY_COLS = ["dataset", "table_nm", "connectionName", "db_nm"]
 MATCH_SCHEMA = ("dataset string, table_nm string, connectionName string, db_nm string, rank int, "
-                "match_dataset string, similarity double, score double")
+                "match_dataset string, match_id bigint, similarity double, score double")
 _NBUCKET = 128
 
 
@@ -326,7 +328,7 @@ def _score_block(tg: pd.DataFrame, reg: pd.DataFrame, n: int, w_tok: float, w_ra
     * Score = w_tok*J + w_ratio*R, then + b_conn, then + b_schema, in the
       reference's order so rounding (and hence ties) match it.
     """
-    reg_tokens = [py_tokens(d) | py_tokens(t) for d, t in zip(reg["dataset"], reg["table_nm"])]
+    reg_tokens = [_name_words(d, t) for d, t in zip(reg["dataset"], reg["table_nm"])]
     vocab = {t: k for k, t in enumerate(sorted(set().union(*reg_tokens)))} if reg_tokens else {}
     inc = np.zeros((len(reg_tokens), max(len(vocab), 1)), dtype=np.int32)
     for r_i, toks in enumerate(reg_tokens):
@@ -339,12 +341,13 @@ def _score_block(tg: pd.DataFrame, reg: pd.DataFrame, n: int, w_tok: float, w_ra
     reg_conn = np.array([(c or "").lower() for c in reg["connectionName"]], dtype=object)
     reg_db = np.array([(c or "").lower() for c in reg["db_nm"]], dtype=object)
     reg_names = np.array(reg["dataset"].astype(object))
+    reg_ids = reg["_rid"].to_numpy()
     out = []
     by_name: dict = {}
     for ds, tb, conn, db in zip(tg["dataset"], tg["table_nm"], tg["connectionName"], tg["db_nm"]):
         key = (ds, tb)
         if key not in by_name:
-            tt = py_tokens(ds) | py_tokens(tb)
+            tt = _name_words(ds, tb)
             idx = [vocab[t] for t in tt if t in vocab]
             inter = inc[:, idx].sum(axis=1).astype(float) if idx else np.zeros(len(reg_lower))
             union = len(tt) + reg_sizes - inter
@@ -378,12 +381,12 @@ def _score_block(tg: pd.DataFrame, reg: pd.DataFrame, n: int, w_tok: float, w_ra
                 best.append(sc)
                 best.sort(reverse=True)
                 del best[n + 1:]
-        idx_top = np.lexsort((reg_names, -score))[:n]
+        idx_top = np.lexsort((reg_ids, reg_names, -score))[:n]
         for rank, i in enumerate(idx_top, start=1):
             if score[i] < 0:
                 continue
-            out.append((ds, tb, conn, db, rank, reg_names[i], round(float(score[i]), 3), float(score[i])))
-    return pd.DataFrame(out, columns=KEY_COLS + ["rank", "match_dataset", "similarity", "score"])
+            out.append((ds, tb, conn, db, rank, reg_names[i], reg_ids[i], round(float(score[i]), 3), float(score[i])))
+    return pd.DataFrame(out, columns=KEY_COLS + ["rank", "match_dataset", "match_id", "similarity", "score"])
 
 
 def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFrame, top_n: int = 10,
@@ -409,7 +412,9 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
     from dqspark.session import ship_package
     ship_package(spark)
     n = clamp(top_n, 1, 50)
-    reg = registry.select(*KEY_COLS)
+    # rows are matched back by an id of their whole content: names may repeat (equal rows count once)
+    registry = registry.withColumn("_rid", F.xxhash64(*registry.columns)).dropDuplicates(["_rid"])
+    reg = registry.select(*KEY_COLS, "_rid")
     # score each distinct target key once (a hot key is scored once, not per row)
     keys = targets.select(*KEY_COLS).distinct()
     par = spark.sparkContext.defaultParallelism
@@ -439,7 +444,7 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
             return _score_block(tpdf, rpdf, *args)
         per_chunk = tg_b.groupBy("bucket", "chunk").cogroup(reg_rep.groupBy("bucket", "chunk")) \
             .applyInPandas(score_block, MATCH_SCHEMA)
-        w = Window.partitionBy(*KEY_COLS).orderBy(F.col("score").desc(), F.col("match_dataset").asc())
+        w = Window.partitionBy(*KEY_COLS).orderBy(F.col("score").desc(), F.col("match_dataset").asc(), F.col("match_id").asc())
         top = per_chunk.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     t = targets.select("target_id", *KEY_COLS)
     cond = None
@@ -447,7 +452,6 @@ def similar_datasets(spark: SparkSession, targets: DataFrame, registry: DataFram
         c = t[k].eqNullSafe(top[k])
         cond = c if cond is None else (cond & c)
     per_target = t.join(top, cond, "inner").select("target_id", F.col("rank").cast("long").alias("rank"),
-                                                   "match_dataset", "similarity")
-    carried = registry.withColumnRenamed("dataset", "match_dataset").drop("table_nm", "connectionName", "db_nm")
-    carried = F.broadcast(carried) if small else carried             # size known from the check above
-    return per_target.join(carried, "match_dataset", "left")
+                                                   "match_dataset", "similarity", "match_id")
+    carried = registry.drop(*KEY_COLS)
+    return per_target.join(carried, per_target["match_id"] == carried["_rid"], "left").drop("match_id", "_rid")

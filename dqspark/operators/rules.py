@@ -43,11 +43,17 @@ FINDING_TYPES = {"dqItems": ["behaviorScore", "schemaScore"], "rules": ["ruleSco
 # catalogue itself is ours; the reference only shows that templates exist.
 RULE_TEMPLATES = {
     "null_empty": "$colNm IS NULL OR trim(CAST($colNm AS STRING)) = ''",
-    "not_in_set": "$colNm IS NOT NULL AND $colNm NOT IN ({values})",
-    "regex": "$colNm IS NOT NULL AND NOT regexp_like(CAST($colNm AS STRING), '{pattern}')",
     "range": "$colNm IS NOT NULL AND $colNm NOT BETWEEN {low} AND {high}",
     "length": "$colNm IS NOT NULL AND length(CAST($colNm AS STRING)) > {max_len}",
 }
+# The templates as conditions; parameters are values, never SQL text.
+_TEMPLATE_CONDITIONS = {
+    "null_empty": lambda c: c.isNull() | (F.trim(c.cast("string")) == ""),
+    "not_in_set": lambda c, values: ~c.isin(*values),
+    "regex": lambda c, pattern: ~c.cast("string").rlike(pattern),
+    "range": lambda c, low, high: ~c.between(low, high),
+    "length": lambda c, max_len: F.length(c.cast("string")) > max_len,
+}
 
 
 def _q(c: str) -> str:
@@ -82,11 +88,20 @@ def expand_template(template: str, column: str, quote=_q, **params) -> str:
     return body.replace("$colNm", quote(column)).format(**params)
 
 
-def rule_condition(df: DataFrame, condition: str, filter_query: str | None = None) -> DataFrame:
+def template_condition(template: str, column: str, **params) -> Column:
+    """F8 as an expression: a named template, or SQL text with ``$colNm``.  A
+    null value breaks no rule but ``null_empty`` (the condition is null)."""
+    if template in _TEMPLATE_CONDITIONS:
+        return _TEMPLATE_CONDITIONS[template](F.col(_q(column)), **params)
+    return F.expr(template.replace("$colNm", _q(column)))
+
+
+def rule_condition(df: DataFrame, condition: str | Column, filter_query: str | None = None) -> DataFrame:
     """F6 (SQLG): rows matching the bare condition are breaks; F9: an
     optional pre-filter applies first."""
     d = df.where(F.expr(filter_query)) if filter_query else df
-    return d.where(F.coalesce(F.expr(condition), F.lit(False)))
+    cond = F.expr(condition) if isinstance(condition, str) else condition
+    return d.where(F.coalesce(cond, F.lit(False)))
 
 
 # F7 ------------------------------------------------------------------------
@@ -118,12 +133,11 @@ def rule_break_rates(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     """
     aggs, meta = [], []
     for i, r in enumerate(rules):
-        cond = r["ruleValue"]
-        if r.get("ruleRepo"):
-            cond = expand_template(r["ruleRepo"], r["columnName"], **(r.get("params") or {}))
+        cond = (template_condition(r["ruleRepo"], r["columnName"], **(r.get("params") or {})) if r.get("ruleRepo")
+                else F.expr(r["ruleValue"]))
         flt = F.expr(r["filterQuery"]) if r.get("filterQuery") else F.lit(True)
         in_scope = F.coalesce(flt, F.lit(False))
-        aggs += [F.count_if(in_scope & F.coalesce(F.expr(cond), F.lit(False))).alias(f"b{i}"),
+        aggs += [F.count_if(in_scope & F.coalesce(cond, F.lit(False))).alias(f"b{i}"),
                  F.count_if(in_scope).alias(f"t{i}")]
         meta.append(r)
     wide = df.agg(*aggs)
@@ -258,7 +272,9 @@ def plan_rule_changes(existing: DataFrame, payload: DataFrame, key: str = "ruleN
               .when(renaming & F.col("_taken").isNotNull(), "reject: new name taken")
               .when(renaming, "rename")
               .when(F.col("_ename").isNotNull(), "update").otherwise("new"))
-    req = ~F.col("ruleValue").eqNullSafe(F.col("_old_ruleValue"))
+    # the payload is laid over the existing rule first: no new text, nothing to validate
+    merged = F.coalesce("ruleValue", "_old_ruleValue")
+    req = F.col("_ename").isNull() | ~merged.eqNullSafe(F.col("_old_ruleValue"))
     return j.select(*payload.columns, status.alias("status"), req.alias("requires_validation"))
 
 

@@ -56,7 +56,12 @@ def ordinal(df: DataFrame, order: str, out: str = "ordinal", partitions: int | N
     only global step - its size is the partition count, so broadcasting it is
     bounded)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored: numbers and offsets must come from one and the same range exchange
+    from dqspark.session import scratch_path
+    path = scratch_path(df.sparkSession, "ordinal")
     s = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    s.write.parquet(path)
+    s = df.sparkSession.read.schema(s.schema).parquet(path)
     s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order)))
     sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = sizes.select("_pid", F.coalesce(F.sum("_c").over(

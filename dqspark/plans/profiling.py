@@ -29,6 +29,25 @@ def profile_columns_lineitem(spark, sf):
     return P.profile_columns(table(spark, sf, "lineitem"), LINEITEM_NUMERIC)
 
 
+def _sql_profile_text(tbl: str, cols: list[str]) -> str:
+    return "\nUNION ALL\n".join(f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+  count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM {tbl}"""
+                                for c in cols)
+
+
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@register("profile_columns_all_orders", _sql_profile_text(f"""(SELECT * REPLACE (9007199254740992 + o_orderkey AS o_orderkey) FROM orders)""",
+                                                          ORDERS_COLUMNS))
+def profile_columns_all_orders(spark, sf):
+    """A2 over all columns of orders (text, dates, doubles; keys moved beyond
+    2^53, where doubles would merge neighbours)."""
+    orders = table(spark, sf, "orders").withColumn("o_orderkey", F.col("o_orderkey") + F.lit(9007199254740992))
+    return P.profile_columns(orders, ORDERS_COLUMNS).select(
+        "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value")
+
+
 @register("columns_for_review_orders", _sql_profile_columns("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
 def columns_for_review_orders(spark, sf):
     """The numeric column profile of orders, least-null columns first."""

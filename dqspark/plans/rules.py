@@ -126,10 +126,26 @@ SELECT p_partkey, p_size FROM part WHERE coalesce(({R.expand_template("range", "
                                                                     low=1, high=45)}), FALSE)""")
 def rule_template_part(spark, sf):
     """CUSTOM template rule (range) applied to part.p_size."""
-    cond = R.expand_template("range", "p_size", low=1, high=45)
+    cond = R.template_condition("range", "p_size", low=1, high=45)
     return R.rule_condition(table(spark, sf, "part"), cond).select("p_partkey", "p_size")
 
 
+@register("rule_templates_more_part", r"""
+SELECT p_partkey, 'regex' AS template FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3]\d$')
+UNION ALL SELECT p_partkey, 'not_in_set' FROM part WHERE p_size NOT IN (1, 7, 14, 21, 28)
+UNION ALL SELECT p_partkey, 'length' FROM part WHERE length(p_name) > 12""")
+def rule_templates_more_part(spark, sf):
+    """F8: the regex, set and length templates over the whole part table."""
+    part = table(spark, sf, "part")
+    asked = {"regex": ("p_brand", {"pattern": r"^Brand#[1-3]\d$"}), "not_in_set": ("p_size", {"values": [1, 7, 14, 21, 28]}),
+             "length": ("p_name", {"max_len": 12})}
+    out = None
+    for name, (col, params) in asked.items():
+        one = R.rule_condition(part, R.template_condition(name, col, **params)).select("p_partkey", F.lit(name).alias("template"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 EXPECTED_EXTRA = "if_l_missing_rule"
 
 

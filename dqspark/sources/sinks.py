@@ -53,6 +53,8 @@ def _one_per_key(df: DataFrame, keys: Sequence[str], cols: Sequence[str], order_
     if order_by is None:
         return df.dropDuplicates(list(keys)).select(*cols)
     o = F.col(order_by) if isinstance(order_by, str) else order_by
+    # never a null ordering (it would null the row): rows without one lose to the others
+    o = F.struct((o.isNull() if first else o.isNotNull()).alias("p"), o.alias("o"))
     rest = [c for c in cols if c not in keys]
     if not rest:
         return df.select(*keys).distinct()
@@ -102,15 +104,16 @@ def upsert(target: DataFrame, incoming: DataFrame, key_cols: Sequence[str], all_
     inc = with_columns(incoming, all_cols, like=target)
     inc_k = _one_per_key(inc.where(~_any_null(key_cols)), key_cols, all_cols, order_by, first=False)
     inc_null = inc.where(_any_null(key_cols))
-    t = with_columns(target, all_cols).alias("t")
-    i = inc_k.alias("i")
+    # presence is a flag of its own: a key may be null in the target
+    t = with_columns(target, all_cols).withColumn("_there", F.lit(True)).alias("t")
+    i = inc_k.withColumn("_there", F.lit(True)).alias("i")
     cond = None
     for k in key_cols:
         c = F.col(f"t.{k}") == F.col(f"i.{k}")
         cond = c if cond is None else (cond & c)
     j = t.join(i, cond, "full_outer")
-    t_there = F.col(f"t.{key_cols[0]}").isNotNull()
-    i_there = F.col(f"i.{key_cols[0]}").isNotNull()
+    t_there = F.col("t._there").isNotNull()
+    i_there = F.col("i._there").isNotNull()
     if change_detect_cols:
         changed = None
         for c in change_detect_cols:
@@ -156,19 +159,18 @@ def prune_missing(target: DataFrame, incoming: DataFrame, group_cols: Sequence[s
     if not rest:
         return target
     inc = incoming.where(~_any_null(group_cols)).select(*group_cols, *rest)
-    from dqspark.operators.joins import bounded_broadcast
     if len(rest) == 1:
         # single key: the target is read once; two left joins flag its group as touched and its key
         # as listed.  NULL NOT IN (...) is unknown, so a null key is kept.
         k = rest[0]
         listed = inc.where(F.col(_q(k)).isNotNull()).select(*group_cols, k).distinct() \
             .withColumn("_listed", F.lit(True))
-        groups = bounded_broadcast(listed.select(*group_cols).distinct().withColumn("_touched", F.lit(True)))
+        groups = listed.select(*group_cols).distinct().withColumn("_touched", F.lit(True))
         j = target.join(groups, list(group_cols), "left").join(listed, [*group_cols, k], "left")
         keep = ~F.coalesce(F.col("_touched"), F.lit(False)) | F.col(_q(k)).isNull() | \
             F.coalesce(F.col("_listed"), F.lit(False))
         return j.where(keep).select(*target.columns)
-    groups = bounded_broadcast(inc.select(*group_cols).distinct())   # few groups: broadcast after a size check
+    groups = inc.select(*group_cols).distinct()
     touched = target.join(groups, list(group_cols), "left_semi")
     untouched = target.join(groups, list(group_cols), "left_anti")
     patterns = [frozenset(p) for r in range(len(rest) + 1) for p in itertools.combinations(rest, r)]
@@ -208,6 +210,8 @@ def change_log_rows(changes: DataFrame, changed_at: Column | None = None) -> Dat
 def append_change_log(changes: DataFrame, path: str) -> None:
     """Append to the change-history table (an empty batch writes nothing)."""
     rows = change_log_rows(changes)
+    if rows.isEmpty():
+        return
     rows.write.mode("append").parquet(path)
 
 
