@@ -145,8 +145,7 @@ def test_toxicity_held_out(spark):
     assert toxicity_scores(docs, labels.limit(0)).count() == 242
 
 
-def test_quality_classifier_held_out(spark, monkeypatch):
-    monkeypatch.setattr(byte_cnn, "STEPS", 60)
+def test_quality_classifier_held_out(spark):
     word = (lambda rng: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))))
     good = (lambda rng: " ".join(word(rng) for _ in range(60)))
     bad = (lambda rng: " ".join(word(rng) + "%%%" for _ in range(60)))
