@@ -1,22 +1,53 @@
-"""Streaming queries (ST1-ST8): the events / customer tables are read as file
-streams, run to completion (availableNow) with checkpoints, and the sink is
-returned as a DataFrame; the oracle is the equivalent batch SQL."""
+"""Streaming queries (ST1-ST8): the events arrive in slices, partly out of
+order, and each query is started again from its checkpoint after every slice
+(availableNow); the sink is returned as a DataFrame; the oracle is the
+equivalent batch SQL over the whole table."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from dqspark.plans.catalog import register, table
 from dqspark.plans.sync_plans import CUST_COLS, INCOMING_SEGS, TARGET_SEGS
+from dqspark.session import scratch_path
 from dqspark.streaming import core as ST
 
 _TSF = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _SQLF = "%Y-%m-%d %H:%M:%S.%f"
 
 
-def events_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return ST.file_stream(spark, sf, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+SLICES = 3
+#: Rows whose event id ends in 0 come this late, behind later events; every query's watermark allows for it.
+LATE_SECONDS, WATERMARK = 1800, "1 hour"
+
+
+def events_stream(spark, sf, clock: bool = False):
+    """``(stream, arrivals)``: the events as a landing folder that receives
+    them in ``SLICES`` slices of arrival time, out of order within the
+    watermark.  The first slice is there; each step of ``arrivals`` brings one
+    more.  With ``clock`` the last slice ends with a row two days after the
+    last event, of type 'clock', that moves the watermark past all events."""
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    lo, hi = lo or 0, hi or 0
+    arrives = F.unix_micros("ts") + F.when(F.col("event_id") % 10 == 0, LATE_SECONDS * 1_000_000).otherwise(0)
+    number = F.least(F.floor((arrives - lo) * SLICES / (hi - lo + 1)), F.lit(SLICES - 1))
+    landing = scratch_path(spark, "events-landing")
+
+    def put(n):
+        part = ev.where(number == n)
+        if clock and n == SLICES - 1:
+            end = spark.range(1).select(*[(F.timestamp_micros(F.lit(hi + 2 * 86_400_000_000)) if f.name == "ts" else
+                                           F.lit("clock") if f.name == "event_type" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                          for f in ev.schema])
+            part = part.unionByName(end)
+        part.write.mode("append").parquet(landing)
+
+    put(0)
+    return (spark.readStream.schema(ev.schema).parquet(landing),
+            [functools.partial(put, n) for n in range(1, SLICES)])
 
 
 # ST1 -----------------------------------------------------------------------
@@ -46,7 +77,10 @@ def approval_events(ev):
         F.concat(F.lit("chg-x-"), F.col("event_id").cast("string")).alias("change_id"), F.lit("approval").alias("kind"),
         "ts", (F.col("event_id") * 10).alias("event_id"), F.lit("ok").alias("reason"),
         F.col("user_id").cast("string").alias("session_id"))
-    return prop.unionByName(appr).unionByName(again).unionByName(unknown)
+    clock = ev.where(F.col("event_type") == "clock").select(
+        F.lit("clock").alias("change_id"), F.lit("clock").alias("kind"), "ts", "event_id",
+        F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("session_id"))
+    return prop.unionByName(appr).unionByName(again).unionByName(unknown).unionByName(clock)
 
 
 SQL_APPROVALS = """
@@ -73,7 +107,8 @@ FROM t"""
 def stream_ttl(spark, sf):
     """ST1: approvals applied within the 15-minute TTL, each change once
     (stateful stream operator with event-time state eviction)."""
-    out = ST.run_append(ST.approve_within_ttl(approval_events(events_stream(spark, sf))), spark, "stream_ttl")
+    ev, arrivals = events_stream(spark, sf, clock=True)
+    out = ST.run_append(ST.approve_within_ttl(approval_events(ev), watermark=WATERMARK), spark, "stream_ttl", arrivals)
     return out.select("change_id", "event_id", F.date_format("approved_at", _TSF).alias("approved_at"), "status")
 
 
@@ -91,21 +126,21 @@ def update_proposals(ev):
 SQL_COALESCE = """
 WITH u AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'local' ELSE 'region' END AS region, 'ds_app_' || (user_id % 5) AS dataset,
                   event_type AS field, CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) AS value, ts FROM events),
-g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY region, dataset ORDER BY ts)) < 900000000
+g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY region, dataset ORDER BY ts)) <= 900000000
                      THEN 0 ELSE 1 END AS nw FROM u),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY region, dataset ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g),
 b AS (SELECT *, min(ts) OVER (PARTITION BY region, dataset, sid) AS s0, max(ts) OVER (PARTITION BY region, dataset, sid) AS s1 FROM s)
 SELECT strftime(s0, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(s1 + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
   region, dataset, field, arg_max(value, (ts, value)) AS value, any_value(n_session) AS n_updates
-FROM (SELECT *, count(*) OVER (PARTITION BY region, dataset, sid) AS n_session FROM b)
-WHERE s1 + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) GROUP BY region, dataset, sid, s0, s1, field"""
+FROM (SELECT *, count(*) OVER (PARTITION BY region, dataset, sid) AS n_session FROM b) GROUP BY region, dataset, sid, s0, s1, field"""
 
 
 @register("stream_coalesce", SQL_COALESCE)
 def stream_coalesce(spark, sf):
     """ST2: update proposals merged per (region, dataset) session of 15-minute gaps."""
-    agg = ST.coalesce_updates(update_proposals(events_stream(spark, sf)), EVENT_FIELDS)
-    out = ST.run_append(agg, spark, "stream_coalesce")
+    ev, arrivals = events_stream(spark, sf, clock=True)
+    agg = ST.coalesce_updates(update_proposals(ev), EVENT_FIELDS, WATERMARK)
+    out = ST.run_append(agg, spark, "stream_coalesce", arrivals)
     return out.select(F.date_format("session.start", _TSF).alias("session_start"),
                       F.date_format("session.end", _TSF).alias("session_end"),
                       "region", "dataset", "field", "value", "n_updates")
@@ -121,9 +156,9 @@ GROUP BY ALL""")
 def stream_profile(spark, sf):
     """ST5: daily run profile of the event stream (unique count is HLL++ and
     left out of the comparison)."""
-    agg = ST.stream_profile(events_stream(spark, sf).select(
-        "ts", "event_type", "value", "user_id"), ["event_type", "value", "user_id"])
-    out = ST.run_update(agg, spark, "stream_profile", ["run", "column_name"])
+    ev, arrivals = events_stream(spark, sf)
+    agg = ST.stream_profile(ev.select("ts", "event_type", "value", "user_id"), ["event_type", "value", "user_id"])
+    out = ST.run_update(agg, spark, "stream_profile", ["run", "column_name"], arrivals)
     return out.select(F.date_format("run.start", "yyyy-MM-dd").alias("run_start"), "column_name", "row_count",
                       "non_null", "min_value", "max_value", "mean_value")
 
@@ -165,7 +200,7 @@ def stream_latest_vote(spark, sf):
     """ST4: the latest vote per (user, message) maintained incrementally."""
     from dqspark.functions.exprs import py_strip, vote_from_label
     from dqspark.plans.traces_plans import LABELS
-    ev = events_stream(spark, sf)
+    ev, arrivals = events_stream(spark, sf)
     lab = None
     for k, v in LABELS.items():
         lab = F.when(F.col("event_type") == k, v) if lab is None else lab.when(F.col("event_type") == k, v)
@@ -176,7 +211,8 @@ def stream_latest_vote(spark, sf):
                             (F.col("event_id") % 4 * 2 + 1).cast("string")).alias("assistant_message_id"),
                    F.when(F.col("value") > 400, F.lit(None)).otherwise(py_strip(F.col("props"))).alias("comment"), "ts") \
         .where(F.col("vote").isNotNull())
-    out = ST.run_update(ST.stream_latest_vote(fb), spark, "stream_latest_vote", ["app_user", "assistant_message_id"])
+    out = ST.run_update(ST.stream_latest_vote(fb), spark, "stream_latest_vote", ["app_user", "assistant_message_id"],
+                        arrivals)
     return out.select("app_user", "assistant_message_id", "vote", "comment",
                       F.date_format("created_at", _TSF).alias("created_at"),
                       F.date_format("updated_at", _TSF).alias("updated_at"), "n_votes")
@@ -188,9 +224,10 @@ SELECT event_id, 'ds_app_' || (user_id % 5) AS dataset, 100.0 - value / 5.0 AS s
 WHERE 100.0 - value / 5.0 < 95""")
 def stream_alerts(spark, sf):
     """ST6: stateless alert filter score < 95 over a score stream."""
-    s = events_stream(spark, sf).select("event_id", F.concat(F.lit("ds_app_"), (F.col("user_id") % 5).cast("string"))
-                                        .alias("dataset"), (100.0 - F.col("value") / 5.0).alias("score"))
-    return ST.run_append(ST.stream_alerts(s), spark, "stream_alerts")
+    ev, arrivals = events_stream(spark, sf)
+    s = ev.select("event_id", F.concat(F.lit("ds_app_"), (F.col("user_id") % 5).cast("string")).alias("dataset"),
+                  (100.0 - F.col("value") / 5.0).alias("score"))
+    return ST.run_append(ST.stream_alerts(s), spark, "stream_alerts", arrivals)
 
 
 # ST7 -----------------------------------------------------------------------
@@ -201,18 +238,18 @@ WITH c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'local' ELSE 'region' END AS re
 l AS (SELECT *, '- [' || coalesce(change_category, '') || '] ' || coalesce(change_item, '') || ': '
              || coalesce(change_from, 'None') || ' -> ' || coalesce(change_to, 'None') AS line,
              CASE WHEN epoch_us(changed_at) - epoch_us(lag(changed_at) OVER (PARTITION BY region, dataset ORDER BY changed_at))
-                       < 1800000000 THEN 0 ELSE 1 END AS nw FROM c),
+                       <= 1800000000 THEN 0 ELSE 1 END AS nw FROM c),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY region, dataset ORDER BY changed_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM l)
 SELECT strftime(min(changed_at), '{_SQLF}') AS session_start, region, dataset, count(*) AS n_changes,
   string_agg(line, chr(10) ORDER BY changed_at, line) AS digest
-FROM s GROUP BY region, dataset, sid
-HAVING max(changed_at) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)""")
+FROM s GROUP BY region, dataset, sid""")
 def stream_digest(spark, sf):
     """ST7: change lines flushed as one digest per (region, dataset) burst
     (30-minute session gap)."""
     from dqspark.plans.audit_plans import event_changes
-    ch = event_changes(events_stream(spark, sf)).withColumn("changed_at", F.col("changed_at").cast("timestamp"))
-    out = ST.run_append(ST.stream_digest(ch), spark, "stream_digest")
+    ev, arrivals = events_stream(spark, sf, clock=True)
+    ch = event_changes(ev).withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    out = ST.run_append(ST.stream_digest(ch, WATERMARK), spark, "stream_digest", arrivals)
     return out.select(F.date_format("session.start", _TSF).alias("session_start"), "region", "dataset", "n_changes",
                       "digest")
 

@@ -8,11 +8,13 @@ overwrites its own partition), and readers take the latest row per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import json
+from collections.abc import Callable, Sequence
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,95 +35,124 @@ def file_stream(spark: SparkSession, folder: str, file_name: str, schema) -> Dat
             .option("maxFilesPerTrigger", 1).parquet(folder))
 
 
-def run_append(sdf: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an append-mode stream to completion (availableNow) into a parquet
-    sink with a checkpoint; return the sink as a batch DataFrame."""
+def run_append(sdf: DataFrame, spark: SparkSession, name: str, arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Run an append-mode stream over all there is (availableNow) into a
+    parquet sink with a checkpoint; return the sink as a batch DataFrame.
+    ``arrivals``: steps that bring further input; after each the query is
+    started again from its checkpoint."""
     out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
-    q = (sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    writer = (sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+              .outputMode("append").trigger(availableNow=True))
+    for arrive in (None, *arrivals):
+        if arrive:
+            arrive()
+        writer.start().awaitTermination()
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-def run_update(sdf: DataFrame, spark: SparkSession, name: str, keys: Sequence[str]) -> DataFrame:
-    """Run an update-mode aggregation to completion; each micro-batch's
+def run_update(sdf: DataFrame, spark: SparkSession, name: str, keys: Sequence[str],
+               arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Run an update-mode aggregation over all there is; each micro-batch's
     updated rows are written to ``<out>/_batch=<id>`` (overwrite, so a replayed
-    batch is idempotent).  Returns the latest row per key."""
+    batch is idempotent).  Returns the latest row per key.  ``arrivals`` as in
+    :func:`run_append`."""
     out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
-    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-         .outputMode("update").trigger(availableNow=True).start())
-    q.awaitTermination()
+    writer = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+              .outputMode("update").trigger(availableNow=True))
+    for arrive in (None, *arrivals):
+        if arrive:
+            arrive()
+        writer.start().awaitTermination()
     log = spark.read.parquet(out)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+    newest = F.max_by(F.struct(*[c for c in log.columns if c not in keys]), F.col("_batch")).alias("_l")
+    return log.groupBy(*keys).agg(newest).select(*keys, "_l.*").drop("_batch")
 
 
 # ST1 -----------------------------------------------------------------------
 APPROVAL_EVENT_SCHEMA = ("change_id string, kind string, ts timestamp, event_id long, reason string, "
                          "session_id string")
-APPROVAL_OUT_SCHEMA = "change_id string, event_id long, approved_at timestamp, status string"
-APPROVAL_STATE_SCHEMA = "created_at timestamp, gone boolean"
+#: ``waiting``: JSON list of [event time, 0 proposal / 1 approval, event id, has a reason], times in microseconds.
+APPROVAL_STATE_SCHEMA = "created long, gone boolean, waiting string"
 
 
-def _approval_fn(ttl_seconds: int):
+def _approval_fn(ttl_seconds: int, remember_seconds: int):
+    ttl, life = ttl_seconds * 1_000_000, (ttl_seconds + remember_seconds) * 1_000_000
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (change_id,) = key
-        created, gone = (state.get if state.exists else (None, False))
-        rows = pd.concat(list(pdfs))
-        rows = rows.assign(_k=(rows["kind"] != "proposal").astype(int)).sort_values(["ts", "_k", "event_id"])
+        created, gone, text = state.get if state.exists else (None, False, "[]")
+        waiting = json.loads(text)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                waiting += [[us, int(kind != "proposal"), event, bool((reason or "").strip())] for us, kind, event, reason
+                            in zip(pdf["us"].tolist(), pdf["kind"], pdf["event_id"].tolist(), pdf["reason"]) if kind != "clock"]
+        waiting.sort()
+        watermark = state.getCurrentWatermarkMs()
+        due = bisect.bisect_right(waiting, watermark * 1000, key=lambda w: w[0])  # nothing earlier can still come
         out = []
-        for r in rows.itertuples(index=False):
-            if r.kind == "proposal":
-                if created is None:
-                    created, gone = r.ts, False
+        for us, approval, event, reasoned in waiting[:due]:
+            if created is not None and us - created > life:
+                created, gone = None, False
+            if not approval:
+                created, gone = (us, False) if created is None else (created, gone)
                 continue
-            if created is None or gone or r.ts < created:
+            if created is None or gone:
                 status = "unknown"
-            elif (r.ts - created).total_seconds() > ttl_seconds:
+            elif us - created > ttl:
                 status, gone = "expired", True
-            elif not (r.reason or "").strip():
+            elif not reasoned:
                 status = "no_reason"
             else:
                 status, gone = "applied", True
-            out.append((change_id, r.event_id, r.ts, status))
-        if created is not None:
-            state.update((created, gone))
-            state.setTimeoutTimestamp(int(created.timestamp() * 1000) + (ttl_seconds + 1) * 1000)
+            out.append((key[0], event, us, status))
+        waiting = waiting[due:]
+        if created is not None and not waiting and watermark * 1000 > created + life:
+            created = None
+        if created is not None or waiting:
+            state.update((created, gone, json.dumps(waiting)))
+            wake = waiting[0][0] if waiting else created + life
+            state.setTimeoutTimestamp(max(wake // 1000, watermark) + 1)
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["change_id", "event_id", "approved_at", "status"])
+            yield pd.DataFrame(out, columns=["change_id", "event_id", "us", "status"])
     return fn
 
 
-def approve_within_ttl(events: DataFrame, ttl_seconds: int = CHANGE_TTL_SECONDS,
-                       watermark: str = "1 hour") -> DataFrame:
+def approve_within_ttl(events: DataFrame, ttl_seconds: int = CHANGE_TTL_SECONDS, watermark: str = "1 hour",
+                       remember_seconds: int = 86_400) -> DataFrame:
     """ST1 over a stream of proposal / approval events (APPROVAL_EVENT_SCHEMA).
 
     Per change_id, in event-time order: an approval is 'applied' when the
     proposal exists, is at most ``ttl_seconds`` old and has not been consumed,
     and the reason is non-blank; 'expired' (and the change dropped) when older;
-    'no_reason' leaves it pending; anything else is 'unknown'.  State per
-    change id is evicted by an event-time timeout once the TTL has passed the
-    watermark, so it stays bounded.
-    """
+    'no_reason' leaves it pending; anything else is 'unknown', also an approval
+    over ``remember_seconds`` after expiry, when the change is forgotten.
+
+    Events wait in the state until the watermark has passed them, so the
+    answers depend on event times alone, not on how events are dealt to
+    micro-batches; rows later than ``watermark`` are dropped.  Rows of kind
+    'clock' only move the watermark.  State is bounded by the events within
+    the watermark's delay and the changes not yet forgotten."""
     from dqspark.session import ship_package
     ship_package(events.sparkSession)
-    return (events.withWatermark("ts", watermark).groupBy("change_id")
-            .applyInPandasWithState(_approval_fn(ttl_seconds), APPROVAL_OUT_SCHEMA, APPROVAL_STATE_SCHEMA,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+    decided = (events.withColumn("us", F.unix_micros("ts")).withWatermark("ts", watermark).groupBy("change_id")
+               .applyInPandasWithState(_approval_fn(ttl_seconds, remember_seconds),
+                                       "change_id string, event_id long, us long, status string", APPROVAL_STATE_SCHEMA,
+                                       "append", GroupStateTimeout.EventTimeTimeout))
+    return decided.select("change_id", "event_id", F.timestamp_micros("us").alias("approved_at"), "status")
 
 
 # ST2 -----------------------------------------------------------------------
-def coalesce_updates(updates: DataFrame, fields: Sequence[str], gap: str = "15 minutes",
-                     keys: Sequence[str] = ("region", "dataset"), watermark: str = "0 seconds") -> DataFrame:
-    """ST2: update proposals on the same (region, dataset) less than ``gap``
-    apart merge into one change (session window per key); for each tracked
+def coalesce_updates(updates: DataFrame, fields: Sequence[str], watermark: str, gap: str = "15 minutes",
+                     keys: Sequence[str] = ("region", "dataset")) -> DataFrame:
+    """ST2: update proposals on the same (region, dataset) at most ``gap``
+    apart merge into one change (session window per key); rows that come
+    later than ``watermark`` are dropped, so it should be ``gap`` at least.
+    For each tracked
     field the latest value wins.  Fields are the tracked-field list, so the
     aggregation buffer per session is one ``max_by`` per field (bounded).
     Append mode: a session is emitted once the watermark passes its end,
@@ -140,26 +171,33 @@ def coalesce_updates(updates: DataFrame, fields: Sequence[str], gap: str = "15 m
 
 # ST3 -----------------------------------------------------------------------
 def stream_upsert(spark: SparkSession, incoming: DataFrame, target: DataFrame, key_cols: Sequence[str],
-                  all_cols: Sequence[str], name: str = "stream_upsert", **upsert_kw) -> DataFrame:
+                  all_cols: Sequence[str], name: str = "stream_upsert", folder: str | None = None, **upsert_kw) -> DataFrame:
     """ST3: each micro-batch of ``incoming`` is upserted (S7) into the target
-    snapshot.  Snapshot ``v=<batch_id>`` is built from ``v=<batch_id - 1>``
-    and written with overwrite, so a replayed batch rebuilds the same version
-    (idempotent) and a restart continues from the checkpointed batch id.
-    Returns the newest snapshot."""
+    snapshot.  Snapshot ``v=<batch_id>`` is built from the one before it and
+    written with overwrite, so a replayed batch rebuilds the same version
+    (idempotent).  ``folder``, a shared folder that holds the snapshots and
+    the checkpoint, lets a later call go on from both; without it each call
+    starts anew from ``target``.  Returns the newest snapshot."""
     from dqspark.sources.sinks import upsert, write_snapshot
-    base = scratch_path(spark, name)
-    write_snapshot(target, f"{base}/v=-1")
-    done = {"latest": -1}
+    base = (folder or scratch_path(spark, name)).rstrip("/")
+
+    def newest() -> int:
+        """The last version whose write was committed, -2 if there is none."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v=*/_SUCCESS")
+        done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return max([int(s.getPath().getParent().getName()[2:]) for s in done], default=-2)
+
+    if newest() == -2:
+        write_snapshot(target, f"{base}/v=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         cur = spark.read.parquet(f"{base}/v={batch_id - 1}")
         write_snapshot(upsert(cur, batch, key_cols, all_cols, **upsert_kw), f"{base}/v={batch_id}")
-        done["latest"] = batch_id
 
-    ckpt = scratch_path(spark, name + "-ckpt")
-    q = incoming.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q = (incoming.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/v={done['latest']}")
+    return spark.read.parquet(f"{base}/v={newest()}")
 
 
 # ST4 -----------------------------------------------------------------------
@@ -198,8 +236,8 @@ def stream_alerts(scores: DataFrame, threshold: float = ALERT_THRESHOLD) -> Data
 
 
 # ST7 -----------------------------------------------------------------------
-def stream_digest(changes: DataFrame, gap: str = "30 minutes", keys: Sequence[str] = ("region", "dataset"),
-                  watermark: str = "0 seconds") -> DataFrame:
+def stream_digest(changes: DataFrame, watermark: str, gap: str = "30 minutes",
+                  keys: Sequence[str] = ("region", "dataset")) -> DataFrame:
     """ST7: queued change lines per (region, dataset) flushed once per
     session (gap-separated burst of changes), rendered like A15."""
     line = F.concat(F.lit("- ["), F.coalesce("change_category", F.lit("")), F.lit("] "),

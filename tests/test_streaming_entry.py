@@ -39,6 +39,7 @@ def _events():
         ("c4", "proposal", T0, 9, None, "s"), ("c4", "approval", T0 + 10 * s, 10, "  ", "s"),      # no reason
         ("c4", "approval", T0 + 20 * s, 11, "fine", "s"),                                           # then applied
         ("zz", "approval", T0, 12, "ok", "s"),                                                      # unknown id
+        ("clock", "clock", T0 + 86_400 * s, 99, None, None),                                        # moves the watermark
     ]
 
 
@@ -58,19 +59,50 @@ def test_ttl_approvals_one_vs_many_batches(spark):
     assert sorted(map(key, rows(one))) == sorted(map(key, rows(many)))
 
 
-def test_session_coalescing_boundary(spark):
+def test_ttl_approvals_late_and_early(spark):
+    m = dt.timedelta(minutes=1)
+    batches = [[("a", "approval", T0 + 5 * m, 1, "ok", "s")],                # read before its proposal
+               [("a", "proposal", T0, 2, None, "s"), ("b", "proposal", T0, 3, None, "s")],
+               [("x", "proposal", T0 + 120 * m, 4, None, "s")],              # another id moves the clock on
+               [("b", "approval", T0 + 90 * m, 5, "ok", "s")],
+               [("clock", "clock", T0 + 2880 * m, 9, None, None)]]
+    out = ST.run_append(ST.approve_within_ttl(_approval_stream(spark, batches)), spark, "t-st1-late")
+    assert {r["event_id"]: r["status"] for r in rows(out)} == {1: "applied", 5: "expired"}
+
+
+def test_session_coalescing_boundary_and_late_update(spark):
     folder = tempfile.mkdtemp(prefix="dq-st2-")
     m = dt.timedelta(minutes=1)
-    data = [("r", "d", "metaTags", "a", T0), ("r", "d", "metaTags", "b", T0 + 15 * m),       # exactly 15 min later
-            ("r", "d", "linkId", "k", T0 + 16 * m), ("r", "d", "metaTags", "c", T0 + 40 * m),
-            ("r", "d", "x", "late-flush", T0 + 200 * m)]
+    data = [[("r", "d", "metaTags", "b", T0 + 15 * m), ("r", "d", "linkId", "k", T0 + 16 * m)],
+            [("r", "d", "metaTags", "a", T0)],                               # read later, exactly 15 minutes before
+            [("r", "d", "metaTags", "c", T0 + 40 * m), ("r", "d", "x", "open", T0 + 200 * m)]]
     schema = "region string, dataset string, field string, value string, ts timestamp"
-    spark.createDataFrame(data, schema).coalesce(1).write.parquet(folder + "/p")
+
+    def put(n):
+        spark.createDataFrame(data[n], schema).coalesce(1).write.mode("append").parquet(folder + "/p")
+    put(0)
     s = spark.readStream.schema(schema).parquet(folder + "/p")
-    out = rows(ST.run_append(ST.coalesce_updates(s, ["metaTags", "linkId", "x"]), spark, "t-st2"))
-    first = sorted((r["field"], r["value"], r["n_updates"]) for r in out if r["session"]["start"] == T0)
-    # a gap of exactly 15 minutes closes the session (Spark session windows end at last event + gap)
-    assert ("metaTags", "a", 1) in first or ("metaTags", "b", 3) in first
+    out = rows(ST.run_append(ST.coalesce_updates(s, ["metaTags", "linkId", "x"], "1 hour"), spark, "t-st2",
+                             [lambda: put(1), lambda: put(2)]))
+    assert sorted((r["session"]["start"], r["field"], r["value"], r["n_updates"]) for r in out) == [
+        (T0, "linkId", "k", 3), (T0, "metaTags", "b", 3), (T0 + 40 * m, "metaTags", "c", 1)]
+
+
+def test_stream_upsert_goes_on_from_its_folder(spark, tmp_path):
+    landing, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+
+    def put(*new):
+        spark.createDataFrame(list(new), "k int, v string").coalesce(1).write.mode("append").parquet(landing)
+
+    def run():
+        inc = spark.readStream.schema("k int, v string").parquet(landing)
+        return sorted(map(tuple, ST.stream_upsert(spark, inc, target, ["k"], ["k", "v"], folder=folder).collect()))
+    put((2, "B"))
+    assert run() == [(1, "a"), (2, "B")]
+    assert run() == [(1, "a"), (2, "B")]                                     # nothing new: the state stays
+    put((3, "C"))
+    assert run() == [(1, "a"), (2, "B"), (3, "C")]
 
 
 def test_pending_list(spark):
