@@ -1,10 +1,9 @@
 """Registry operators: F1-F3 F5 S5 J3-J8 E15 A4 A5 W6 U1.
 
 Matching datasets to reference registries (business units, dataset
-mappings, connections, catalogs).  Registries are small next to the data
-they are matched against; where one is broadcast its size is checked first
-(:func:`dqspark.operators.joins.bounded_broadcast`) and a shuffle join is used
-beyond the bound.
+mappings, connections, catalogs).  Joins with registries are left to the
+planner; only :func:`similar_datasets` broadcasts one itself, after a check
+of its rows.
 """
 
 from __future__ import annotations
