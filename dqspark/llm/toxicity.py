@@ -40,11 +40,24 @@ ALPHABET = 256
 PER_CLASS = 10_000
 #: Log-ratios kept in the model that tasks get: 4 bytes each, whatever the corpus.
 SLOTS = 1 << 21
+#: N-grams in one piece of a word; longer words are cut.
+PIECE = 64
+#: Chunks of text, and words, whose scores one Python worker remembers (about 200 bytes each).
+CHUNK_CACHE, WORD_CACHE = 600_000, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(chunk: str) -> list[str]:
-    return _WORD.findall(chunk.lower())
+    """The runs of letters, lower-cased."""
+    w = chunk.lower().rstrip(".,!?;:")
+    return [w] if w.isalpha() else _WORD.findall(w)
+
+
+def pieces(word: str) -> list[str]:
+    """The word between bounds, cut so that the n-grams of its pieces are
+    those that predict each letter and the end of the word, once each."""
+    w = "^" * (ORDER - 1) + word + "$"
+    return [w[i:i + PIECE + ORDER - 1] for i in range(0, len(w) - ORDER + 1, PIECE)]
 
 
 def grams(word: str) -> list[str]:
@@ -53,8 +66,13 @@ def grams(word: str) -> list[str]:
     return [w[i:i + ORDER] for i in range(len(w) - ORDER + 1)]
 
 
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "replace")) & (SLOTS - 1)
+def _slots(word: str) -> list[int]:
+    """The slot of each n-gram of a word."""
+    crc = zlib.crc32
+    if word.isascii():
+        b = b"^" * (ORDER - 1) + word.encode() + b"$"
+        return [crc(b[i:i + ORDER]) & (SLOTS - 1) for i in range(len(b) - ORDER + 1)]
+    return [crc(g.encode("utf-8", "replace")) & (SLOTS - 1) for g in grams(word)]
 
 
 _COUNTS = ("t0", "t2", "o0", "o2")
@@ -63,7 +81,8 @@ _COUNTS = ("t0", "t2", "o0", "o2")
 def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(gram, n, t0, t2, o0, o2)``: occurrences in all documents and, by
     fold, in labelled toxic and ordinary ones.  Words are counted within each
-    task first, so a task sends each gram once, however hot its source."""
+    task first, so a task sends each word once, however hot its source; each
+    distinct word is then cut into its grams once."""
     rows = docs.select(F.col(id_col).alias("_did"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     marked = (rows.join(F.broadcast(sample), rows["_did"] == sample["_id"], "left")
               .select("_text", F.col("_label"), F.col("_fold")))
@@ -74,18 +93,14 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
         def flush():
             total = [Counter() for _ in range(5)]
             for kind, counter in enumerate(chunks):
-                words = Counter()
                 for chunk, n in counter.items():
                     for w in words_of(chunk):
-                        words[w] += n
+                        total[kind][w] += n
                 counter.clear()
-                into = total[kind]
-                for w, n in words.items():
-                    for g in grams(w):
-                        into[g] += n
-            names = list(total[0])
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([t[g] for g in names], pa.int64()) for t in total)],
-                                              ["gram", "n", *_COUNTS])
+            rows = [(piece, w) for w in total[0] for piece in pieces(w)]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()),
+                                               *(pa.array([t[w] for _, w in rows], pa.int64()) for t in total)],
+                                              ["piece", "n", *_COUNTS])
 
         for b in batches:
             for text, label, fold in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -97,8 +112,11 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
                     yield flush()
         yield flush()
 
-    each = marked.mapInArrow(count, "gram string, " + ", ".join(f"{c} bigint" for c in ("n", *_COUNTS)))
-    return written(each.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", *_COUNTS)]), "gram-counts")
+    sums = [F.sum(c).alias(c) for c in ("n", *_COUNTS)]
+    words = marked.mapInArrow(count, "piece string, " + ", ".join(f"{c} bigint" for c in ("n", *_COUNTS))).groupBy("piece").agg(*sums)
+    each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("piece") - (ORDER - 1)),
+                                              lambda i: F.substring(F.col("piece"), i, F.lit(ORDER)))).alias("gram"), "n", *_COUNTS)
+    return written(each.groupBy("gram").agg(*sums), "gram-counts")
 
 
 def _interpolated(count: Column, total: Column, kinds: Column, lower: Column) -> Column:
@@ -159,32 +177,47 @@ def _tables(ratios: DataFrame) -> dict[str, np.ndarray]:
 
 
 class _ChunkScores(dict):
-    """Chunk of text -> (sum of its words' log-ratios) + (number of words) i."""
+    """Chunk of text -> its place in ``ratios`` (sum of its words' log-ratios)
+    and ``counts`` (number of its words)."""
 
     def __init__(self, table):
         super().__init__()
         self.table = table
         self.words: dict[str, float] = {}
+        self.ratios, self.counts, self.used = np.zeros(1 << 16), np.zeros(1 << 16, np.int64), 0
 
     def word(self, w):
         v = self.words.get(w)
         if v is None:
-            r = sum(self.table[_slot(g)] for g in grams(w))
+            table = self.table
+            r = sum([table[i] for i in _slots(w)])
             v = max(0.0, r - DEAD_ZONE) - max(0.0, -r - DEAD_ZONE)
-            if len(self.words) >= 300_000:
+            if len(self.words) >= WORD_CACHE:
                 self.words.clear()
-            self.words[w] = v
+            if len(w) <= 48:
+                self.words[w] = v
         return v
 
     def __missing__(self, chunk):
-        v = 0j
-        for w in words_of(chunk):
-            v += complex(self.word(w), 1)
+        words = words_of(chunk)
+        at = self.used
+        if at == len(self.ratios):
+            self.ratios, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ratios, self.counts))
+        self.ratios[at], self.counts[at] = sum(map(self.word, words)), len(words)
+        self.used += 1
         if len(chunk) <= 48:
-            if len(self) >= 400_000:
-                self.clear()
-            self[chunk] = v
-        return v
+            self[chunk] = at
+        return at
+
+    def mean(self, text: str) -> float:
+        """Mean log-ratio a word (no words: 0)."""
+        if self.used >= CHUNK_CACHE:
+            self.clear()
+            self.used = 0
+        parts = text.split()
+        at = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        n = int(self.counts[at].sum())
+        return float(self.ratios[at].sum()) / n if n else 0.0
 
 
 _SCORES: dict[str, _ChunkScores] = {}
@@ -199,10 +232,9 @@ def _mean_ratios(rows: DataFrame, model) -> DataFrame:
         if name not in _SCORES:  # kept by the worker for its next tasks
             _SCORES.clear()
             _SCORES[name] = _ChunkScores(memoryview(model.value))
-        get = _SCORES[name].__getitem__
+        mean = _SCORES[name].mean
         for b in batches:
-            total = [sum(map(get, t.as_py().split()), 0j) for t in b.column("_text")]
-            x = np.array([v.real / v.imag if v.imag else 0.0 for v in total])
+            x = np.array([mean(t.as_py()) for t in b.column("_text")], float)
             x = np.sign(x) * np.log1p(np.abs(x) / KNEE)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.float64())], [*keep, "_x"])
 
