@@ -42,8 +42,10 @@ PER_CLASS = 10_000
 SLOTS = 1 << 21
 #: N-grams in one piece of a word; longer words are cut.
 PIECE = 64
-#: Chunks of text, and words, whose scores one Python worker remembers (about 200 bytes each).
-CHUNK_CACHE, WORD_CACHE = 600_000, 400_000
+#: Characters scored at once; longer texts in parts that end between words.
+BLOCK = 1 << 18
+#: Words with letters beyond ASCII whose scores one Python worker remembers (about 150 bytes each).
+WORD_CACHE = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,13 +68,17 @@ def grams(word: str) -> list[str]:
     return [w[i:i + ORDER] for i in range(len(w) - ORDER + 1)]
 
 
-def _slots(word: str) -> list[int]:
-    """The slot of each n-gram of a word."""
-    crc = zlib.crc32
-    if word.isascii():
-        b = b"^" * (ORDER - 1) + word.encode() + b"$"
-        return [crc(b[i:i + ORDER]) & (SLOTS - 1) for i in range(len(b) - ORDER + 1)]
-    return [crc(g.encode("utf-8", "replace")) & (SLOTS - 1) for g in grams(word)]
+def _slot(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "replace")) & (SLOTS - 1)
+
+
+def _crc_parts() -> list[np.ndarray]:
+    """What a byte at each place of an n-gram adds (by xor) to its crc32."""
+    zero = zlib.crc32(bytes(ORDER))
+    parts = [np.array([zlib.crc32(bytes(k) + bytes([c]) + bytes(ORDER - 1 - k)) ^ zero for c in range(256)], np.uint32)
+             for k in range(ORDER)]
+    parts[0] ^= np.uint32(zero)
+    return parts
 
 
 _COUNTS = ("t0", "t2", "o0", "o2")
@@ -176,21 +182,19 @@ def _tables(ratios: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-class _ChunkScores(dict):
-    """Chunk of text -> its place in ``ratios`` (sum of its words' log-ratios)
-    and ``counts`` (number of its words)."""
+class _Scorer:
+    """Mean log-ratios of texts under one table: words of ASCII letters by
+    whole arrays, the others one by one."""
 
-    def __init__(self, table):
-        super().__init__()
+    def __init__(self, table: np.ndarray):
         self.table = table
+        self.crc_parts = _crc_parts()
         self.words: dict[str, float] = {}
-        self.ratios, self.counts, self.used = np.zeros(1 << 16), np.zeros(1 << 16, np.int64), 0
 
-    def word(self, w):
+    def word(self, w: str) -> float:
         v = self.words.get(w)
         if v is None:
-            table = self.table
-            r = sum([table[i] for i in _slots(w)])
+            r = sum(float(self.table[_slot(g)]) for g in grams(w))
             v = max(0.0, r - DEAD_ZONE) - max(0.0, -r - DEAD_ZONE)
             if len(self.words) >= WORD_CACHE:
                 self.words.clear()
@@ -198,29 +202,66 @@ class _ChunkScores(dict):
                 self.words[w] = v
         return v
 
-    def __missing__(self, chunk):
-        words = words_of(chunk)
-        at = self.used
-        if at == len(self.ratios):
-            self.ratios, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ratios, self.counts))
-        self.ratios[at], self.counts[at] = sum(map(self.word, words)), len(words)
-        self.used += 1
-        if len(chunk) <= 48:
-            self[chunk] = at
-        return at
-
-    def mean(self, text: str) -> float:
-        """Mean log-ratio a word (no words: 0)."""
-        if self.used >= CHUNK_CACHE:
-            self.clear()
-            self.used = 0
-        parts = text.split()
-        at = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-        n = int(self.counts[at].sum())
-        return float(self.ratios[at].sum()) / n if n else 0.0
+    def ascii_words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the log-ratios, and number, of the words of each part."""
+        data = np.frombuffer("\n".join([*parts, ""]).lower().encode("ascii"), np.uint8)
+        at = np.flatnonzero(data - np.uint8(97) < 26)
+        if not len(at):
+            return np.zeros(len(parts)), np.zeros(len(parts), np.int64)
+        new = np.r_[True, at[1:] - at[:-1] > 1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(at)])
+        begin = first + ORDER * np.arange(len(first))  # of each word between its bounds, laid end to end
+        laid = np.full(len(at) + ORDER * len(first), ord("^"), np.uint8)
+        laid[np.arange(len(at)) + ORDER * np.cumsum(new) - 1] = data[at]
+        laid[begin + ORDER - 1 + size] = ord("$")
+        n = len(laid) - ORDER + 1
+        crc = self.crc_parts[0][laid[:n]]
+        for k in range(1, ORDER):
+            crc ^= self.crc_parts[k][laid[k:n + k]]
+        ratio = np.append(self.table[crc & np.uint32(SLOTS - 1)], np.float32(0))
+        r = np.add.reduceat(ratio, np.column_stack([begin, begin + size + 1]).ravel(), dtype=np.float64)[::2]
+        r = np.maximum(0.0, r - DEAD_ZONE) - np.maximum(0.0, -r - DEAD_ZONE)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        part = np.searchsorted(ends, at[first], "right")
+        return np.bincount(part, r, len(parts)), np.bincount(part, minlength=len(parts))
+
+    def means(self, texts: list[str]) -> np.ndarray:
+        """Mean log-ratio a word of each text (no words: 0)."""
+        total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        parts, owners, held = [], [], 0
 
-
-_SCORES: dict[str, _ChunkScores] = {}
+        def flush():
+            sums, numbers = self.ascii_words(parts)
+            np.add.at(total, owners, sums)
+            np.add.at(count, owners, numbers)
+            parts.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            if not text.isascii():
+                chunks = text.split()
+                found = [self.word(w) for c in chunks if not c.isascii() for w in words_of(c)]
+                total[i], count[i] = total[i] + sum(found), count[i] + len(found)
+                text = " ".join([c for c in chunks if c.isascii()])
+            at = 0
+            while at < len(text):
+                end = at + BLOCK
+                while end < len(text) and text[end].isalpha():
+                    end += 1
+                parts.append(text[at:end])
+                owners.append(i)
+                held += len(parts[-1])
+                at = end
+                if held >= BLOCK:
+                    flush()
+                    held = 0
+        if parts:
+            flush()
+        return total / np.maximum(count, 1)
+
+
+_SCORES: dict[str, _Scorer] = {}
 
 
 def _mean_ratios(rows: DataFrame, model) -> DataFrame:
@@ -231,10 +272,9 @@ def _mean_ratios(rows: DataFrame, model) -> DataFrame:
     def score(batches):
         if name not in _SCORES:  # kept by the worker for its next tasks
             _SCORES.clear()
-            _SCORES[name] = _ChunkScores(memoryview(model.value))
-        mean = _SCORES[name].mean
+            _SCORES[name] = _Scorer(model.value)
         for b in batches:
-            x = np.array([mean(t.as_py()) for t in b.column("_text")], float)
+            x = _SCORES[name].means(b.column("_text").to_pylist())
             x = np.sign(x) * np.log1p(np.abs(x) / KNEE)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.float64())], [*keep, "_x"])
 
