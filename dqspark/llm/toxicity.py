@@ -10,8 +10,8 @@ score compares its log-likelihoods under both models, per word.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
 import zlib
 from collections import Counter
 
@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from dqspark.llm.common import bounded_labels, crc_fold, logistic_fit, written
+from dqspark.llm.common import bounded_labels, crc_fold, join_on_keys, logistic_fit, with_keys, written
 
 ORDER = 6
 #: Discount of corpus counts, and of class counts.
@@ -38,13 +37,17 @@ KNEE = 0.005
 ALPHABET = 256
 #: Labelled rows of each class that counts and calibration are learned from.
 PER_CLASS = 10_000
-#: Log-ratios kept in the model that tasks get: 4 bytes each, whatever the corpus.
-SLOTS = 1 << 21
+#: Marks that tasks get of the words that score: a word without its mark scores
+#: zero, one with it is looked up in the stored scores, which no size bounds.
+SLOTS = 1 << 22
 #: N-grams in one piece of a word; longer words are cut.
 PIECE = 64
-#: Characters scored at once; longer texts in parts that end between words.
-BLOCK = 1 << 18
-#: Words with letters beyond ASCII whose scores one Python worker remembers (about 150 bytes each).
+#: Letters up to which a word is one piece and stands for itself; longer ones go by their digest.
+LONG = PIECE - 1
+#: Log-ratios that a task holds at once (24 bytes each); a larger model is
+#: applied in as many slices as it has, one after the other.
+SLICE = 1 << 21
+#: Runs between spaces whose words one Python worker remembers (about 150 bytes each).
 WORD_CACHE = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,33 +65,20 @@ def pieces(word: str) -> list[str]:
     return [w[i:i + PIECE + ORDER - 1] for i in range(0, len(w) - ORDER + 1, PIECE)]
 
 
-def grams(word: str) -> list[str]:
-    """The n-grams that predict each letter and the end of a word."""
-    w = "^" * (ORDER - 1) + word + "$"
-    return [w[i:i + ORDER] for i in range(len(w) - ORDER + 1)]
-
-
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "replace")) & (SLOTS - 1)
-
-
-def _crc_parts() -> list[np.ndarray]:
-    """What a byte at each place of an n-gram adds (by xor) to its crc32."""
-    zero = zlib.crc32(bytes(ORDER))
-    parts = [np.array([zlib.crc32(bytes(k) + bytes([c]) + bytes(ORDER - 1 - k)) ^ zero for c in range(256)], np.uint32)
-             for k in range(ORDER)]
-    parts[0] ^= np.uint32(zero)
-    return parts
+def word_key(word: str) -> str:
+    """What a word is joined by: the word, or 128 bits of a long one."""
+    return word if len(word) <= LONG else "#" + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
 _COUNTS = ("t0", "t2", "o0", "o2")
 
 
-def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(gram, n, t0, t2, o0, o2)``: occurrences in all documents and, by
-    fold, in labelled toxic and ordinary ones.  Words are counted within each
-    task first, so a task sends each word once, however hot its source; each
-    distinct word is then cut into its grams once."""
+def word_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(word, piece, m, n, t0, t2, o0, o2)``: the pieces of each distinct
+    word, how often each lies in it, and the word's occurrences in all
+    documents and, by fold, in labelled toxic and ordinary ones.  Words are
+    counted within each task first, so a task sends each word once, however
+    hot its source."""
     rows = docs.select(F.col(id_col).alias("_did"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     marked = (rows.join(F.broadcast(sample), rows["_did"] == sample["_id"], "left")
               .select("_text", F.col("_label"), F.col("_fold")))
@@ -103,10 +93,12 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
                     for w in words_of(chunk):
                         total[kind][w] += n
                 counter.clear()
-            rows = [(piece, w) for w in total[0] for piece in pieces(w)]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()),
-                                               *(pa.array([t[w] for _, w in rows], pa.int64()) for t in total)],
-                                              ["piece", "n", *_COUNTS])
+            rows = [(w, None, 1, w) for w in total[0] if len(w) <= LONG]
+            rows += [(word_key(w), piece, m, w) for w in total[0] if len(w) > LONG for piece, m in Counter(pieces(w)).items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
+                                               pa.array([r[2] for r in rows], pa.int64()),
+                                               *(pa.array([t[r[3]] for r in rows], pa.int64()) for t in total)],
+                                              ["word", "piece", "m", "n", *_COUNTS])
 
         for b in batches:
             for text, label, fold in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -119,10 +111,21 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
         yield flush()
 
     sums = [F.sum(c).alias(c) for c in ("n", *_COUNTS)]
-    words = marked.mapInArrow(count, "piece string, " + ", ".join(f"{c} bigint" for c in ("n", *_COUNTS))).groupBy("piece").agg(*sums)
-    each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("piece") - (ORDER - 1)),
-                                              lambda i: F.substring(F.col("piece"), i, F.lit(ORDER)))).alias("gram"), "n", *_COUNTS)
-    return written(each.groupBy("gram").agg(*sums), "gram-counts")
+    types = "word string, piece string, m bigint, " + ", ".join(f"{c} bigint" for c in ("n", *_COUNTS))
+    words = marked.mapInArrow(count, types).groupBy("word", "piece", "m").agg(*sums)
+    whole = F.concat(F.lit("^" * (ORDER - 1)), "word", F.lit("$"))
+    return written(words.withColumn("piece", F.coalesce("piece", whole)), "word-counts")
+
+
+def _grams(col: str) -> Column:
+    """The n-grams of a piece."""
+    return F.transform(F.sequence(F.lit(1), F.length(col) - (ORDER - 1)), lambda i: F.substring(F.col(col), i, F.lit(ORDER)))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """``(gram, n, t0, t2, o0, o2)`` of the counted words."""
+    each = words.select(F.explode(_grams("piece")).alias("gram"), *[(F.col("m") * F.col(c)).alias(c) for c in ("n", *_COUNTS)])
+    return written(each.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", *_COUNTS)]), "gram-counts")
 
 
 def _interpolated(count: Column, total: Column, kinds: Column, lower: Column) -> Column:
@@ -164,121 +167,118 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         own = F.greatest(counted[m] - CLASS_DISCOUNT, F.lit(0.0))
         return (own + (F.col(f"{m}_off") + SHARED) * F.col("q")) / (F.col(f"{m}_sum") + SHARED)
 
-    return d.select("gram", (counted["t_full"] + counted["o_full"]).alias("weight"),
-                    *[(F.log(p(f"t_{m}")) - F.log(p(f"o_{m}"))).alias(m) for m in ("first", "full")])
-
-
-def _tables(ratios: DataFrame) -> dict[str, np.ndarray]:
-    """At most ``SLOTS`` log-ratios by hashed gram; of grams that share a slot
-    the one seen more often in labelled text stays."""
-    slot = F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(SLOTS)).cast("int")
-    rows = (ratios.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("first", "full"), F.struct("weight", "gram")).alias("r"))
-            .select("slot", F.col("r.first").cast("float").alias("first"), F.col("r.full").cast("float").alias("full"))
-            .filter("abs(first) > 0.01 or abs(full) > 0.01").toArrow())
-    out = {}
-    for m in ("first", "full"):
-        out[m] = np.zeros(SLOTS, np.float32)
-        out[m][rows.column("slot").to_numpy()] = rows.column(m).to_numpy()
-    return out
-
-
-class _Scorer:
-    """Mean log-ratios of texts under one table: words of ASCII letters by
-    whole arrays, the others one by one."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.crc_parts = _crc_parts()
-        self.words: dict[str, float] = {}
-
-    def word(self, w: str) -> float:
-        v = self.words.get(w)
-        if v is None:
-            r = sum(float(self.table[_slot(g)]) for g in grams(w))
-            v = max(0.0, r - DEAD_ZONE) - max(0.0, -r - DEAD_ZONE)
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            if len(w) <= 48:
-                self.words[w] = v
-        return v
-
-    def ascii_words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the log-ratios, and number, of the words of each part."""
-        data = np.frombuffer("\n".join([*parts, ""]).lower().encode("ascii"), np.uint8)
-        at = np.flatnonzero(data - np.uint8(97) < 26)
-        if not len(at):
-            return np.zeros(len(parts)), np.zeros(len(parts), np.int64)
-        new = np.r_[True, at[1:] - at[:-1] > 1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, len(at)])
-        begin = first + ORDER * np.arange(len(first))  # of each word between its bounds, laid end to end
-        laid = np.full(len(at) + ORDER * len(first), ord("^"), np.uint8)
-        laid[np.arange(len(at)) + ORDER * np.cumsum(new) - 1] = data[at]
-        laid[begin + ORDER - 1 + size] = ord("$")
-        n = len(laid) - ORDER + 1
-        crc = self.crc_parts[0][laid[:n]]
-        for k in range(1, ORDER):
-            crc ^= self.crc_parts[k][laid[k:n + k]]
-        ratio = np.append(self.table[crc & np.uint32(SLOTS - 1)], np.float32(0))
-        r = np.add.reduceat(ratio, np.column_stack([begin, begin + size + 1]).ravel(), dtype=np.float64)[::2]
-        r = np.maximum(0.0, r - DEAD_ZONE) - np.maximum(0.0, -r - DEAD_ZONE)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        part = np.searchsorted(ends, at[first], "right")
-        return np.bincount(part, r, len(parts)), np.bincount(part, minlength=len(parts))
-
-    def means(self, texts: list[str]) -> np.ndarray:
-        """Mean log-ratio a word of each text (no words: 0)."""
-        total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        parts, owners, held = [], [], 0
+    return d.select("gram", *[(F.log(p(f"t_{m}")) - F.log(p(f"o_{m}"))).alias(m) for m in ("first", "full")])
+
+
+def _keyed(ratios: DataFrame):
+    """``(salt, n)``: a salt by which no two grams have the same 64-bit key,
+    so that a key stands for one gram, and the number of grams."""
+    salt = 0
+    while True:
+        n, keys = ratios.agg(F.count("*"), F.count_distinct(F.xxhash64("gram", F.lit(salt)))).first()
+        if n == keys:
+            return salt, n
+        salt += 1
+
+
+def word_scores(words: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``(word, first, full)`` of the words that score: the sums of the
+    log-ratios of all their grams, less the dead zone.  Every gram has its own
+    key; tasks hold at most ``SLICE`` log-ratios at a time."""
+    salt, n = _keyed(ratios)
+    slices = max(1, -(-n // SLICE))
+    key = F.xxhash64("gram", F.lit(salt))
+    model = ratios.filter("first <> 0 or full <> 0").select(key.alias("key"), "first", "full")
+    keys = F.transform(_grams("piece"), lambda g: F.xxhash64(g, F.lit(salt)))
+    sums = words.select("word", "piece", "m", F.lit(0.0).alias("first"), F.lit(0.0).alias("full"))
+    for k in range(slices):
+        part = model.filter(F.pmod("key", F.lit(slices)) == k).sort("key").toArrow()
+        table = words.sparkSession.sparkContext.broadcast([part.column(c).to_numpy() for c in ("key", "first", "full")])
+
+        def add(batches, table=table):
+            known, *values = table.value
+            for b in batches:
+                lists = b.column(5)
+                flat, start = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+                start = start[:-1] - start[0]
+                at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+                hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+                out = [b.column(i).to_numpy() for i in (3, 4)]
+                if len(start):
+                    found = [np.add.reduceat(np.where(hit, v[at], 0.0) if len(v) else np.zeros(len(flat)), start) for v in values]
+                    out = [o + f for o, f in zip(out, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(o, pa.float64()) for o in out)],
+                                                 ["word", "piece", "m", "first", "full"])
+
+        sums = sums.withColumn("keys", keys).mapInArrow(add, sums.schema)
+        if k < slices - 1:
+            sums = written(sums, "word-sums")
+    both = ("first", "full")
+    beyond = (lambda r: F.greatest(r - DEAD_ZONE, F.lit(0.0)) - F.greatest(-r - DEAD_ZONE, F.lit(0.0)))
+    sums = written(sums.filter(F.substring("word", 1, 1).eqNullSafe("#") | (F.greatest(F.abs("first"), F.abs("full")) > DEAD_ZONE)), "word-sums")
+    cut = sums.filter(F.substring("word", 1, 1) == "#").groupBy("word").agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in both])
+    plain = sums.filter(F.substring("word", 1, 1) != "#").select("word", *both)
+    scores = plain.unionByName(cut).select("word", *[beyond(F.col(c)).alias(c) for c in both])
+    return written(scores.filter("first <> 0 or full <> 0"), "word-scores")
+
+
+def _marks(scores: DataFrame) -> np.ndarray:
+    """A mark for the hash of every word that scores."""
+    slot = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(SLOTS)).cast("int").alias("slot")
+    out = np.zeros(SLOTS, np.bool_)
+    out[scores.select(slot).distinct().toArrow().column("slot").to_numpy()] = True
+    return np.packbits(out)
+
+
+def _mean_ratios(rows: DataFrame, scores: DataFrame, marks, which: str) -> DataFrame:
+    """``(_id, _h, _x)`` of the distinct ``_id, _h``: mean log-ratio a word of
+    ``_text``, on the calibrated scale (empty: 0).
+
+    A task counts the words of each text and sends those that have a mark;
+    the stored scores are joined to them.  Rows that repeat add alike to the
+    sum and to the number of words, so they leave the mean as it is."""
+    id_type = rows.schema["_id"].dataType.simpleString()
 
-        def flush():
-            sums, numbers = self.ascii_words(parts)
-            np.add.at(total, owners, sums)
-            np.add.at(count, owners, numbers)
-            parts.clear()
-            owners.clear()
-
-        for i, text in enumerate(texts):
-            if not text.isascii():
-                chunks = text.split()
-                found = [self.word(w) for c in chunks if not c.isascii() for w in words_of(c)]
-                total[i], count[i] = total[i] + sum(found), count[i] + len(found)
-                text = " ".join([c for c in chunks if c.isascii()])
-            at = 0
-            while at < len(text):
-                end = at + BLOCK
-                while end < len(text) and text[end].isalpha():
-                    end += 1
-                parts.append(text[at:end])
-                owners.append(i)
-                held += len(parts[-1])
-                at = end
-                if held >= BLOCK:
-                    flush()
-                    held = 0
-        if parts:
-            flush()
-        return total / np.maximum(count, 1)
-
-
-_SCORES: dict[str, _Scorer] = {}
-
-
-def _mean_ratios(rows: DataFrame, model) -> DataFrame:
-    """Adds ``_x``: mean log-ratio a word of ``_text``, on the calibrated scale (empty: 0)."""
-    keep = [c for c in rows.columns if c != "_text"]
-    name = uuid.uuid4().hex
-
-    def score(batches):
-        if name not in _SCORES:  # kept by the worker for its next tasks
-            _SCORES.clear()
-            _SCORES[name] = _Scorer(model.value)
-        for b in batches:
-            x = _SCORES[name].means(b.column("_text").to_pylist())
-            x = np.sign(x) * np.log1p(np.abs(x) / KNEE)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.float64())], [*keep, "_x"])
+    def count(batches):
+        bits = marks.value
+        known: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+        def look(chunk):
+            words = words_of(chunk)
+            keys = [word_key(w) for w in words]
+            slots = [zlib.crc32(k.encode("utf-8", "replace")) & (SLOTS - 1) for k in keys]
+            found = (len(words), tuple(k for k, at in zip(keys, slots, strict=True) if bits[at >> 3] >> (7 - (at & 7)) & 1))
+            if len(known) >= WORD_CACHE:
+                known.clear()
+            if len(chunk) <= LONG:
+                known[chunk] = found
+            return found
 
-    return rows.mapInArrow(score, StructType([rows.schema[c] for c in keep]).add("_x", "double"))
+        for b in batches:
+            row, word, times, words = [], [], [], []
+            for i, text in enumerate(b.column(2)):
+                n, sent = 0, Counter()
+                for chunk, c in Counter(text.as_py().split()).items():
+                    many, keys = known.get(chunk) or look(chunk)
+                    n += c * many
+                    for k in keys:
+                        sent[k] += c
+                row += [i] * (1 + len(sent))
+                word += [None, *sent]
+                times += [0, *sent.values()]
+                words += [n] + [0] * len(sent)
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(word, pa.string()),
+                                              pa.array(times, pa.int64()), pa.array(words, pa.int64())], ["_id", "_h", "_word", "_c", "_n"])
+
+    sent = written(rows.select("_id", "_h", "_text").mapInArrow(count, f"_id {id_type}, _h bigint, _word string, _c bigint, _n bigint"), "text-words")
+    # stored, so that Spark can split the join at a word that many texts have
+    scored = (sent.filter("_word is not null").join(scores, F.col("_word") == F.col("word"))
+              .select("_id", "_h", (F.col("_c") * F.col(which)).alias("_r"), F.lit(0).cast("long").alias("_n")))
+    every = sent.filter("_word is null").select("_id", "_h", F.lit(0.0).alias("_r"), "_n").unionByName(scored)
+    mean = F.sum("_r") / F.greatest(F.sum("_n"), F.lit(1))
+    return (every.groupBy("_id", "_h").agg(mean.alias("_m"))
+            .select("_id", "_h", (F.signum("_m") * F.log1p(F.abs("_m") / KNEE)).alias("_x")))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -297,16 +297,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Null text counts as empty and scores as a log-ratio of zero; null and
     repeated ids and repeated rows each keep a row; an empty table gives no
     rows; other columns are not read.  What reaches the driver and every task
-    is ``SLOTS`` numbers, whatever the input's size."""
+    is ``SLOTS`` bits, whatever the input's size; counts, log-ratios and scores
+    of words are stored tables that grow with the corpus and are joined."""
     spark = docs.sparkSession
     sample = written(bounded_labels(labels, label_col, per_class, label_id_col), "toxic-labels")
-    tables = _tables(log_ratios(gram_counts(docs, sample, id_col, text_col)))
-    row = [F.struct(*docs.columns).alias("_row")] if carry_row else []
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *row)
-
-    marked = rows.join(F.broadcast(sample.filter("_fold = 2").select(F.col("_id").alias("_lid"), "_label", "_weight")),
-                       rows["_id"] == F.col("_lid")).select("_text", "_label", "_weight")
-    known = (_mean_ratios(marked, spark.sparkContext.broadcast(tables["first"])).toArrow())
+    words = word_counts(docs, sample, id_col, text_col)
+    scores = word_scores(words, written(log_ratios(gram_counts(words)), "gram-ratios"))
+    marks = spark.sparkContext.broadcast(_marks(scores))
+    rows = with_keys(docs, id_col, text_col)
+
+    marked = written(rows.join(F.broadcast(sample.filter("_fold = 2").select(F.col("_id").alias("_lid"), "_label", "_weight")),
+                               rows["_id"] == F.col("_lid")).drop("_lid"), "toxic-calibration")
+    known = join_on_keys(marked.drop("_text"), _mean_ratios(marked, scores, marks, "first"), "inner").toArrow()
     x, y, w = (known.column(c).to_numpy() for c in ("_x", "_label", "_weight"))
     if len(set(y)) == 2:
         unit = max(float(x.std()), 1e-6)
@@ -315,6 +317,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     else:
         a, b = 0.0, 0.0 if not len(y) else (3.0 if y[0] else -3.0)
     a, b = max(float(a), 0.0), float(b)
-    scored = _mean_ratios(rows, spark.sparkContext.broadcast(tables["full"]))
-    return scored.select(F.col("_id").alias(id_col), (crc_fold(F.col("_id")) == 1).alias("held_out"),
-                         (1 / (1 + F.exp(-(F.col("_x") * a + b)))).alias("score"), *(["_row"] if carry_row else []))
+    means = written(_mean_ratios(rows, scores, marks, "full"), "toxic-means")
+    row = [F.struct(*docs.columns).alias("_row")] if carry_row else []
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), *row)
+    return join_on_keys(keyed, means, "inner").select(
+        F.col("_id").alias(id_col), (crc_fold(F.col("_id")) == 1).alias("held_out"),
+        (1 / (1 + F.exp(-(F.col("_x") * a + b)))).alias("score"), *(["_row"] if carry_row else []))

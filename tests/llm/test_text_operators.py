@@ -145,6 +145,33 @@ def test_toxicity_held_out(spark):
     assert toxicity_scores(docs, labels.limit(0)).count() == 242
 
 
+def test_every_word_scores_by_its_own_grams(spark, monkeypatch):
+    from dqspark.llm import toxicity
+    monkeypatch.setattr(toxicity, "SLOTS", 64)  # far fewer than the words, so that all share a slot
+    monkeypatch.setattr(toxicity, "SLICE", 2_000)  # fewer than the grams
+    word = (lambda rng: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))))
+    good = (lambda rng: " ".join(word(rng) for _ in range(80)))
+    bad = (lambda rng: good(rng) + " " + " ".join(rng.choice(["zgrumpf", "zgrumpfig", "kväxo", "qa" * 90]) for _ in range(5)))
+    docs, labels = labelled(spark, bad, good)
+    docs = docs.unionByName(docs.filter("doc_id = 4"))
+    few = sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity_scores(docs, labels).collect())
+    monkeypatch.undo()
+    many = sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in toxicity_scores(docs, labels).collect())
+    assert len(few) == 243 and few == many
+
+    sample = toxicity.bounded_labels(labels, "toxic", 10_000)
+    counted = toxicity.word_counts(docs, sample, "doc_id", "text")
+    ratios = toxicity.log_ratios(toxicity.gram_counts(counted)).cache()
+    of = {r["gram"]: (r["first"], r["full"]) for r in ratios.collect()}
+    got = {r["word"]: (r["first"], r["full"]) for r in toxicity.word_scores(counted, ratios).collect()}
+    texts = {w for r in docs.collect() for w in (r["text"] or "").split()}
+    for w in texts:
+        bound = "^" * (toxicity.ORDER - 1) + w + "$"
+        sums = [sum(of[bound[i:i + toxicity.ORDER]][k] for i in range(len(w) + 1)) for k in (0, 1)]
+        beyond = [max(0, s - toxicity.DEAD_ZONE) - max(0, -s - toxicity.DEAD_ZONE) for s in sums]
+        assert np.allclose(got.get(toxicity.word_key(w), (0, 0)), beyond, atol=1e-9)
+
+
 def test_quality_classifier_held_out(spark):
     word = (lambda rng: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))))
     good = (lambda rng: " ".join(word(rng) for _ in range(60)))
