@@ -31,10 +31,8 @@ GRAM = 64
 SEGMENT = 1 << 20
 #: Distinct contexts of one anchor up to which its interval tree is scanned.
 TREE_LIMIT = 256
-#: Distinct contexts of one anchor that one task takes; more are dealt out.
+#: Distinct contexts of one anchor that one task takes; the windows of more are counted by Spark.
 TASK_LIMIT = 50_000
-#: Window starts in each part of an anchor that is dealt out.
-PART = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -231,9 +229,9 @@ def repeated_windows(contexts: list[tuple[bytes, int]], min_len: int):
                 run = b
 
 
-def _context_batches(min_len: int, task_limit: int):
+def _context_batches(min_len: int):
     """Cuts the contexts that a document's anchors need out of its text."""
-    names = ["anchor", "part", "_id", "_h", "x", "lo", "single", "bytes"]
+    names = ["anchor", "_id", "_h", "x", "lo", "single", "bytes"]
 
     def run(batches):
         for b in batches:
@@ -243,29 +241,18 @@ def _context_batches(min_len: int, task_limit: int):
             def batch():
                 take = pa.array(row, pa.int64())
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(out["anchor"], pa.int64()), pa.array(out["part"], pa.int64()), b.column(0).take(take),
-                     b.column(1).take(take), pa.array(out["x"], pa.int64()), pa.array(out["lo"], pa.int64()),
+                    [pa.array(out["anchor"], pa.int64()), b.column(0).take(take), b.column(1).take(take),
+                     pa.array(out["x"], pa.int64()), pa.array(out["lo"], pa.int64()),
                      pa.array(out["single"], pa.bool_()), pa.array(out["bytes"], pa.binary())], names)
 
             for i, (text, needs) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 text = text.as_py()
                 for n in needs.as_py():
-                    lo, hi, x = n["lo"], n["hi"], n["x"]
-                    if n["members"] <= task_limit:
-                        parts = [(0, lo, hi)]
-                    else:  # one part for each PART window starts: equal windows agree on its core
-                        parts = []
-                        for k in range((x - hi) // PART, (x - lo) // PART + 1):
-                            core = text[x - PART * k:x - PART * (k + 1) + 1 + min_len]
-                            key = int.from_bytes(hashlib.blake2b(core + k.to_bytes(4), digest_size=8).digest(), signed=True)
-                            parts.append((key, max(lo, x - PART * (k + 1) + 1), min(hi, x - PART * k)))
-                    for part, first, last in parts:
-                        row.append(i)
-                        body = text[first:last + min_len]
-                        for name, v in (("anchor", n["anchor"]), ("part", part), ("x", x), ("lo", first),
-                                        ("single", n["single"]), ("bytes", body)):
-                            out[name].append(v)
-                        held += len(body)
+                    row.append(i)
+                    body = text[n["lo"]:n["hi"] + min_len]
+                    for name, v in (("anchor", n["anchor"]), ("x", n["x"]), ("lo", n["lo"]), ("single", n["single"]), ("bytes", body)):
+                        out[name].append(v)
+                    held += len(body)
                     if held > 1 << 24:
                         yield batch()
                         row, out, held = [], {n: [] for n in out}, 0
@@ -274,8 +261,53 @@ def _context_batches(min_len: int, task_limit: int):
     return run
 
 
+def _window_batches(min_len: int):
+    """The windows of contexts, one row each: a 128-bit hash of the window's
+    bytes and its start, also counted from the anchor."""
+    names = ["anchor", "at", "window", "_id", "_h", "first", "single"]
+
+    def run(batches):
+        for b in batches:
+            row, out = [], {n: [] for n in names if n not in ("_id", "_h")}
+
+            def batch():
+                take = pa.array(row, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(out["anchor"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["window"], pa.binary()),
+                     b.column(0).take(take), b.column(1).take(take), pa.array(out["first"], pa.int64()),
+                     pa.array(out["single"], pa.bool_())], names)
+
+            for i, (text, needs) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                view = memoryview(text.as_py())
+                for n in needs.as_py():
+                    for s in range(n["lo"], n["hi"] + 1):
+                        row.append(i)
+                        digest = hashlib.blake2b(view[s:s + min_len], digest_size=16).digest()
+                        for name, v in (("anchor", n["anchor"]), ("at", s - n["x"]), ("window", digest), ("first", s), ("single", n["single"])):
+                            out[name].append(v)
+                    if len(row) > 50_000:
+                        yield batch()
+                        row, out = [], {n: [] for n in out}
+            yield batch()
+
+    return run
+
+
+def _counted_windows(asked: DataFrame, min_len: int, id_type: str) -> DataFrame:
+    """Repeated windows of contexts of very common anchors: counted with
+    map-side combine, and the hashes counted twice or more joined back, both
+    sides stored so that Spark can split the join at a hot window.  No task
+    gathers an anchor's bytes."""
+    each = written(asked.mapInArrow(_window_batches(min_len), f"anchor bigint, at bigint, window binary, _id {id_type}, _h bigint, "
+                                    "first bigint, single boolean"), "repeat-windows")
+    keys = ["anchor", "at", "window"]
+    again = written(each.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys), "repeat-again")
+    return (each.filter("single").join(again, keys, "left_semi")
+            .select("_id", "_h", "first", (F.col("first") + min_len).alias("last"), F.xxhash64("window").alias("repeat")))
+
+
 def _span_batches(min_len: int, tree_limit: int):
-    """Repeats of each (anchor, part) group; the rows come sorted by group."""
+    """Repeats of each anchor's group; the rows come sorted by group."""
     names = ["_id", "_h", "first", "last", "repeat"]
 
     def of_group(rows):
@@ -308,11 +340,11 @@ def _span_batches(min_len: int, tree_limit: int):
         types = None
         for b in batches:
             types = [b.schema.field("_id").type, *[pa.int64()] * 4]
-            for anchor, part, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (anchor, part) != key:
+            for anchor, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if anchor != key:
                     if len(rows) > 1:
                         out.extend(of_group(rows))
-                    key, rows = (anchor, part), []
+                    key, rows = anchor, []
                 rows.append(r)
             if len(out) > 10_000:
                 yield batch(out, types)
@@ -343,8 +375,8 @@ def find_repeats(rows: DataFrame, min_len: int = 400, gram: int = GRAM, tree_lim
     4. The others, and one member of each set of equal ones, are cut out of
        their texts and compared by the interval tree, group by group.  Groups
        beyond ``tree_limit`` distinct contexts are compared by one hash a
-       window, in linear time; beyond ``task_limit`` they are first dealt to
-       many tasks by the bytes that equal windows must share."""
+       window, in linear time; beyond ``task_limit`` no task takes the group:
+       its windows' hashes are counted by Spark and joined back."""
     id_type = rows.schema["_id"].dataType.simpleString()
     body = rows.select("_id", "_h", utf8(F.col("_text")).alias("_b")).filter(F.octet_length("_b") >= min_len)
     runs = written(body.mapInArrow(_anchor_batches(min_len, gram), f"_id {id_type}, _h bigint, anchor bigint, context bigint, "
@@ -359,15 +391,20 @@ def find_repeats(rows: DataFrame, min_len: int = 400, gram: int = GRAM, tree_lim
              .select("_id", "_h", F.col("lo").alias("first"), (F.col("hi") + min_len).alias("last"), F.col("context").alias("repeat")))
     mixed = (contexts.groupBy("anchor").agg(F.count("*").alias("members"), F.min("_n").alias("_least"))
              .filter("members > 1 and _least = 1").select("anchor", "members"))
-    needs = (contexts.join(mixed, "anchor")
-             .select("_at._id", "_at._h", F.struct("anchor", F.col("_at.x").alias("x"), F.col("_at.lo").alias("lo"),
-                                                   F.col("_at.hi").alias("hi"), (F.col("_n") == 1).alias("single"), "members").alias("n"))
-             .groupBy("_id", "_h").agg(F.collect_list("n").alias("needs")))
-    cut = (join_on_keys(body, needs, "inner")
-           .mapInArrow(_context_batches(min_len, task_limit), f"anchor bigint, part bigint, _id {id_type}, _h bigint, x bigint, "
-                       "lo bigint, single boolean, bytes binary"))
-    spans = (cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    needs = written(contexts.join(mixed, "anchor").select("_at._id", "_at._h", "members", F.struct(
+        "anchor", F.col("_at.x").alias("x"), F.col("_at.lo").alias("lo"), F.col("_at.hi").alias("hi"),
+        (F.col("_n") == 1).alias("single")).alias("n")), "repeat-needs")
+
+    def asked(some):
+        return join_on_keys(body, needs.filter(some).groupBy("_id", "_h").agg(F.collect_list("n").alias("needs")), "inner")
+
+    cut = asked(F.col("members") <= task_limit).mapInArrow(
+        _context_batches(min_len), f"anchor bigint, _id {id_type}, _h bigint, x bigint, lo bigint, single boolean, bytes binary")
+    spans = (cut.repartition("anchor").sortWithinPartitions("anchor")
              .mapInArrow(_span_batches(min_len, tree_limit), f"_id {id_type}, _h bigint, first bigint, last bigint, repeat bigint"))
+    many = needs.filter(F.col("members") > task_limit)
+    if not many.isEmpty():
+        spans = spans.unionByName(_counted_windows(asked(F.col("members") > task_limit), min_len, id_type))
     return whole.unionByName(spans)
 
 

@@ -52,6 +52,31 @@ def test_repeats_equal_brute_force(spark, limits):
     assert [got[i] for i in range(len(texts))] == covered(texts, 70)
 
 
+def test_no_task_gathers_a_hot_passage(spark, monkeypatch):
+    from dqspark.llm import repeats
+    spans = repeats._span_batches
+
+    def guarded(min_len, tree_limit):
+        def run(batches):
+            kept = list(batches)
+            seen = {}
+            for b in kept:
+                for key in zip(*(b.column(n).to_pylist() for n in b.schema.names if n in ("anchor", "part"))):
+                    seen[key] = seen.get(key, 0) + 1
+            assert max(seen.values(), default=0) <= 8
+            yield from spans(min_len, tree_limit)(iter(kept))
+        return run
+
+    monkeypatch.setattr(repeats, "_span_batches", guarded)
+    rng = random.Random(6)
+    some = (lambda n: "".join(rng.choice("abcdefgh") for _ in range(n)))
+    passage = some(150)
+    texts = [some(90) + passage + some(90) for _ in range(30)] + [passage, passage]
+    got = remove_repeats(frame(spark, texts), min_len=70, gram=16, tree_limit=4, task_limit=8)
+    got = {r["i"]: tuple(r)[1:] for r in got.select(F.col("_row.doc_id").alias("i"), "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    assert [got[i] for i in range(len(texts))] == covered(texts, 70)
+
+
 def test_maximal_repeats_lists_all_occurrences():
     contexts = [(b"aaXmid1", 3), (b"baXmid1", 3), (b"caXmid2", 3)]
     found = {(left, right, tuple(sorted(m))) for left, right, m in maximal_repeats(contexts, 5)}
