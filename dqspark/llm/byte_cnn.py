@@ -17,8 +17,8 @@ from dqspark.llm.common import bounded_labels, crc_fold, utf8, written
 WIDTH, EMBED, FILTERS = 8, 8, 24
 #: Bytes of a chunk; neighbours overlap by WIDTH - 1, so no place is missed.
 CHUNK = 1024
-#: Labelled rows of each class to learn from, and training chunks of a row.
-PER_CLASS, TRAIN_CHUNKS = 2_000, 3
+#: Labelled rows of each class to learn from, each with its whole text.
+PER_CLASS = 2_000
 STEPS, BATCH, RATE = 400, 64, 8e-3
 
 
@@ -105,17 +105,16 @@ def train(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, see
     return net
 
 
+def text_chunks(data: bytes) -> list[bytes]:
+    """The overlapping chunks that scoring sees: all of the text."""
+    step = CHUNK - WIDTH + 1
+    return [data[at:at + CHUNK] for at in range(0, max(len(data) - WIDTH, 0) + 1, step)]
+
+
 def training_rows(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(_label, _weight, chunks)`` of the sampled labelled rows: up to
-    ``TRAIN_CHUNKS`` chunks each, spread evenly over the whole text."""
+    """``(_label, _weight, _b)`` of the sampled labelled rows, texts whole."""
     rows = docs.select(F.col(id_col).alias("_did"), utf8(F.col(text_col)).alias("_b"))
-    marked = rows.join(F.broadcast(sample), rows["_did"] == sample["_id"]).select("_label", "_weight", "_b")
-    n = F.octet_length("_b")
-    last = F.greatest(n - CHUNK, F.lit(0))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(TRAIN_CHUNKS - 1)),
-                                          lambda i: F.floor(last * i / (TRAIN_CHUNKS - 1)).cast("int")))
-    chunks = F.transform(starts, lambda s: F.substring(F.col("_b"), s + 1, F.lit(CHUNK)))
-    return marked.select("_label", "_weight", chunks.alias("chunks"))
+    return rows.join(F.broadcast(sample), rows["_did"] == sample["_id"]).select("_label", "_weight", "_b")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -123,9 +122,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``(id_col, held_out, score)`` of every row of ``docs``.
 
     The network is fitted on at most about ``per_class`` labelled rows of each
-    class whose crc32 fold is not the held-out one (``TRAIN_CHUNKS`` chunks of
-    ``CHUNK`` bytes each, so the sample's size is bounded); every text is
-    scored whole.  Without labelled rows of both classes scores are 0.5.
+    class whose crc32 fold is not the held-out one, on all overlapping chunks
+    of their texts, as every text is scored.  Without labelled rows of both classes scores are 0.5.
 
     Null text counts as empty and is scored like a text of padding; null and
     repeated ids and repeated rows each keep a row; an empty table gives no
@@ -134,12 +132,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sample = written(bounded_labels(labels, label_col, per_class, label_id_col), "quality-labels")
     known = training_rows(docs, sample, id_col, text_col).toArrow()
     y = known.column("_label").to_numpy().astype(np.float32)
-    texts = known.column("chunks").to_pylist()
-    order = np.lexsort(([b"".join(t) for t in texts], y)) if len(y) else []  # independent of row order
+    texts = known.column("_b").to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (y[i], texts[i]))  # independent of row order
     if len(set(y.tolist())) == 2:
         w = known.column("_weight").to_numpy().astype(np.float32)
         w = w / w.mean()
-        net = train([texts[i] for i in order], y[order], w[order])
+        net = train([text_chunks(texts[i]) for i in order], y[order], w[order])
     else:
         net = new_network()
     model = spark.sparkContext.broadcast(net)

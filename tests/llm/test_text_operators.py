@@ -191,6 +191,24 @@ def test_network_sees_every_byte():
     assert np.allclose(byte_cnn.chunk_maxima(net, data).max(axis=0), np.maximum(full.max(axis=0), 0), atol=1e-5)
 
 
+def test_training_sees_every_chunk(spark, monkeypatch):
+    seen = []
+
+    def train(texts, labels, weights):
+        seen.append({b"".join([t[0], *(c[byte_cnn.WIDTH - 1:] for c in t[1:])]) for t in texts})
+        return byte_cnn.new_network()
+
+    monkeypatch.setattr(byte_cnn, "train", train)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc é") for _ in range(n)) for n in (0, 3, 8, 1017, 1018, 1024, 1025, 9_000, 20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    byte_cnn.quality_scores(docs, labels).collect()
+    assert seen == [{t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1}]
+    for t in texts[2:]:
+        assert len(byte_cnn.text_chunks(t.encode())) == len(byte_cnn.chunk_maxima(byte_cnn.new_network(), np.frombuffer(t.encode(), np.uint8)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id=main><div class="post-12 entry"><h1>Head &amp; line</h1><p>First   <b>bold</b>&nbsp;part<br>more.<p>Second &lt;x&gt; caf&#233;.
