@@ -118,6 +118,12 @@ def op5(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=False).drop("_h")
 
 
+@query("decontamination_near")
+def decontamination_near(spark, sf_dir):
+    """The proximity matches of op 5's method, beside its exact ones."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_h")
+
+
 @query("op6_html_extraction")
 def op6(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -179,6 +179,23 @@ def test_contamination_equals_brute_force(spark):
     assert kept == [i for i, e in expected.items() if not e[4]]
 
 
+def test_near_matches_allow_one_altered_word(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my".split()  # three windows
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    changed = (lambda i, w: " ".join([*item[:i], w, *item[i + 1:]]))
+    texts = ["x " + changed(5, "other") + " y",  # no text has zeta: all three windows lack it
+             changed(4, "other"),  # lacks epsilon, which the next text has
+             "epsilon and nothing else",
+             " ".join([*item[:6], "one", "two", *item[6:]]),  # two more words, and no zeta missing
+             "alpha x x x x beta x x x x gamma delta"]  # words too far apart
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in contamination(frame(spark, texts[:3] + texts[4:]), bench).collect()}
+    assert got == {0: (0, 3), 1: (0, 3), 2: (0, 0), 3: (0, 0)}
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in contamination(frame(spark, texts[3:]), bench).collect()}
+    assert got == {0: (0, 3), 1: (0, 0)}
+    import __spark_entry__ as e
+    assert "decontamination_near" in e.queries() and "decontamination_near" not in e.oracle_sql()
+
+
 def test_contamination_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in contamination(frame(spark, ["a b"]), bench).collect()] == [0]
