@@ -16,6 +16,7 @@ from dqspark.llm.preferences import format_preferences, weaker_answers
 from dqspark.llm.quality_rules import quality_verdicts
 from dqspark.llm.repeats import remove_repeats
 from dqspark.llm.simhash import simhash_components
+from dqspark.llm.token_files import read_token_files, write_token_files
 from dqspark.llm.tokens import count_tokens
 from dqspark.llm.toxicity import toxicity_scores
 from dqspark.plans.catalog import table
@@ -24,6 +25,8 @@ from dqspark.session import scratch_path
 #: Tokenizer of the production queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MAX_TOKENS = 2048
+#: Tokenizer of the binary token files.
+FILE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -173,3 +176,12 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     counts = count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, scratch_path(spark, "token-cache"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
+
+
+@query("op11_token_files")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "token-files")
+    write_token_files(docs, FILE_TOKENIZER, path)
+    files = read_token_files(spark, path, docs.schema["doc_id"].dataType.simpleString())
+    return files.select("doc_id", "start", "n_tokens", "ids_crc32")
