@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dqspark.llm.byte_cnn import quality_scores
 from dqspark.llm.decontaminate import contamination
+from dqspark.llm.hard_negatives import hard_negatives
 from dqspark.llm.html_text import extract_main_text
 from dqspark.llm.packing import pack_best_two_fit
 from dqspark.llm.preferences import format_preferences, weaker_answers
@@ -185,3 +186,26 @@ def op11(spark, sf_dir):
     write_token_files(docs, FILE_TOKENIZER, path)
     files = read_token_files(spark, path, docs.schema["doc_id"].dataType.simpleString())
     return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+OP12_SQL = r"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, b.rid AS other, b.vec_id AS id, a.label = b.label AS same,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, id, other) <= 5),
+n AS (SELECT p.rid, p.other, p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.id, s.other) AS rank
+      FROM p JOIN s ON p.rid = s.rid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)

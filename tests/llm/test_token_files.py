@@ -1,5 +1,6 @@
 """Token files: round trip against the tokenizer library."""
 
+import functools
 import random
 import zlib
 
@@ -23,9 +24,14 @@ def many_shards(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
-def library(path, text):
+@functools.cache
+def reference(path):
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library(path, text):
+    return reference(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
