@@ -17,6 +17,7 @@ from dqspark.llm.preferences import format_preferences, weaker_answers
 from dqspark.llm.quality_rules import quality_verdicts
 from dqspark.llm.repeats import remove_repeats
 from dqspark.llm.simhash import simhash_components
+from dqspark.llm.spelling import spelling_variants, word_counts
 from dqspark.llm.token_files import read_token_files, write_token_files
 from dqspark.llm.tokens import count_tokens
 from dqspark.llm.toxicity import toxicity_scores
@@ -209,3 +210,35 @@ def op12(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                         lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, w, count(*) AS k
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+      WHERE length(w) >= 6 GROUP BY ALL),
+x AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS hx FROM r),
+h AS (SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(hx), 2), lambda i:
+                16 * (instr('0123456789ABCDEF', hx[i]) - 1) + instr('0123456789ABCDEF', hx[i + 1]) - 1)),
+                lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]))) AS h FROM x, tab),
+t AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM t WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.a = b.a AND a.z = b.z AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.a || a.z = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.a || a.z = b.word),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+         QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+f AS (SELECT v.word, v.n, CASE WHEN near_n >= 5 * v.n THEN near END AS form, coalesce(n_near, 0) AS n_near,
+             CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN f ON walk.root = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, f.n_near, f.form_n FROM f JOIN ends ON f.word = ends.word
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark, sf_dir):
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), typo_every=199))
