@@ -43,6 +43,16 @@ class _Blocks(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
 
+    def parse_html_declaration(self, i):
+        """A marked section of an unknown name is a comment up to the next
+        bracket, as browsers have it."""
+        if self.rawdata.startswith("<![", i) and not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def unknown_decl(self, data):
+        """Other declarations are no text either."""
+
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
