@@ -45,8 +45,8 @@ def query(name: str, oracle: str | None = None):
 
 @query("op1_suffix_dedup")
 def op1(spark, sf_dir):
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_len=400)
-    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_len=400, keep_text=True)
+    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("_kept").alias("text"))
 
 
 @query("op2_best_fit_packing")
