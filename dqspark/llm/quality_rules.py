@@ -66,8 +66,8 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sketch(stats: DataFrame) -> DataFrame:
     """``(lang, source, rule, value, c)``: rows of each group per thousandth
-    of each rule's ratio (at most 100 a word), from rows that passed the base."""
-    value = (lambda col: F.least(F.floor(F.try_divide(1000 * F.col(col), F.col("n_words"))), F.lit(100_000)).cast("int"))
+    of each rule's ratio, from rows that passed the base."""
+    value = (lambda col: F.floor(F.try_divide(1000 * F.col(col), F.col("n_words"))))
     each = F.array(*[F.struct(F.lit(r).alias("rule"), value(c).alias("value")) for r, (c, _, _) in RULES.items()])
     return (stats.filter(~F.col("base_failed")).select("_lang", "_source", F.explode(each).alias("_v"))
             .groupBy("_lang", "_source", "_v.rule", "_v.value").agg(F.count("*").alias("c")))

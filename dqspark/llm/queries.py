@@ -67,7 +67,7 @@ s AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
       FROM w LEFT JOIN rep ON w.rid = rep.rid),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-v AS (SELECT rid, lang, source, rule, least(value, 100000) AS value, value AS raw FROM b,
+v AS (SELECT rid, lang, source, rule, value FROM b,
       unnest([{'rule': 'symbols', 'value': 1000 * n_symbols // n_words}, {'rule': 'dup_lines', 'value': 1000 * n_dup_lines // n_words},
               {'rule': 'repeats', 'value': 1000 * n_repeat_words // n_words}, {'rule': 'word_length', 'value': 1000 * word_chars // n_words}]) AS u(r),
       LATERAL (SELECT r.rule AS rule, r.value AS value) WHERE NOT base_failed),
@@ -79,8 +79,8 @@ lim AS (SELECT g.lang, g.source, g.rule,
                CASE WHEN g.n >= 100 THEN g.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3,
                CASE g.rule WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 50 WHEN 'repeats' THEN 200 ELSE 2000 END AS least_reach
         FROM qg g JOIN ql l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rule = l.rule JOIN qa a ON g.rule = a.rule),
-ok AS (SELECT rid, bool_and(raw <= q3 + greatest(least_reach, 3 * (q3 - q1))
-                            AND (v.rule <> 'word_length' OR raw >= q1 - greatest(least_reach, 3 * (q3 - q1)))) AS good
+ok AS (SELECT rid, bool_and(value <= q3 + greatest(least_reach, 3 * (q3 - q1))
+                            AND (v.rule <> 'word_length' OR value >= q1 - greatest(least_reach, 3 * (q3 - q1)))) AS good
        FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.rule = lim.rule GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(good, false) AS kept
