@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dqspark.llm.common import join_on_keys, with_keys, written
+from dqspark.llm.common import join_on_keys, tidy, with_keys, written
 from dqspark.llm.components import connected_components
 
 #: Reference fingerprints; 16 distances of up to 15 fit one long per group of bits.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = np.array([simhash64(t.as_py(), shingle) for t in b.column(2)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["_id", "_h", "fp"])
 
-    return rows.mapInArrow(prints, f"_id {rows.schema['_id'].dataType.simpleString()}, _h bigint, fp bigint")
+    return rows.mapInArrow(tidy(prints), f"_id {rows.schema['_id'].dataType.simpleString()}, _h bigint, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -100,7 +100,7 @@ def pivot_table(prints: DataFrame, groups: int) -> DataFrame:
             rows = [row[(fp >> np.uint64(shift)) & np.uint64(mask)].view("<i8") for shift, mask, row in tables]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, pa.int64()) for r in rows)], ["fp", *names])
 
-    return prints.select("fp").mapInArrow(look_up, "fp bigint, " + ", ".join(f"{c} bigint" for c in names))
+    return prints.select("fp").mapInArrow(tidy(look_up), "fp bigint, " + ", ".join(f"{c} bigint" for c in names))
 
 
 def _cells(prints: DataFrame, groups: int, max_distance: int) -> DataFrame:
@@ -177,12 +177,13 @@ def keep_one_each(docs: DataFrame, shingle: int = 3, max_distance: int = 2, id_c
                   text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row
     with the smallest id stays (null ids last, then by text hash; of fully
-    repeated rows one)."""
+    repeated rows one), with all its columns, whatever these are called."""
     found = simhash_components(docs, shingle, max_distance, id_col, text_col)
     rows = found.groupBy("root", F.col(id_col).alias("_id"), "_h").agg(F.count("*").alias("_n"))
     first = F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_h", "_n"))
     stay = written(rows.groupBy("root").agg(first.alias("m")).select("m._id", "m._h", "m._n"), "simhash-kept")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"))
     kept = join_on_keys(keyed, stay, "inner")
-    once = kept.filter("_n = 1").select(docs.columns)
-    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_h"]).select(docs.columns))
+    once = kept.filter("_n = 1").select("_row")
+    return once.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_h"]).select("_row")).select("_row.*")
