@@ -16,6 +16,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker remembers between tasks, by a name: functions that forget it.
+REMEMBERED: dict = {}
+
+
+def tidy(task, keep: str | None = None):
+    """``task`` for ``mapInArrow``, in a worker that first forgets what
+    operators other than its own (``keep``) remember, and in the end returns
+    freed buffers: workers serve one operator after another, and what each
+    left behind would add up."""
+    def run(batches):
+        for name, forget in REMEMBERED.items():
+            if name != keep:
+                forget()
+        yield from task(batches)
+        import pyarrow as pa
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def utf8(col: Column) -> Column:
     """The text's UTF-8 bytes (null text: no bytes)."""
     return F.encode(F.coalesce(col, F.lit("")), "UTF-8")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dqspark.llm.common import written
+from dqspark.llm.common import tidy, written
 from dqspark.llm.tokens import tokenizer
 
 #: Groups that the pieces of one length are numbered in.
@@ -115,7 +115,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id:
                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(ids, pa.binary())] if with_ids else [])
             yield pa.RecordBatch.from_arrays(cols, ["_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(tidy(cut, "tokens"), schema)
 
 
 def pack_best_two_fit(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 0,

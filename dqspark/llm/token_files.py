@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dqspark.llm.common import written
+from dqspark.llm.common import REMEMBERED, tidy, written
 from dqspark.llm.tokens import TextTokenizer, _byte_characters
 
 #: Most chunks, and most words, each of at most ``CHUNK_CHARS`` characters, whose ids one Python worker remembers
@@ -126,6 +126,9 @@ def encoder(path: str) -> FileEncoder:
     return FileEncoder(path)
 
 
+REMEMBERED["token files"] = encoder.cache_clear
+
+
 def _store(path: str):
     """The file system of a folder (local, HDFS, S3, ...) and the path within it."""
     from pyarrow import fs
@@ -196,7 +199,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
                        F.monotonically_increasing_id().alias("place"))
     order = [F.col("id").asc_nulls_first(), "hash", "place"]
     shards = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
-                     .mapInArrow(_shard_writer(path, tokenizer_path, end_id),
+                     .mapInArrow(tidy(_shard_writer(path, tokenizer_path, end_id), "token files"),
                                  "shard int, name string, id_bytes int, n_docs bigint, n_ids bigint"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     manifest = shards.withColumns({

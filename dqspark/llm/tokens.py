@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import written
+from dqspark.llm.common import REMEMBERED, tidy, written
 
 #: Most words whose ids one Python worker remembers (about 150 bytes each).
 WORD_CACHE = 1_000_000
@@ -141,6 +141,9 @@ def tokenizer(path: str) -> TextTokenizer:
     return TextTokenizer(path)
 
 
+REMEMBERED["tokens"] = tokenizer.cache_clear
+
+
 def tokenizer_digest(path: str) -> str:
     """Names the tokenizer version: digest of its file and library version."""
     import tokenizers
@@ -215,7 +218,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
                     n.append(len(tok.ids(text)) // 4)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    (todo.mapInArrow(encode, "digest binary, n_tokens bigint")
+    (todo.mapInArrow(tidy(encode, "tokens"), "digest binary, n_tokens bigint")
      .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
      .write.mode("append").parquet(cache_path))
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import bounded_labels, crc_fold, join_on_keys, logistic_fit, with_keys, written
+from dqspark.llm.common import bounded_labels, crc_fold, join_on_keys, logistic_fit, tidy, with_keys, written
 
 ORDER = 6
 #: Discount of corpus counts, and of class counts.
@@ -112,7 +112,7 @@ def word_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
 
     sums = [F.sum(c).alias(c) for c in ("n", *_COUNTS)]
     types = "word string, piece string, m bigint, " + ", ".join(f"{c} bigint" for c in ("n", *_COUNTS))
-    words = marked.mapInArrow(count, types).groupBy("word", "piece", "m").agg(*sums)
+    words = marked.mapInArrow(tidy(count), types).groupBy("word", "piece", "m").agg(*sums)
     whole = F.concat(F.lit("^" * (ORDER - 1)), "word", F.lit("$"))
     return written(words.withColumn("piece", F.coalesce("piece", whole)), "word-counts")
 
@@ -210,7 +210,7 @@ def word_scores(words: DataFrame, ratios: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(o, pa.float64()) for o in out)],
                                                  ["word", "piece", "m", "first", "full"])
 
-        sums = sums.withColumn("keys", keys).mapInArrow(add, sums.schema)
+        sums = sums.withColumn("keys", keys).mapInArrow(tidy(add), sums.schema)
         if k < slices - 1:
             sums = written(sums, "word-sums")
     both = ("first", "full")
@@ -271,7 +271,7 @@ def _mean_ratios(rows: DataFrame, scores: DataFrame, marks, which: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(word, pa.string()),
                                               pa.array(times, pa.int64()), pa.array(words, pa.int64())], ["_id", "_h", "_word", "_c", "_n"])
 
-    sent = written(rows.select("_id", "_h", "_text").mapInArrow(count, f"_id {id_type}, _h bigint, _word string, _c bigint, _n bigint"), "text-words")
+    sent = written(rows.select("_id", "_h", "_text").mapInArrow(tidy(count), f"_id {id_type}, _h bigint, _word string, _c bigint, _n bigint"), "text-words")
     # stored, so that Spark can split the join at a word that many texts have
     scored = (sent.filter("_word is not null").join(scores, F.col("_word") == F.col("word"))
               .select("_id", "_h", (F.col("_c") * F.col(which)).alias("_r"), F.lit(0).cast("long").alias("_n")))

@@ -196,6 +196,16 @@ def test_near_matches_allow_one_altered_word(spark):
     assert "decontamination_near" in e.queries() and "decontamination_near" not in e.oracle_sql()
 
 
+def test_stages_carry_any_columns(spark):
+    """Columns with the operators' own names come back as they were."""
+    docs = spark.createDataFrame([(1, "a b c d e", "keep", 7, 8), (2, "a b c d e", "keep", 7, 8), (2, "a b c d e", "keep", 7, 8), (3, None, "keep", 7, 8)],
+                                 "doc_id long, text string, _id string, _h long, _n long")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    assert sorted(keep_one_each(docs).collect()) == [(1, "a b c d e", "keep", 7, 8), (3, None, "keep", 7, 8)]
+    left = without_contaminated(docs.unionByName(spark.createDataFrame([(4, "w x y z", "no", 1, 2)], docs.schema)), items)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 2, 3] and {r._id for r in left.collect()} == {"keep"}
+
+
 def test_contamination_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in contamination(frame(spark, ["a b"]), bench).collect()] == [0]
