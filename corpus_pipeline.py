@@ -18,6 +18,10 @@ from dqspark.llm.simhash import keep_one_each
 from dqspark.llm.toxicity import toxicity_scores
 from dqspark.plans.catalog import table
 
+#: Bytes of a passage that the corpus keeps nowhere if it recurs: passages of
+#: over 50 words have 285 bytes and more.
+REPEAT_BYTES = 250
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models score under 0.7 stay."""
@@ -33,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the bytes of passages that recur (a null
     text becomes empty)."""
-    found = remove_repeats(docs, min_len=400, keep_text=True)
+    found = remove_repeats(docs, min_len=REPEAT_BYTES, keep_text=True)
     cols = []
     for c in docs.columns:
         if c == "text":
