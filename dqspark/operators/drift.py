@@ -1,4 +1,4 @@
-"""Drift operators: A10 W5 E6 E7 E26 Q10 J10 J12.
+"""Drift operators: A10 W5 E7 E26 Q10 J10 J12 (E6: ``profile_delta``).
 
 The run-metrics table these operate on has one row per (dataset, column,
 run): tiny next to the scanned data, so windows partitioned by
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dqspark.functions.exprs import (
     py_strip,
-    SEVERITY_RANK, abs_diff, highest_severity, relative_change_pct, safe_float, severity,
+    SEVERITY_RANK, abs_diff, highest_severity, relative_change_pct, severity,
     severity_rank, validate_thresholds,
 )
 from dqspark.operators.profile import unpivot
@@ -126,7 +126,18 @@ def assess_drift(df: DataFrame, thresholds: Mapping[str, float] | None = None,
         F.when(F.col("completeness_max_pp").isNull(), "completeness metrics unavailable")
          .when(F.col("completeness_severity") == "NONE", F.lit(f"below {t['none_upper']} pp noise threshold"))
          .otherwise(F.format_string("largest change: %s, %.5f pp", largest, F.col("completeness_max_pp")))
-         .alias("completeness_reason"))
+         .alias("completeness_reason"),
+        F.when(F.col("schema_changed"), F.format_string("type went from %s to %s", ht, ct))
+         .when(F.col("detected_type_mismatch"), F.format_string("values look like %s, the schema says %s", dt, ct))
+         .when(F.col("schema_severity") == "UNKNOWN", "no schema type on either side")
+         .otherwise("same schema type").alias("schema_reason"),
+        F.when(F.col("distinct_ratio_change_pp").isNull(), "distinct ratio unavailable")
+         .when(F.col("uniqueness_severity") == "NONE", F.lit(f"below {t['none_upper']} pp noise threshold"))
+         .otherwise(F.format_string("distinct ratio moved by %.5f pp", F.col("distinct_ratio_change_pp")))
+         .alias("uniqueness_reason"),
+        F.when(overall == "UNKNOWN", "too little is known to judge")
+         .when(overall == "NONE", "no dimension above the noise threshold")
+         .otherwise(F.format_string("highest severity %s in %s", overall, trig)).alias("overall_reason"))
 
 
 def drift_report(runs: DataFrame, lookback: int = 6, thresholds: Mapping[str, float] | None = None,
@@ -140,69 +151,6 @@ def drift_report(runs: DataFrame, lookback: int = 6, thresholds: Mapping[str, fl
         "schema_severity", "overall_severity", "triggered_dimensions")
 
 
-# E6 ------------------------------------------------------------------------
-PROFILE_DELTA_SCHEMA = (
-    "dataset string, colName string, dtcntDelta double, ncntDelta double, ecntDelta double, "
-    "uniqueDelta double, uniqueDeltaPercent double, changePercent double, "
-    "changePercentWithUniques double, validValuesRule string, "
-    "datasetField struct<runId:string,nullRatio:string,emptyRatio:string,filledRatio:string,"
-    "uniqueCnt:string,uniqueRatio:string,minAbs:string,minAbsNum:string,maxAbs:string,"
-    "maxAbsNum:string,meanAbs:string,meanAbsNum:string,actualDataType:string,passFail:int>, "
-    "baseline struct<avg_nulls:string,avg_empties:string,avg_filled_ratio:string,"
-    "avg_unique_cnt:string,median_unique_cnt:string,avg_uniques:string,median_unique_ratio:string,"
-    "avg_min_abs_num:string,avg_max_abs_num:string,avg_mean_abs_num:string>, "
-    "historicalSchema struct<colSchema:string>, "
-    "currentSchema struct<colSchema:string,isKey:boolean,isPii:boolean,isMnpi:boolean,"
-    "isMasked:boolean,enabled:boolean>")
-
-
-def _truthy(c: Column) -> Column:
-    return F.when(c.isNotNull() & (c != ""), c)
-
-
-def normalize_profile_delta(parsed: DataFrame, col: str = "r") -> DataFrame:
-    """Flatten parsed profile-delta records (struct column ``col`` with
-    :data:`PROFILE_DELTA_SCHEMA`) into the columns :func:`assess_drift` reads.
-
-    Detected type = first non-empty of actual / current / historical type;
-    min/max/mean prefer the numeric variant when present; passed = passFail==1.
-    A missing nested object yields nulls (the reference fails there)."""
-    r = F.col(col)
-    f, b = r["datasetField"], r["baseline"]
-    return parsed.select(
-        r["dataset"].alias("dataset"), r["colName"].alias("column_name"), f["runId"].alias("run_id"),
-        r["historicalSchema"]["colSchema"].alias("historical_type"),
-        r["currentSchema"]["colSchema"].alias("data_type"),
-        F.coalesce(_truthy(f["actualDataType"]), _truthy(r["currentSchema"]["colSchema"]),
-                   _truthy(r["historicalSchema"]["colSchema"])).alias("detected_type"),
-        safe_float(f["nullRatio"]).alias("null_pct"), safe_float(f["emptyRatio"]).alias("empty_pct"),
-        safe_float(f["filledRatio"]).alias("filled_pct"),
-        safe_float(f["uniqueCnt"]).alias("unique_cnt"), safe_float(f["uniqueRatio"]).alias("unique_ratio"),
-        F.coalesce(f["minAbsNum"], f["minAbs"]).alias("minimum"),
-        F.coalesce(f["maxAbsNum"], f["maxAbs"]).alias("maximum"),
-        F.when(f["meanAbsNum"].isNotNull(), safe_float(f["meanAbsNum"]))
-         .otherwise(safe_float(f["meanAbs"])).alias("mean"),
-        f["passFail"].alias("pass_fail"),
-        F.coalesce(f["passFail"] == 1, F.lit(False)).alias("passed"),
-        safe_float(b["avg_nulls"]).alias("avg_null_pct"), safe_float(b["avg_empties"]).alias("avg_empty_pct"),
-        safe_float(b["avg_filled_ratio"]).alias("avg_filled_pct"),
-        safe_float(b["avg_unique_cnt"]).alias("avg_unique_cnt"),
-        safe_float(b["median_unique_cnt"]).alias("median_unique_cnt"),
-        safe_float(b["avg_uniques"]).alias("avg_unique_ratio"),
-        safe_float(b["median_unique_ratio"]).alias("median_unique_ratio"),
-        r["ncntDelta"].alias("delta_null"), r["ecntDelta"].alias("delta_empty"),
-        r["uniqueDelta"].alias("delta_distinct_count"),
-        r["uniqueDeltaPercent"].alias("delta_distinct_percent"),
-        r["changePercent"].alias("delta_overall"),
-        r["validValuesRule"].alias("generated_failure_condition"),
-        r["currentSchema"]["isKey"].alias("is_key"), r["currentSchema"]["isPii"].alias("is_pii"))
-
-
-def parse_profile_delta(json_df: DataFrame, json_col: str = "json") -> DataFrame:
-    """S14 for profile-delta payloads: ``from_json`` with the declared schema."""
-    return json_df.select(F.from_json(F.col(json_col), PROFILE_DELTA_SCHEMA).alias("r"))
-
-
 # Q10 -----------------------------------------------------------------------
 def metrics_long(runs: DataFrame, dataset: str | Column = "dataset") -> DataFrame:
     """Run profile -> (dataset, run_id, item, metric_type, value) for the

@@ -81,8 +81,6 @@ def list_objects(spark: SparkSession, prefix: str, max_keys: int = 50, glob: str
 
 
 # S14 -----------------------------------------------------------------------
-TOPN_RECORD_SCHEMA = ("id long, dataset string, runId string, fieldNm string, fieldFunc string, fieldValue string, "
-                      "uniqueCnt long, updtTs string")
 FINDINGS_SCHEMA = (
     "dataset string, run_date string, job_id long, rows long, passFail int, "
     "rules array<struct<ruleNm:string,breakMsg:string,score:double,perc:double,exception:string>>, "
@@ -100,11 +98,6 @@ def ingest_json(df: DataFrame, schema: str, json_col: str = "json") -> DataFrame
     return df.select(F.from_json(F.col(json_col), schema).alias("_r")).select("_r.*")
 
 
-def ingest_topn(df: DataFrame, json_col: str = "json") -> DataFrame:
-    """TOPN / BOTTOMN records (flat) -> DataFrame for ``profile.normalize_topn``."""
-    return ingest_json(df, TOPN_RECORD_SCHEMA, json_col)
-
-
 def ingest_findings(df: DataFrame, json_col: str = "json") -> DataFrame:
     """Findings payloads (seven finding arrays + scores) for ``rules.flatten_findings``."""
     return ingest_json(df, FINDINGS_SCHEMA, json_col)
