@@ -280,6 +280,43 @@ def evaluate_alerts(spark, sf):
     return out.select("dataset", "run_date", "score", "alertCond", "is_default", "fired")
 
 
+def customer_alerts(customer):
+    """An alert per customer key, its condition written as a user might."""
+    b = (F.col("c_custkey") % 100).cast("string")
+    cond = F.element_at(F.array(
+        F.concat(F.lit("score < "), b), F.concat(F.lit("n_events >= "), b, F.lit(" AND score <= 80")),
+        F.concat(F.lit(" score BETWEEN 70 and 7"), (F.col("c_custkey") % 10).cast("string"), F.lit(" or n_errors > "), b),
+        F.concat(b, F.lit(".5>score")), F.concat(F.lit("max_big is null Or max_big != 0 and n_events == "), b),
+        F.lit("score <"), F.lit("speed > 1"), F.lit(" ")), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return customer.select(F.concat(F.lit("ds_app_"), (F.col("c_custkey") % 5).cast("string")).alias("dataset"),
+                           F.col("c_custkey").alias("alert_id"), cond.alias("alertCond"), (F.col("c_custkey") % 9 != 0).alias("active"))
+
+
+@register("alert_conditions_customer", """
+WITH s AS (SELECT 'ds_app_' || (user_id % 5) AS dataset, strftime(ts, '%Y-%m-%d') AS run_date, count(*) AS n_events,
+             avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) * 100.0 AS score,
+             count(*) FILTER (WHERE event_type = 'error') AS n_errors, max(CASE WHEN value > 330 THEN value END) AS max_big
+           FROM events GROUP BY ALL),
+a AS (SELECT 'ds_app_' || (c_custkey % 5) AS dataset, c_custkey AS alert_id, c_custkey % 100 AS b, c_custkey % 10 AS e, c_custkey % 8 AS k
+      FROM customer WHERE c_custkey % 9 <> 0),
+j AS (SELECT *, CASE k WHEN 0 THEN score < b WHEN 1 THEN n_events >= b AND score <= 80 WHEN 2 THEN score BETWEEN 70 AND 70 + e OR n_errors > b
+        WHEN 3 THEN score < b + 0.5 WHEN 4 THEN max_big IS NULL OR max_big <> 0 AND n_events = b END AS f FROM s JOIN a USING (dataset))
+SELECT dataset, alert_id, CASE k WHEN 5 THEN 'not a test: score <' WHEN 6 THEN 'unknown column speed' WHEN 7 THEN 'no condition' END AS reason,
+  count(*) AS n_runs, count(*) FILTER (WHERE coalesce(f, false)) AS n_fired
+FROM j GROUP BY ALL""")
+def alert_conditions_customer(spark, sf):
+    """Q9: thousands of alert conditions as data, evaluated over the daily
+    scores in one plan; those that are no conditions are named."""
+    ev = table(spark, sf, "events").select(
+        F.concat(F.lit("ds_app_"), (F.col("user_id") % 5).cast("string")).alias("dataset"), F.to_date("ts").cast("string").alias("run_date"),
+        (F.col("event_type") == "error").alias("err"), "value")
+    scores = ev.groupBy("dataset", "run_date").agg(
+        F.count("*").alias("n_events"), (F.avg(F.when(~F.col("err"), 1.0).otherwise(0.0)) * 100.0).alias("score"),
+        F.count_if("err").alias("n_errors"), F.max(F.when(F.col("value") > 330, F.col("value"))).alias("max_big"))
+    out = A.evaluate_alerts(scores, customer_alerts(table(spark, sf, "customer")))
+    return out.groupBy("dataset", "alert_id", "reason").agg(F.count("*").alias("n_runs"), F.count_if("fired").alias("n_fired"))
+
+
 # Q4 --------------------------------------------------------------------------
 def part_profile_requests(part):
     """Per part: the stored profile flags and one requested patch, chosen by

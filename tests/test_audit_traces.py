@@ -221,18 +221,30 @@ def test_upsert_sessions_row_form(spark):
     assert out["s1"]["turn_count"] == 2 and out["s1"]["region"] == "cn" and out["s2"]["turn_count"] == 1
 
 
-def test_evaluate_alerts_pages_equal_one_pass(spark):
-    """Conditions fetched in pages of 2 give the same firing as one page."""
-    scores = spark.createDataFrame([(f"d{i}", float(s)) for i in range(6) for s in (10, 50, 90)],
-                                   "dataset string, score double")
-    alerts = spark.createDataFrame([(f"d{i}", f"a{i}", f"score < {20 * (i + 1)}", True) for i in range(5)]
-                                   + [("d5", "a5", None, True)],
-                                   "dataset string, alertNm string, alertCond string, active boolean")
-    key = ["dataset", "score"]
-    one = rows(A.evaluate_alerts(scores, alerts).select(*key, "fired"), key)
-    paged = rows(A.evaluate_alerts(scores, alerts, page_size=2).select(*key, "fired"), key)
-    assert one == paged and len(one) == 18
-    assert [r["fired"] for r in one if r["dataset"] == "d1"] == [True, False, False]      # score < 40
+def test_alert_conditions_as_data(spark):
+    scores = spark.createDataFrame([("d", "r1", 80.0, 5, None), ("d", "r2", 95.0, 7, 1.0), ("e", "r1", 0.0, 0, 0.0)],
+                                   "dataset string, run string, score double, rows long, x double")
+    want = {"score < 95": "d1 e1", "95 >= score": "d1 d2 e1", "score between 80 and 90": "d1", "SCORE < 1": "e1",
+            "rows = 5 and score > 1 or x == 1": "d1 d2", "x is null": "d1", "x IS NOT NULL and score < 1e2": "d2 e1", "x > 0 or score <= 80": "d1 d2 e1",
+            "x <> 0": "d2", "rows != 7 And rows <> 0": "d1", "score": "not a test: score", "score < 1; drop": "not a test: score < 1; drop",
+            "(score < 95)": "not a test: (score < 95)", "run = 1": "unknown column run", "score between 1 and": "not a test: score between 1 and",
+            "score > -.5": "d1 d2 e1", "": "no condition", None: "no condition"}
+    alerts = spark.createDataFrame([(d, c, True) for c in want for d in "de"] + [("d", "score < 1000", False)],
+                                   "dataset string, alertCond string, active boolean")
+    out = rows(A.evaluate_alerts(scores, alerts))
+    for cond, expected in want.items():
+        mine = [r for r in out if r["alertCond"] == cond]
+        assert len(mine) == 3
+        reasons = {r["reason"] for r in mine}
+        got = " ".join(sorted(r["dataset"] + r["run"][1] for r in mine if r["fired"])) if reasons == {None} else reasons.pop()
+        assert got == expected, (cond, got)
+    assert len(out) == 3 * len(want)
+
+
+def test_many_alert_conditions_are_one_plan(spark):
+    alerts = spark.range(10_000).selectExpr("'d' AS dataset", "concat('score < ', id) AS alertCond", "true AS active")
+    scores = spark.createDataFrame([("d", 5000.0)], "dataset string, score double")
+    assert A.evaluate_alerts(scores, alerts).where("fired").count() == 4999
 
 
 def test_latest_session_ties_region_and_fallback(spark):
