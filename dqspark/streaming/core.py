@@ -229,6 +229,15 @@ def stream_profile(events: DataFrame, cols: Sequence[str], window: str = "1 day"
         F.min("nval").alias("min_value"), F.max("nval").alias("max_value"), F.avg("nval").alias("mean_value"))
 
 
+def stream_profile_states(events: DataFrame, cols: Sequence[str], pane: str = "1 day", watermark: str = "1 day") -> DataFrame:
+    """ST5 as mergeable states: one state per pane and column (counts, extremes,
+    distinct and quantile sketches), to be merged into windows of any number
+    of panes by ``profile_state.sliding_states`` without the events."""
+    from dqspark.operators.profile_state import state_aggregates, state_rows
+    rows = state_rows(events.withWatermark("ts", watermark), cols, [F.window("ts", pane).alias("run")])
+    return rows.groupBy("run", "column_name").agg(*state_aggregates())
+
+
 # ST6 -----------------------------------------------------------------------
 def stream_alerts(scores: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """ST6: stateless filter score < threshold."""
