@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 _FLOATING = (T.FloatType, T.DoubleType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_LANED = (*_WHOLE, *_FLOATING, T.StringType)
 
 
 def _dtype(df: DataFrame, c: str) -> T.DataType:
@@ -87,9 +89,11 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     """One row per column: row_count, null_count, distinct_count (non-null),
     min_value, max_value, null_fraction_ref, null_ratio.
 
-    Any column type: counts and extremes come from one typed aggregate per
-    column (one map-side pass), distinct values from their own pass over the
-    values' exact text.  ``value_type``: ``double`` or ``string`` form of the
+    Whole numbers, floats and texts: one scan and one shuffle of the distinct
+    typed values with their counts, from which everything follows.  With a
+    column of another type, or approximate counts: counts and extremes come
+    from one typed aggregate per column (one map-side pass), distinct values
+    from their own pass over the values' exact text.  ``value_type``: ``double`` or ``string`` form of the
     extremes (default: double if all columns are numeric; use ``string`` to
     see longs beyond 2^53 exactly).
 
@@ -99,6 +103,12 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     """
     cols = list(cols or df.columns)
     value_type = value_type or ("double" if all(is_numeric(df, c) for c in cols) else "string")
+    den = F.col("distinct_count") + F.col("null_count")
+    out = ["column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value",
+           F.when(den == 0, F.lit(0.0)).otherwise(F.col("null_count") / den).alias("null_fraction_ref"),
+           F.when(F.col("row_count") == 0, F.lit(0.0)).otherwise(F.col("null_count") / F.col("row_count")).alias("null_ratio")]
+    if exact and all(isinstance(_dtype(df, c), _LANED) for c in cols):
+        return _laned_profile(df, cols, value_type).select(*out)
     typed = [_norm_double(F.col(_q(c))) if isinstance(_dtype(df, c), _FLOATING) else F.col(_q(c)) for c in cols]
     wide = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, v in enumerate(typed) for x in (
         F.count(v).alias(f"c{i}"), F.min(v).cast(value_type).alias(f"lo{i}"), F.max(v).cast(value_type).alias(f"hi{i}"))])
@@ -109,12 +119,33 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(cols)])))
     distinct = (F.count_distinct("value") if exact else F.approx_count_distinct("value", rsd))
     kinds = unpivot(df, cols, value="string").groupBy("column_name").agg(distinct.alias("distinct_count"))
-    den = F.col("distinct_count") + F.col("null_count")
-    return stats.join(kinds, "column_name").select(
-        "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value",
-        F.when(den == 0, F.lit(0.0)).otherwise(F.col("null_count") / den).alias("null_fraction_ref"),
-        F.when(F.col("row_count") == 0, F.lit(0.0))
-         .otherwise(F.col("null_count") / F.col("row_count")).alias("null_ratio"))
+    return stats.join(kinds, "column_name").select(*out)
+
+
+def _laned_profile(df: DataFrame, cols: Sequence[str], value_type: str) -> DataFrame:
+    """Counts and extremes by one grouped pass over typed cells: each cell has
+    its value in the lane of its type (long, double or text), so no number
+    becomes text and equal values meet before the shuffle."""
+    lanes = {"l": (T.LongType(), _WHOLE), "d": (T.DoubleType(), _FLOATING), "s": (T.StringType(), (T.StringType,))}
+    used = [n for n, (_, kinds) in lanes.items() if any(isinstance(_dtype(df, c), kinds) for c in cols)]
+
+    def cell(c):
+        t = _dtype(df, c)
+        value = _norm_double(F.col(_q(c))) if isinstance(t, _FLOATING) else F.col(_q(c))
+        return F.struct(*[(value if isinstance(t, lanes[n][1]) else F.lit(None)).cast(lanes[n][0]).alias(n) for n in used])
+
+    tmp = [f"_v{i}" for i in range(len(cols))]
+    long = df.select(*[cell(c).alias(t) for c, t in zip(cols, tmp)]).unpivot([], tmp, "_c", "_v")
+    counted = long.groupBy("_c", *[F.col(f"_v.{n}").alias(n) for n in used]).agg(F.count(F.lit(1)).alias("_n"))
+    value = F.lit(False)
+    for n in used:
+        value = value | F.col(n).isNotNull()
+    extreme = (lambda f: F.coalesce(*[f(n).cast(value_type) for n in used]))
+    names = F.create_map(*[x for t, c in zip(tmp, cols) for x in (F.lit(t), F.lit(c))])
+    return counted.groupBy("_c").agg(
+        F.sum("_n").alias("row_count"), F.coalesce(F.sum(F.when(~value, F.col("_n"))), F.lit(0)).alias("null_count"),
+        F.count_if(value).alias("distinct_count"), extreme(F.min).alias("min_value"), extreme(F.max).alias("max_value")).select(
+        names[F.col("_c")].alias("column_name"), "*").drop("_c")
 
 
 # T3 ------------------------------------------------------------------------
