@@ -192,6 +192,28 @@ def adaptive_check(metrics: DataFrame, lookback: int = 6, k: float = 2.0, min_ru
     return b.withColumn("is_break", ready & ~F.col("value").between(F.col("lower_bound"), F.col("upper_bound")))
 
 
+def load_time_metrics(jobs: DataFrame) -> DataFrame:
+    """TIME: seconds from ``started_at`` to ``finished_at`` of each run of a
+    dataset, as rows for :func:`adaptive_check` (unfinished runs: none)."""
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+    return jobs.select("dataset", "run_id", F.lit(GENERIC_ITEM_NAMES["TIME"]).alias("item"), F.lit("TIME").alias("metric_type"),
+                       seconds.alias("value")).where(F.col("value").isNotNull())
+
+
+def categorical_check(metrics: DataFrame, lookback: int = 6, min_runs: int = 3) -> DataFrame:
+    """Adaptive check of a metric without order, as DATA_TYPE (``dataset,
+    run_id, item, metric_type, category``): ``seen`` are the categories of the
+    ``lookback`` runs before, ``usual`` the most frequent of them (ties: the
+    first in order); a run breaks if its category is not among them, once
+    ``min_runs`` earlier runs exist."""
+    w = Window.partitionBy("dataset", "item", "metric_type").orderBy("run_id").rowsBetween(-lookback, -1)
+    b = metrics.where(F.col("category").isNotNull()).withColumn("_a", F.collect_list("category").over(w))  # at most lookback values
+    counted = F.transform(F.array_distinct("_a"), lambda v: F.struct((-F.size(F.filter("_a", lambda x: x == v))).alias("n"), v.alias("v")))
+    return b.select(*metrics.columns, F.size("_a").cast("long").alias("baseline_runs"), F.array_min(counted)["v"].alias("usual"),
+                    F.array_sort(F.array_distinct("_a")).alias("seen"),
+                    ((F.size("_a") >= min_runs) & ~F.array_contains("_a", F.col("category"))).alias("is_break"))
+
+
 # J10 -----------------------------------------------------------------------
 def latest_suppressions(suppressions: DataFrame) -> DataFrame:
     """Latest write wins per (dataset, item, metric_type); ties on ts go to

@@ -225,6 +225,17 @@ def duplicate_check(df: DataFrame, include: Sequence[str], id_col: str, digest:
             .where(F.col("n_copies") > 1))
 
 
+def duplicate_share(df: DataFrame, include: Sequence[str], id_col: str, digest: bool = False) -> DataFrame:
+    """A17 in one row: rows, groups of equal rows, rows in them, surplus rows
+    (all but one of each group) and their share of all rows (0 for no rows)."""
+    keyed, keys = _dupe_keyed(df, include, digest)
+    g = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    d = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count_if(F.col("n") > 1).alias("n_groups"),
+              F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_groups"),
+              F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"))
+    return d.select("*", F.when(F.col("row_count") == 0, F.lit(0.0)).otherwise(F.col("surplus_rows") / F.col("row_count")).alias("duplicate_share"))
+
+
 # A7 / T5 ---------------------------------------------------------------------
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, value string, n) with null kept as a value."""
@@ -377,6 +388,31 @@ def rare_shapes(df: DataFrame, cols: Sequence[str], sensitivity: float = 0.001,
             .select("column_name", "shape", "n", (F.col("n") / F.col("total")).alias("share")))
 
 
+#: Classes of a text value, the first that matches.
+VALUE_CLASSES = {"integer": r"^\s*[+-]?[0-9]+\s*$", "decimal": r"^\s*[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][+-]?[0-9]+)?\s*$",
+                 "date": r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T].*)?$", "boolean": r"(?i)^\s*(true|false)\s*$"}
+
+
+def detected_types(df: DataFrame, run: Column, cols: Sequence[str], dataset: str, share: float = 0.95) -> DataFrame:
+    """What the values of each run and column look like: the class that at
+    least ``share`` of the filled values have (whole numbers count as decimals
+    too), else ``mixed``; ``empty`` without filled values.  Rows for
+    ``drift.categorical_check``; one scan, partial counts only."""
+    long = unpivot(df.select(run.alias("run_id"), *[F.col(_q(c)) for c in cols]), cols, ids=["run_id"], value="string")
+    kind = F.lit("text")
+    for name, pattern in reversed(VALUE_CLASSES.items()):
+        kind = F.when(F.col("value").rlike(pattern), name).otherwise(kind)
+    kinds = [*VALUE_CLASSES, "text"]
+    runs = long.select("run_id", "column_name", F.when(py_strip(F.col("value")) != "", kind).alias("_k")).groupBy("run_id", "column_name").agg(
+        F.count("_k").alias("_n"), *[F.count_if(F.col("_k") == k).alias(f"_{k}") for k in kinds])
+    found = F.lit("mixed")
+    for k in reversed(kinds):
+        n = F.col("_integer") + F.col("_decimal") if k == "decimal" else F.col(f"_{k}")
+        found = F.when(n >= share * F.col("_n"), k).otherwise(found)
+    return runs.select(F.lit(dataset).alias("dataset"), "run_id", F.col("column_name").alias("item"), F.lit("DATA_TYPE").alias("metric_type"),
+                       F.when(F.col("_n") == 0, "empty").otherwise(found).alias("category"))
+
+
 # Q11 -----------------------------------------------------------------------
 def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, accuracy: int = 10000) -> DataFrame:
     """Per numeric column the IQR fences ``[q1 - k*IQR, q3 + k*IQR]`` from

@@ -186,16 +186,18 @@ def dimension_rollup(rates: DataFrame, dataset: str | None = None) -> DataFrame:
 def validate_rules(expected: DataFrame, findings_rules: DataFrame) -> DataFrame:
     """Per expected (dataset, run_date, rule): found? passed? (three-valued:
     not found is neither).  passed <=> upper(trim(breakMsg)) = 'PASSING' and no
-    exception."""
+    exception.  The run's ``rows`` and ``passFail`` come along where the findings
+    have them."""
+    run = [c for c in ("rows", "passFail") if c in findings_rules.columns]
     f = findings_rules.select("dataset", "run_date", F.col("ruleNm").alias("rule_name"), "breakMsg",
-                              "exception", "score", "perc", F.lit(True).alias("_found"))
+                              "exception", "score", "perc", *run, F.lit(True).alias("_found"))
     j = expected.join(f, ["dataset", "run_date", "rule_name"], "left")
     passed = (F.upper(py_strip(F.coalesce(F.col("breakMsg"), F.lit("")))) == "PASSING") & \
              (F.coalesce(F.col("exception"), F.lit("")) == "")
     return j.select(expected.columns + [
         F.coalesce(F.col("_found"), F.lit(False)).alias("found"),
         F.when(F.col("_found").isNull(), F.lit(None).cast("boolean")).otherwise(passed).alias("passed"),
-        "score", "perc", "breakMsg", "exception"])
+        "score", "perc", "breakMsg", "exception", *run])
 
 
 # J13 ---------------------------------------------------------------------

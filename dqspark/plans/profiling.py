@@ -101,6 +101,15 @@ def duplicate_documents(spark, sf):
     return P.duplicate_check(table(spark, sf, "documents"), ["text"], id_col="doc_id", digest=True)
 
 
+@register("duplicate_share_documents", """
+WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY 1)
+SELECT sum(n)::BIGINT AS row_count, count(*) FILTER (WHERE n > 1) AS n_groups, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS rows_in_groups,
+  sum(n - 1)::BIGINT AS surplus_rows, sum(n - 1) / sum(n) AS duplicate_share FROM g""")
+def duplicate_share_documents(spark, sf):
+    """Share of documents that repeat another's text."""
+    return P.duplicate_share(table(spark, sf, "documents"), ["text"], id_col="doc_id", digest=True)
+
+
 def _sql_topn(tbl, cols, n):
     vc = "\nUNION ALL\n".join(
         f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {tbl} GROUP BY 2"

@@ -116,6 +116,27 @@ def suggest_business_unit(spark, sf):
                       "market_id", "existing_unit_id", "needs_creation")
 
 
+@register("suggest_business_unit_lists", f"""
+WITH u AS ({SQL_UNITS}), s AS ({SQL_SUGGEST}),
+l AS (SELECT array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE subId IS NULL)), '|') AS available_markets,
+             array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE subId IS NOT NULL)), '|') AS available_projects FROM u),
+p AS (SELECT m.name AS market, string_agg(substr(c.name, position(' - ' IN c.name) + 3), '|' ORDER BY substr(c.name, position(' - ' IN c.name) + 3)) AS projects
+      FROM u m JOIN u c ON c.subId = m.id AND m.subId IS NULL AND position(' - ' IN c.name) > 0 GROUP BY 1)
+SELECT c_custkey, suggested_business_unit, suggested_business_unit IS NOT NULL AND existing_unit_id IS NULL AS needs_creation,
+  available_markets, available_projects, coalesce(projects, '') AS projects_in_market
+FROM s JOIN l ON true LEFT JOIN p ON p.market = s.suggested_market AND s.market_id IS NOT NULL""")
+def suggest_business_unit_lists(spark, sf):
+    """Each suggestion with what it was chosen from (markets, projects,
+    and the projects of its market)."""
+    units = units_from_nation(table(spark, sf, "nation"))
+    out = G.suggest_business_unit(customer_requests(table(spark, sf, "customer")), units)
+    lists = G.unit_lists(units)
+    known = F.when(F.col("market_id").isNotNull(), F.col("suggested_market"))
+    j = out.withColumn("_m", known).join(lists, F.col("_m").eqNullSafe(lists["market"]), "left")
+    return j.select("c_custkey", "suggested_business_unit", "needs_creation", *[F.array_join(c, "|").alias(c) for c in (
+        "available_markets", "available_projects", "projects_in_market")])
+
+
 @register("dataset_business_unit", f"""
 WITH r AS ({SQL_REQUESTS}), u AS ({SQL_UNITS}),
 mp AS (SELECT c_custkey AS id, dataset, 100 + c_nationkey AS businessUnitId FROM r JOIN customer USING (c_custkey)),

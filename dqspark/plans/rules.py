@@ -152,13 +152,13 @@ EXPECTED_EXTRA = "if_l_missing_rule"
 @register("validate_rules_lineitem", f"""
 WITH f AS (SELECT 'lineitem' AS dataset, '2024-01-31' AS run_date, rule_name,
                   CASE WHEN breaks = 0 THEN 'Passing ' ELSE 'BREAKING' END AS breakMsg,
-                  NULL::VARCHAR AS exception, 100.0 - break_pct AS score, perc FROM ({sql_rule_rates()})),
+                  NULL::VARCHAR AS exception, 100.0 - break_pct AS score, perc, total AS "rows", (breaks = 0)::INTEGER AS "passFail" FROM ({sql_rule_rates()})),
 e AS (SELECT 'lineitem' AS dataset, '2024-01-31' AS run_date, rule_name FROM f
       UNION ALL SELECT 'lineitem', '2024-01-31', '{EXPECTED_EXTRA}')
 SELECT e.dataset, e.run_date, e.rule_name, f.rule_name IS NOT NULL AS found,
   CASE WHEN f.rule_name IS NULL THEN NULL
        ELSE upper(trim(coalesce(f.breakMsg, ''))) = 'PASSING' AND coalesce(f.exception, '') = '' END AS passed,
-  f.score, f.perc, f.breakMsg, f.exception
+  f.score, f.perc, f.breakMsg, f.exception, f."rows", f."passFail"
 FROM e LEFT JOIN f USING (dataset, run_date, rule_name)""")
 def validate_rules_lineitem(spark, sf):
     """Expected rules (the rule set plus one never run) against the run's
@@ -168,7 +168,8 @@ def validate_rules_lineitem(spark, sf):
         F.lit("lineitem").alias("dataset"), F.lit("2024-01-31").alias("run_date"),
         F.col("rule_name").alias("ruleNm"),
         F.when(F.col("breaks") == 0, "Passing ").otherwise("BREAKING").alias("breakMsg"),
-        F.lit(None).cast("string").alias("exception"), (100.0 - F.col("break_pct")).alias("score"), "perc")
+        F.lit(None).cast("string").alias("exception"), (100.0 - F.col("break_pct")).alias("score"), "perc",
+        F.col("total").alias("rows"), (F.col("breaks") == 0).cast("int").alias("passFail"))
     # expected rules = the configured rule list (+ one that never ran): configuration, no scan
     expected = spark.createDataFrame([("lineitem", "2024-01-31", r["ruleNm"]) for r in LINEITEM_RULES]
                                      + [("lineitem", "2024-01-31", EXPECTED_EXTRA)],
