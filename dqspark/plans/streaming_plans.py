@@ -185,6 +185,27 @@ def stream_upsert_customers(spark, sf):
     return ST.stream_upsert(spark, inc, target, ["c_custkey"], CUST_COLS)
 
 
+@register("stream_merge_customers", f"""
+SELECT coalesce(t.c_custkey, i.c_custkey) AS c_custkey, coalesce(i.c_name, t.c_name) AS c_name,
+  CASE WHEN i.c_custkey IS NOT NULL THEN i.c_nationkey ELSE t.c_nationkey END AS c_nationkey,
+  CASE WHEN i.c_custkey IS NOT NULL THEN i.c_acctbal + 1 ELSE t.c_acctbal END AS c_acctbal,
+  CASE WHEN i.c_custkey IS NOT NULL THEN i.c_mktsegment ELSE t.c_mktsegment END AS c_mktsegment
+FROM (SELECT * FROM customer WHERE c_mktsegment IN {_TS_}) t FULL OUTER JOIN (SELECT * FROM customer WHERE c_mktsegment IN {_IS_}) i ON t.c_custkey = i.c_custkey""")
+def stream_merge_customers(spark, sf):
+    """ST3, merge on read: customers arrive in four slices, each a delta of its
+    own rows; the third compacts; the table is merged when read."""
+    from dqspark.sources.merge_table import MergeTable, stream_merge_upsert
+    cust = table(spark, sf, "customer").select(*CUST_COLS)
+    path = scratch_path(spark, "merge-customers")
+    t = MergeTable(spark, f"{path}/table", cust.schema, ["c_custkey"], buckets=8).create(cust.where(F.col("c_mktsegment").isin(*TARGET_SEGS)))
+    inc = cust.where(F.col("c_mktsegment").isin(*INCOMING_SEGS)).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    for n in range(4):
+        inc.where(F.pmod("c_custkey", F.lit(4)) == n).write.mode("append").parquet(f"{path}/landing")
+        stream = spark.readStream.schema(cust.schema).parquet(f"{path}/landing")
+        stream_merge_upsert(stream, t, f"{path}/checkpoint", compact_every=3)
+    return t.read()
+
+
 # ST4 -----------------------------------------------------------------------
 @register("stream_latest_vote", """
 WITH f AS (SELECT 'fb-' || event_id AS feedback_id, 'user_' || user_id AS app_user,
