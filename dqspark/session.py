@@ -70,6 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """A folder of the configured shared folder that is the same in every run
+    (for caches that outlast an application)."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``dqspark`` importable in Python workers (pandas UDFs,
     ``mapInPandas``, ``applyInPandasWithState`` pickle its functions by
