@@ -19,10 +19,10 @@ from dqspark.llm.repeats import remove_repeats
 from dqspark.llm.simhash import simhash_components
 from dqspark.llm.spelling import spelling_variants, word_counts
 from dqspark.llm.token_files import read_token_files, write_token_files
-from dqspark.llm.tokens import count_tokens
+from dqspark.llm.tokens import count_tokens, tokenizer_digest
 from dqspark.llm.toxicity import toxicity_scores
 from dqspark.plans.catalog import table
-from dqspark.session import scratch_path
+from dqspark.session import lasting_path, scratch_path
 
 #: Tokenizer of the production queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -176,7 +176,8 @@ def op9(spark, sf_dir):
 
 @query("op10_token_counts")
 def op10(spark, sf_dir):
-    counts = count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, scratch_path(spark, "token-cache"))
+    cache = lasting_path(spark, f"token-counts-{tokenizer_digest(TOKENIZER)[:16]}")
+    counts = count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, cache)
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
