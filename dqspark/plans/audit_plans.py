@@ -48,11 +48,10 @@ WITH r AS (SELECT s_suppkey,
 SELECT s_suppkey, dataset,
   CASE WHEN source_type NOT IN ('redshift', 's3') THEN 'unsupported source_type' END AS error,
   concat_ws('; ',
-    CASE WHEN NOT starts_with(dataset, 'ds_') THEN 'dataset name does not follow ds_<system>_<cluster>_<schema>_<table>' END,
-    CASE WHEN coalesce(data_domain, '') = '' THEN 'metaTags must carry a Data Domain and a subDomain' END,
-    CASE WHEN coalesce(schedule_time, '') = '' THEN 'job schedule time is missing' END,
-    CASE WHEN NOT has_link THEN 'linkId / primary keys are not configured' END,
-    CASE WHEN NOT has_link THEN 'dupe rule should be turned on' END) AS issues
+    CASE WHEN NOT has_link THEN 'DUPLICATES_OFF; KEYS_MISSING' END,
+    CASE WHEN NOT starts_with(dataset, 'ds_') THEN 'NAME_PREFIX' END,
+    CASE WHEN coalesce(schedule_time, '') = '' THEN 'SCHEDULE_TIME' END,
+    CASE WHEN coalesce(data_domain, '') = '' THEN 'TAGS_INCOMPLETE' END) AS issues
 FROM r"""
 
 
@@ -87,20 +86,21 @@ WITH r AS (SELECT p_partkey,
     CASE WHEN p_size % 3 = 2 THEN 'null_empty' ELSE '' END AS repo,
     CASE WHEN p_size <= 45 THEN 'p_brand' END AS col,
     CASE WHEN p_size % 3 = 2 THEN 'p_brand' ELSE 'p_size > 10' END AS val FROM part)
-SELECT p_partkey, nm AS ruleNm, repo AS ruleRepo, concat_ws('; ',
-  CASE WHEN coalesce(col, '') = '' THEN 'columnName is not set' END,
-  CASE WHEN NOT regexp_full_match(nm, 'if_[a-z0-9]+(_[a-z0-9]+)*') THEN 'ruleNm does not follow if_<column>_... naming' END,
-  CASE WHEN repo <> '' AND rtype <> 'CUSTOM' THEN 'ruleType should be CUSTOM for a template rule' END,
-  CASE WHEN repo <> '' AND coalesce(col, '') <> '' AND val <> col THEN 'ruleValue should equal columnName for a template rule' END,
-  CASE WHEN repo <> '' AND coalesce(col, '') <> '' AND nm <> 'if_' || col || '_is_' || repo THEN 'expected ruleNm if_' || col || '_is_' || repo END,
-  CASE WHEN repo = '' AND rtype NOT IN ('SQLF', 'SQLG') THEN 'ruleType should be SQLF or SQLG' END) AS issues
+SELECT p_partkey, nm AS ruleNm, repo AS ruleRepo, CASE WHEN repo <> '' AND col <> '' THEN 'if_' || col || '_is_' || repo END AS expected_rule_nm,
+  concat_ws('; ',
+  CASE WHEN coalesce(col, '') = '' THEN 'COLUMN_MISSING' END,
+  CASE WHEN NOT regexp_full_match(nm, 'if_[a-z0-9]+(?:_[a-z0-9]+)*') THEN 'NAME_PATTERN' END,
+  CASE WHEN repo <> '' AND coalesce(col, '') <> '' AND nm <> 'if_' || col || '_is_' || repo THEN 'TEMPLATE_NAME' END,
+  CASE WHEN repo <> '' AND rtype <> 'CUSTOM' THEN 'TEMPLATE_TYPE' END,
+  CASE WHEN repo <> '' AND coalesce(col, '') <> '' AND val <> col THEN 'TEMPLATE_VALUE' END,
+  CASE WHEN repo = '' AND rtype NOT IN ('SQLF', 'SQLG') THEN 'TYPE_UNKNOWN' END) AS issues
 FROM r""")
 def audit_rules(spark, sf):
     """Q3 + Q2: normalise new rules (defaults, '' for null ruleRepo) and list
     their best-practice issues."""
     rules = R.normalize_rules(part_rules(table(spark, sf, "part")))
     audited = R.audit_rules(rules)
-    return audited.select("p_partkey", "ruleNm", "ruleRepo", F.array_join("issues", "; ").alias("issues"))
+    return audited.select("p_partkey", "ruleNm", "ruleRepo", "expected_rule_nm", F.array_join("issues", "; ").alias("issues"))
 
 
 # Q7 ------------------------------------------------------------------------
@@ -392,18 +392,37 @@ p AS (SELECT p_partkey, 'ds_' || lower(p_brand) AS dataset,
              ELSE 'if_p' || p_partkey END AS ruleNm,
         CASE WHEN p_partkey % 5 IN (1, 3) THEN 'p_size > ' || (p_size + 1) ELSE 'p_size > ' || p_size END AS ruleValue,
         CASE WHEN p_partkey % 5 IN (1, 2, 4) THEN 'if_p' || p_partkey END AS old_rule_nm
-      FROM part)
-SELECT p.p_partkey, p.dataset, p.ruleNm, p.ruleValue, p.old_rule_nm,
+      FROM part),
+j AS (SELECT p.p_partkey, p.dataset, p.ruleNm, p.ruleValue, p.old_rule_nm, e.ruleNm AS e_name, e.ruleValue AS e_value,
   CASE WHEN p.old_rule_nm IS NOT NULL AND e.ruleNm IS NULL THEN 'reject: unknown old name'
        WHEN p.old_rule_nm IS NOT NULL AND p.old_rule_nm <> p.ruleNm AND t.ruleNm IS NOT NULL THEN 'reject: new name taken'
        WHEN p.old_rule_nm IS NOT NULL AND p.old_rule_nm <> p.ruleNm THEN 'rename'
        WHEN e.ruleNm IS NOT NULL THEN 'update' ELSE 'new' END AS status,
   p.ruleValue IS DISTINCT FROM e.ruleValue AS requires_validation
 FROM p LEFT JOIN e ON p.dataset = e.dataset AND coalesce(p.old_rule_nm, p.ruleNm) = e.ruleNm
-LEFT JOIN e t ON p.dataset = t.dataset AND p.ruleNm = t.ruleNm""")
+LEFT JOIN e t ON p.dataset = t.dataset AND p.ruleNm = t.ruleNm)
+SELECT p_partkey, dataset, ruleNm, ruleValue, old_rule_nm, status, requires_validation,
+  CASE WHEN status = 'rename' THEN e_name END AS delete_rule_nm,
+  CASE WHEN status NOT LIKE 'reject%' THEN e_name END AS before_name,
+  CASE WHEN status NOT LIKE 'reject%' THEN e_value END AS before_value,
+  CASE WHEN status NOT LIKE 'reject%' THEN ruleNm END AS rule_name,
+  CASE WHEN status NOT LIKE 'reject%' THEN ruleValue END AS rule_value,
+  CASE WHEN status = 'new' THEN 1 END AS rule_points, CASE WHEN status = 'new' THEN 'LOW' END AS rule_weight,
+  CASE WHEN status = 'new' THEN '' END AS rule_filter,
+  CASE WHEN status = 'new' THEN concat_ws(',', 'COLUMN_MISSING',
+       CASE WHEN NOT regexp_full_match(ruleNm, 'if_[a-z0-9]+(?:_[a-z0-9]+)*') THEN 'NAME_PATTERN' END, 'TYPE_UNKNOWN') END AS issues,
+  CASE WHEN status NOT LIKE 'reject%' THEN CASE WHEN requires_validation THEN 'ruleValue' ELSE '' END END AS changed_fields
+FROM j""")
 def rule_changes_part(spark, sf):
     """Q5: payload rules matched to existing ones by (dataset, name) or by the
-    old name of a rename; new / update / rename / reject and whether the rule
-    text needs validation."""
+    old name of a rename; new / update / rename / reject, whether the rule
+    text needs validation, the name to delete, the rule before, the row to be
+    written with the defaults of a new rule, and a new rule's issues."""
     existing, payload = part_rule_sets(table(spark, sf, "part"))
-    return R.plan_rule_changes(existing, payload)
+    plan = R.plan_rule_changes(existing, payload)
+    return plan.select(
+        *payload.columns, "status", "requires_validation", "delete_rule_nm", F.col("before.ruleNm").alias("before_name"),
+        F.col("before.ruleValue").alias("before_value"), F.col("rule.ruleNm").alias("rule_name"),
+        F.col("rule.ruleValue").alias("rule_value"), F.col("rule.points").alias("rule_points"),
+        F.col("rule.weight").alias("rule_weight"), F.col("rule.filterQuery").alias("rule_filter"),
+        F.array_join("issues", ",").alias("issues"), F.array_join("changed_fields", ",").alias("changed_fields"))

@@ -114,6 +114,15 @@ def test_plan_rule_changes_and_audits(spark):
     assert sorted(got) == sorted([("if_a", "update", False), ("if_a2", "rename", True),
                                   ("if_b", "reject: unknown old name", True), ("if_b", "reject: new name taken", True),
                                   ("if_new", "new", True)])
+    full = {(r["ruleNm"], r["status"]): r for r in rows(R.plan_rule_changes(existing, payload))}
+    assert full["if_a2", "rename"]["delete_rule_nm"] == "if_a" and full["if_a2", "rename"]["changed_fields"] == ["ruleValue"]
+    renamed = full["if_a2", "rename"]["rule"]
+    assert (renamed["ruleNm"], renamed["ruleValue"], renamed["ruleType"], renamed["columnName"]) == ("if_a2", "x > 2", "SQLG", "a")
+    assert renamed["points"] is None and full["if_a", "update"]["rule"]["ruleValue"] == "x > 1"
+    assert full["if_a", "update"]["changed_fields"] == [] and full["if_a", "update"]["issues"] is None
+    new = full["if_new", "new"]
+    assert new["rule"]["points"] == 1 and new["rule"]["filterQuery"] == "" and new["before"] is None
+    assert new["issues"] == ["COLUMN_MISSING", "TYPE_UNKNOWN"] and full["if_b", "reject: new name taken"]["rule"] is None
     rules = spark.createDataFrame([("if_col_is_null_empty", "CUSTOM", "null_empty", "col", "col"),
                                    ("Bad-Name", "SQLX", None, None, "x")],
                                   "ruleNm string, ruleType string, ruleRepo string, columnName string, ruleValue string")
@@ -145,7 +154,8 @@ def test_definitions_built_are_compliant(spark):
                 F.lit(None).cast("array<string>").alias("linkId"), F.lit(None).cast("struct<key:string>").alias("load"),
                 F.lit(None).cast("struct<on:boolean>").alias("dupe"))
     issues = rows(A.audit_best_practices(two))[0]["issues"]
-    assert "metaTags must carry a Data Domain and a subDomain" in issues
+    assert issues == ["DUPLICATES_OFF", "KEYS_MISSING", "SCHEDULE_DAYS", "SCHEDULE_FREQUENCY", "SCHEDULE_OFF", "SCHEDULE_TIME",
+                      "SCHEDULE_ZONE", "TAGS_INCOMPLETE"] and set(issues) < set(A.DEFINITION_ISSUES)
 
 
 def test_feedback_target_fallback_by_text(spark):
