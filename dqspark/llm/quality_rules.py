@@ -8,7 +8,7 @@ quantile read from one is within a thousandth of the exact one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,25 +16,28 @@ from dqspark.llm.common import written
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
-#: Rule -> the count whose thousandths of the word count it bounds, the least
-#: spread (thousandths) allowed above the upper quartile, and whether the
-#: lower side is bounded too.
+#: Rule -> the count it bounds, what that is counted in, and by how many the
+#: count goes up at a time (a window found twice brings two times three words).
+#: ``word_length`` is a mean and is bounded on both sides.
 RULES = {
-    "symbols": ("n_symbols", 100, False),
-    "dup_lines": ("n_dup_lines", 50, False),
-    "repeats": ("n_repeat_words", 200, False),
-    "word_length": ("word_chars", 2000, True),
+    "symbols": ("n_symbols", "n_words", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 6),
+    "word_length": ("word_chars", "n_words", None),
 }
-#: Rows below which a (language, source) group uses its language's sketch,
-#: and a language the sketch of all rows.
-LEAST_ROWS = 100
-#: A value is out of range beyond this many interquartile ranges.
+#: Tenths of the rows at which a group's sketch is read.
+TENTHS = (1, 5, 9)
+#: A (language, source) group's quantiles are averaged with its language's,
+#: and these with all rows', as if that many rows more had the wider group's.
+PRIOR_ROWS = 100
+#: A row is out of range beyond this many standard deviations (counts) or
+#: spreads between quantiles (mean lengths).
 FENCE = 3
 
 
 def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words (long) and base_failed; null text counts as empty.
+    """``docs`` plus n_words, word_chars, n_symbols, n_lines (lines with a
+    word), n_dup_lines, n_repeat_words (long) and base_failed; null text counts as empty.
 
     n_repeat_words: hashes of the three-word windows, their low bits replaced
     by their place (as many bits as the text needs), are sorted, so equal
@@ -46,6 +49,7 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = (d.withColumn("n_words", F.size("_w").cast("long"))
          .withColumn("word_chars", F.length(F.regexp_replace("_t", _SPACE, "")).cast("long"))
          .withColumn("n_symbols", F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long"))
+         .withColumn("n_lines", F.size("_l").cast("long"))
          .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
          .withColumn("_low", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("n_words"))) - 1)
          .withColumn("_h", F.when(F.col("n_words") > 2, F.transform(
@@ -64,55 +68,80 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.drop("_t", "_w", "_l", "_h", "_low", "_p", "_at")
 
 
+def thousandths(rule: str) -> Column:
+    """A row's ratio in ``rule``, in whole thousandths."""
+    count, unit, _ = RULES[rule]
+    return F.floor(F.try_divide(1000 * F.col(count), F.col(unit)))
+
+
 def sketch(stats: DataFrame) -> DataFrame:
     """``(lang, source, rule, value, c)``: rows of each group per thousandth
     of each rule's ratio, from rows that passed the base."""
-    value = (lambda col: F.floor(F.try_divide(1000 * F.col(col), F.col("n_words"))))
-    each = F.array(*[F.struct(F.lit(r).alias("rule"), value(c).alias("value")) for r, (c, _, _) in RULES.items()])
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), thousandths(r).alias("value")) for r in RULES])
     return (stats.filter(~F.col("base_failed")).select("_lang", "_source", F.explode(each).alias("_v"))
             .groupBy("_lang", "_source", "_v.rule", "_v.value").agg(F.count("*").alias("c")))
 
 
-def quartiles(sketches: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Merges sketches to ``keys`` and reads the quartiles: ``keys, rule,
-    n_<tag>, q1_<tag>, q3_<tag>``."""
+def quantiles(sketches: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Merges sketches to ``keys`` and reads them: ``keys, rule, n_<tag>,
+    q<tenths>_<tag>, ...``; the least value that many tenths of the rows
+    don't exceed."""
     merged = sketches.groupBy(*keys, "rule", "value").agg(F.sum("c").alias("c"))
     group = Window.partitionBy(*keys, "rule")
     upto = F.sum("c").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     return (merged.withColumn("_n", F.sum("c").over(group)).withColumn("_upto", upto)
-            .groupBy(*keys, "rule").agg(F.max("_n").alias(f"n_{tag}"),
-                                        F.min(F.when(4 * F.col("_upto") >= F.col("_n"), F.col("value"))).alias(f"q1_{tag}"),
-                                        F.min(F.when(4 * F.col("_upto") >= 3 * F.col("_n"), F.col("value"))).alias(f"q3_{tag}")))
+            .groupBy(*keys, "rule").agg(F.max("_n").alias(f"n_{tag}"), *[
+                F.min(F.when(10 * F.col("_upto") >= t * F.col("_n"), F.col("value"))).alias(f"q{t}_{tag}") for t in TENTHS]))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """``(_glang, _gsource, lo_<rule>, hi_<rule>, ...)`` for every group."""
-    group = quartiles(sketches, ["_lang", "_source"], "group")
-    lang = quartiles(sketches, ["_lang"], "lang").withColumnsRenamed({"_lang": "_l", "rule": "_r"})
-    every = quartiles(sketches, [], "all").withColumnRenamed("rule", "_a")
+    """``(_glang, _gsource, q<tenths>_<rule>, ...)`` for every group: its
+    quantiles, pooled by row counts with its language's and all rows'."""
+    group = quantiles(sketches, ["_lang", "_source"], "group")
+    lang = quantiles(sketches, ["_lang"], "lang").withColumnsRenamed({"_lang": "_l", "rule": "_r"})
+    every = quantiles(sketches, [], "all").withColumnRenamed("rule", "_a")
     g = (group.join(lang, group["_lang"].eqNullSafe(lang["_l"]) & (group["rule"] == lang["_r"]))
          .join(every, group["rule"] == every["_a"]))
-    level = (lambda q: F.when(F.col("n_group") >= LEAST_ROWS, F.col(f"{q}_group"))
-             .when(F.col("n_lang") >= LEAST_ROWS, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all")))
-    g = g.withColumn("_q1", level("q1")).withColumn("_q3", level("q3"))
+
+    def pooled(tag, t, wider):
+        n = F.col(f"n_{tag}")
+        return F.floor((n * F.col(f"q{t}_{tag}") + PRIOR_ROWS * wider) / (n + PRIOR_ROWS))
+
     limits = []
-    for rule, (_, least, lower) in RULES.items():
-        reach = F.greatest(F.lit(least), FENCE * (F.col("_q3") - F.col("_q1")))
-        of = (lambda c, rule=rule: F.max(F.when(F.col("rule") == rule, c)))
-        limits += [of(F.col("_q3") + reach).alias(f"hi_{rule}"),
-                   (of(F.col("_q1") - reach) if lower else F.lit(-1)).alias(f"lo_{rule}")]
+    for t in TENTHS:
+        q = pooled("group", t, pooled("lang", t, F.col(f"q{t}_all")))
+        limits += [F.max(F.when(F.col("rule") == r, q)).alias(f"q{t}_{r}") for r in RULES]
     return g.groupBy(F.col("_lang").alias("_glang"), F.col("_source").alias("_gsource")).agg(*limits)
 
 
+def within_limits(rule: str) -> Column:
+    """Whether a row joined with its group's quantiles keeps within ``rule``.
+
+    Counts: the rate that nine tenths of the group keep to (the upper end of
+    its thousandth) gives the count to expect in a text as long as this one;
+    the row may exceed it by ``FENCE`` standard deviations of such a count,
+    one more step included.  Mean word length: ``FENCE`` times the distance
+    from the median to the outer tenth, or the standard error of a mean over
+    this many words if that is more, beyond the outer tenth."""
+    count, unit, step = RULES[rule]
+    q = {t: F.col(f"q{t}_{rule}") for t in TENTHS}
+    if step:
+        expected = (q[9] + 1) * F.col(unit) / F.lit(1000.0)
+        return F.col(count) <= expected + FENCE * F.sqrt(step * (expected + step))
+    noise = F.try_divide(q[5], F.sqrt(unit))
+    return thousandths(rule).between(q[1] - FENCE * F.greatest((q[5] - q[1]).cast("double"), noise),
+                                     q[9] + FENCE * F.greatest((q[9] - q[5]).cast("double"), noise))
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                      source_col: str = "source") -> DataFrame:
     """``id_col``, the base counts, ``base_failed`` and ``kept`` of every row.
 
-    A row that passes the base is kept if each rule's ratio lies within the
-    limits of its language and source: the quartiles of the group's sketch
-    and ``FENCE`` interquartile ranges (or the rule's least spread) beyond
-    them.  Groups of under ``LEAST_ROWS`` rows use the merged sketch of their
-    language, then of all rows.
+    A row that passes the base is kept if it keeps within every rule's limits
+    (:func:`within_limits`), which come from the quantile sketches of its
+    language and source alone; no rule has a fixed cutoff.  Quantiles of small
+    groups are pooled with those of their language and of all rows, by row
+    counts, so there is no size at which the rule changes.
 
     Null text has no words and fails the base; null languages or sources are
     groups of their own; null or repeated ids and repeated rows each keep a
@@ -125,8 +154,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     limits = written(thresholds(sketch(stats)), "quality-limits")
     d = stats.join(limits, stats["_lang"].eqNullSafe(limits["_glang"]) & stats["_source"].eqNullSafe(limits["_gsource"]), "left")
     kept = ~F.col("base_failed")
-    for rule, (count, _, _) in RULES.items():
-        value = F.floor(F.try_divide(1000 * F.col(count), F.col("n_words")))
-        kept = kept & F.coalesce(value.between(F.col(f"lo_{rule}"), F.col(f"hi_{rule}")), F.lit(False))
+    for rule in RULES:
+        kept = kept & F.coalesce(within_limits(rule), F.lit(False))
     return d.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", kept.alias("kept"))

@@ -64,24 +64,29 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS
 s AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
       FROM w LEFT JOIN rep ON w.rid = rep.rid),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-v AS (SELECT rid, lang, source, rule, value FROM b,
-      unnest([{'rule': 'symbols', 'value': 1000 * n_symbols // n_words}, {'rule': 'dup_lines', 'value': 1000 * n_dup_lines // n_words},
-              {'rule': 'repeats', 'value': 1000 * n_repeat_words // n_words}, {'rule': 'word_length', 'value': 1000 * word_chars // n_words}]) AS u(r),
-      LATERAL (SELECT r.rule AS rule, r.value AS value) WHERE NOT base_failed),
-qg AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM v GROUP BY ALL),
-ql AS (SELECT lang, rule, count(*) AS n, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM v GROUP BY ALL),
-qa AS (SELECT rule, count(*) AS n, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM v GROUP BY ALL),
-lim AS (SELECT g.lang, g.source, g.rule,
-               CASE WHEN g.n >= 100 THEN g.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1,
-               CASE WHEN g.n >= 100 THEN g.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3,
-               CASE g.rule WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 50 WHEN 'repeats' THEN 200 ELSE 2000 END AS least_reach
-        FROM qg g JOIN ql l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rule = l.rule JOIN qa a ON g.rule = a.rule),
-ok AS (SELECT rid, bool_and(value <= q3 + greatest(least_reach, 3 * (q3 - q1))
-                            AND (v.rule <> 'word_length' OR value >= q1 - greatest(least_reach, 3 * (q3 - q1)))) AS good
-       FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.rule = lim.rule GROUP BY rid)
+v AS (SELECT rid, lang, source, n_words, r.rule AS rule, r.n AS n, r.unit AS unit, 1000 * r.n // r.unit AS value FROM b,
+      unnest([{'rule': 'symbols', 'n': n_symbols, 'unit': n_words}, {'rule': 'dup_lines', 'n': n_dup_lines, 'unit': n_lines},
+              {'rule': 'repeats', 'n': n_repeat_words, 'unit': n_words}, {'rule': 'word_length', 'n': word_chars, 'unit': n_words}]) AS u(r)
+      WHERE NOT base_failed),
+qg AS (SELECT lang, source, rule, count(*) AS n, list_sort(list(value)) AS s FROM v GROUP BY ALL),
+ql AS (SELECT lang, rule, count(*) AS n, list_sort(list(value)) AS s FROM v GROUP BY ALL),
+qa AS (SELECT rule, count(*) AS n, list_sort(list(value)) AS s FROM v GROUP BY ALL),
+lim AS (SELECT g.lang, g.source, g.rule, t,
+               (g.n * g.s[(t * g.n + 9) // 10] + 100 * ((l.n * l.s[(t * l.n + 9) // 10] + 100 * a.s[(t * a.n + 9) // 10]) // (l.n + 100)))
+               // (g.n + 100) AS q
+        FROM qg g JOIN ql l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rule = l.rule JOIN qa a ON g.rule = a.rule, unnest([1, 5, 9]) AS u(t)),
+lq AS (SELECT lang, source, rule, max(q) FILTER (t = 1) AS q1, max(q) FILTER (t = 5) AS q5, max(q) FILTER (t = 9) AS q9 FROM lim GROUP BY ALL),
+vl AS (SELECT rid, v.rule, n, n_words, value, q1, q5, q9, (q9 + 1) * unit / CAST(1000 AS DOUBLE) AS expected,
+              CASE v.rule WHEN 'repeats' THEN 6 ELSE 1 END AS step
+       FROM v JOIN lq ON v.lang IS NOT DISTINCT FROM lq.lang AND v.source IS NOT DISTINCT FROM lq.source AND v.rule = lq.rule),
+ok AS (SELECT rid, bool_and(CASE WHEN rule = 'word_length'
+                                 THEN value BETWEEN q1 - 3 * greatest(CAST(q5 - q1 AS DOUBLE), q5 / sqrt(n_words))
+                                                AND q9 + 3 * greatest(CAST(q9 - q5 AS DOUBLE), q5 / sqrt(n_words))
+                                 ELSE n <= expected + 3 * sqrt(step * (expected + step)) END) AS good
+       FROM vl GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(good, false) AS kept
 FROM b LEFT JOIN ok ON b.rid = ok.rid

@@ -130,6 +130,23 @@ def test_alike_rows_with_long_words_stay(spark):
     assert quality_verdicts(df).filter("kept").count() == 120
 
 
+def test_quality_limits_follow_the_group(spark):
+    """The same symbols are ordinary in one source and out of range in
+    another; copies of a rare line count against the lines of a text."""
+    words = (lambda i, n: " ".join(f"w{chr(97 + (i * 7 + k) % 26)}{chr(97 + k % 23)}x{k}" for k in range(n)))
+    code = (lambda i, n: " ".join(f"{w} {{}}|".replace("{}", "#" if k % 3 else "%") for k, w in enumerate(words(i, n).split())))
+    data = [(i, words(i, 60 + i % 9), "prose", "en") for i in range(300)]
+    data += [(1000 + i, code(i, 60 + i % 9), "code", "en") for i in range(300)]
+    data += [(2000, code(5, 64), "prose", "en"), (2001, words(3, 64), "code", "en"), (2002, words(3, 64) + " # $", "prose", "en")]
+    lines = "\n".join([words(9, 30)] + [f"{words(k, 3)} z{k}" for k in range(9)] + ["same w q"] * 9)
+    data += [(2003, lines, "prose", "en"), (2004, words(1, 80), None, None), (2005, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id int, text string, source string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_verdicts(df).collect()}
+    assert sum(kept[i] for i in range(300)) == 300 and sum(kept[1000 + i] for i in range(300)) == 300
+    assert (kept[2000], kept[2001], kept[2002]) == (False, True, True)
+    assert (kept[2003], kept[2004], kept[2005]) == (False, True, False)
+
+
 def labelled(spark, bad, good, n=240):
     rng = random.Random(4)
     rows = [(i, (bad if i % 4 == 0 else good)(rng), i % 4 == 0) for i in range(n)]
