@@ -243,6 +243,31 @@ def test_page_text():
     assert page_text(page_blocks(PAGE), None) == "Head & line\n\nFirst bold part more.\n\nSecond <x> café.\n\none\n\ntwo"
 
 
+LONG = "A sentence of an article that is long enough to be read as a paragraph by anyone who reads it, number %d."
+
+
+def test_marks_inside_articles_are_judged_by_the_host(spark):
+    """Class words that name a subject do not drop article text, an article's
+    own header stays, and what is short or all links goes, as do comments."""
+    def page(i, social):
+        return (f"<header class='site'>Site {i}</header><article><header><h1>Title {i}</h1></header><p>{LONG % i}"
+                f"<div class='social history'>{social}</div><div class='share'><a href='#'>Share {i}</a> now</div>"
+                f"<div class='comments'><p>{LONG % (i + 90)}</div><div class='ad'>Buy {i}</div></article>"
+                f"<div class='related'><p>{LONG % (i + 60)}</div><footer>end</footer>")
+
+    body = (lambda i: f"<h2>Past</h2><p>{LONG % (i + 30)}")
+    pages = [(i, "http://a.b/", page(i, body(i))) for i in range(5)] + [(5, "http://a.b/", page(5, "<p>Short."))]
+    pages += [(6, "http://c.d/", page(6, "<a href='/'>Friends</a>")), (7, "http://c.d/", page(7, "<a href='/'>Friends</a>"))]
+    pages += [(8, "http://e.f/", f"<div class='notice'><p>{LONG % 8}</div>")]
+    got = dict(extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
+               .select("page_id", "text").collect())
+    for i in range(5):
+        assert got[i] == f"Title {i}\n\n{LONG % i}\n\nPast\n\n{LONG % (i + 30)}"
+    assert got[5] == f"Title 5\n\n{LONG % 5}\n\nShort."
+    assert got[6] == f"Title 6\n\n{LONG % 6}" and got[7] == f"Title 7\n\n{LONG % 7}"
+    assert got[8] == LONG % 8
+
+
 def test_malformed_pages_do_not_fail():
 
     rng = random.Random(8)
