@@ -82,36 +82,39 @@ def sketch(stats: DataFrame) -> DataFrame:
             .groupBy("_lang", "_source", "_v.rule", "_v.value").agg(F.count("*").alias("c")))
 
 
-def quantiles(sketches: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Merges sketches to ``keys`` and reads them: ``keys, rule, n_<tag>,
-    q<tenths>_<tag>, ...``; the least value that many tenths of the rows
-    don't exceed."""
-    merged = sketches.groupBy(*keys, "rule", "value").agg(F.sum("c").alias("c"))
-    group = Window.partitionBy(*keys, "rule")
+def quantiles(sketches: DataFrame) -> DataFrame:
+    """``(level, lang, source, rule, n, q<tenths>, ...)`` of the sketches
+    merged per language and source (level 2), language (1) and overall (0):
+    the least value that many tenths of the rows don't exceed."""
+    none = (lambda c: F.lit(None).cast(sketches.schema[c].dataType))
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), (F.col("_lang") if level else none("_lang")).alias("lang"),
+                                (F.col("_source") if level == 2 else none("_source")).alias("source")) for level in (0, 1, 2)])
+    keys = ["level", "lang", "source", "rule"]
+    merged = (sketches.select(F.inline(levels), "rule", "value", "c").groupBy(*keys, "value").agg(F.sum("c").alias("c")))
+    group = Window.partitionBy(*keys)
     upto = F.sum("c").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     return (merged.withColumn("_n", F.sum("c").over(group)).withColumn("_upto", upto)
-            .groupBy(*keys, "rule").agg(F.max("_n").alias(f"n_{tag}"), *[
-                F.min(F.when(10 * F.col("_upto") >= t * F.col("_n"), F.col("value"))).alias(f"q{t}_{tag}") for t in TENTHS]))
+            .groupBy(*keys).agg(F.max("_n").alias("n"), *[
+                F.min(F.when(10 * F.col("_upto") >= t * F.col("_n"), F.col("value"))).alias(f"q{t}") for t in TENTHS]))
 
 
-def thresholds(sketches: DataFrame) -> DataFrame:
+def thresholds(quantile_rows: DataFrame) -> DataFrame:
     """``(_glang, _gsource, q<tenths>_<rule>, ...)`` for every group: its
     quantiles, pooled by row counts with its language's and all rows'."""
-    group = quantiles(sketches, ["_lang", "_source"], "group")
-    lang = quantiles(sketches, ["_lang"], "lang").withColumnsRenamed({"_lang": "_l", "rule": "_r"})
-    every = quantiles(sketches, [], "all").withColumnRenamed("rule", "_a")
-    g = (group.join(lang, group["_lang"].eqNullSafe(lang["_l"]) & (group["rule"] == lang["_r"]))
-         .join(every, group["rule"] == every["_a"]))
+    group, lang, every = (quantile_rows.filter(F.col("level") == level).alias(name)
+                          for level, name in ((2, "g"), (1, "l"), (0, "a")))
+    g = (group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.rule") == F.col("l.rule")))
+         .join(every, F.col("g.rule") == F.col("a.rule")))
 
-    def pooled(tag, t, wider):
-        n = F.col(f"n_{tag}")
-        return F.floor((n * F.col(f"q{t}_{tag}") + PRIOR_ROWS * wider) / (n + PRIOR_ROWS))
+    def pooled(own, t, wider):
+        n = F.col(f"{own}.n")
+        return F.floor((n * F.col(f"{own}.q{t}") + PRIOR_ROWS * wider) / (n + PRIOR_ROWS))
 
     limits = []
     for t in TENTHS:
-        q = pooled("group", t, pooled("lang", t, F.col(f"q{t}_all")))
-        limits += [F.max(F.when(F.col("rule") == r, q)).alias(f"q{t}_{r}") for r in RULES]
-    return g.groupBy(F.col("_lang").alias("_glang"), F.col("_source").alias("_gsource")).agg(*limits)
+        q = pooled("g", t, pooled("l", t, F.col(f"a.q{t}")))
+        limits += [F.max(F.when(F.col("g.rule") == r, q)).alias(f"q{t}_{r}") for r in RULES]
+    return g.groupBy(F.col("g.lang").alias("_glang"), F.col("g.source").alias("_gsource")).agg(*limits)
 
 
 def within_limits(rule: str) -> Column:
@@ -151,7 +154,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"),
                        F.col(source_col).alias("_source"))
     stats = written(base_stats(slim, "_text").drop("_text"), "quality-counts")
-    limits = written(thresholds(sketch(stats)), "quality-limits")
+    limits = thresholds(written(quantiles(sketch(stats)), "quality-quantiles"))
     d = stats.join(limits, stats["_lang"].eqNullSafe(limits["_glang"]) & stats["_source"].eqNullSafe(limits["_gsource"]), "left")
     kept = ~F.col("base_failed")
     for rule in RULES:
