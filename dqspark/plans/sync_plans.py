@@ -249,3 +249,11 @@ def clean_documents(spark, sf):
                      F.array("n_chars", "doc_id").alias("sizes"),
                      F.when(F.col("n_chars") % 7 == 0, nan).otherwise(F.col("n_chars") / 1000.0).alias("kchars"))
     return S.clean_for_write(frame)
+
+
+@register("split_definitions_columns_part", """
+SELECT 'ds_' || lower(p_brand) AS dataset, p_name || '#' || p_partkey AS col_name, 'double' AS "Data Type", p_size AS "Row Count" FROM part""")
+def split_definitions_columns_part(spark, sf):
+    """The column half; every column row keeps its own fields only."""
+    from dqspark.sources.sinks import split_definitions
+    return split_definitions(part_definitions(table(spark, sf, "part")))[1]

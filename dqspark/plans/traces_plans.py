@@ -454,3 +454,36 @@ def upsert_turns_conversations(spark, sf):
     out = upsert_turns(turns, retry, as_of=F.lit("2024-02-01 00:00:00").cast("timestamp"))
     return out.select("turn_id", "session_id", F.length("user_message").cast("long").alias("request_length"), "status",
                       "duration_ms", F.length("assistant_response").cast("long").alias("response_length"))
+
+
+@register("upsert_tools_conversations", """
+WITH t AS (SELECT conv_id || '-' || turn AS turn_id, turn, length(text) AS len FROM conversations WHERE role = 'assistant'),
+e AS (SELECT turn_id || '/' || k AS execution_id, turn_id, k, len, turn FROM t, unnest([1, 2, 3]) AS u(k)),
+old AS (SELECT * FROM e WHERE turn % 4 = 1 AND k < 3),
+new AS (SELECT *, CASE WHEN k = 1 THEN 'completed' WHEN len % 3 = 0 AND k = 2 THEN 'running' WHEN len % 3 = 1 AND k = 2 THEN 'interrupted' END AS st,
+               len % 2 = 0 AS failed FROM e WHERE len > 200)
+SELECT coalesce(o.execution_id, n.execution_id) AS execution_id, coalesce(o.turn_id, n.turn_id) AS turn_id,
+  CAST(CASE WHEN o.k IS NULL THEN n.k ELSE o.k + 10 END AS INTEGER) AS sequence_number,
+  CASE WHEN o.k IS NULL THEN 'search' ELSE 'stored' END AS tool_name,
+  CASE WHEN n.k IS NULL THEN '{"q":0}' WHEN n.k = 3 THEN '{}' ELSE '{"q":' || n.len || '}' END AS tool_input,
+  CASE WHEN n.k IS NULL THEN 'running' WHEN n.failed AND n.st IS DISTINCT FROM 'completed' THEN 'error'
+       ELSE coalesce(n.st, 'completed') END AS status
+FROM old o FULL JOIN new n ON o.execution_id = n.execution_id""")
+def upsert_tools_conversations(spark, sf):
+    """S11 + E23: tool executions of long answers, half of whose turns failed,
+    logged again over the stored ones of every second answer."""
+    from dqspark.sources.sinks import tool_rows, upsert_tool_executions
+    size = F.length("text")
+    turns = table(spark, sf, "conversations").where(F.col("role") == "assistant").select(
+        F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "turn", size.alias("len"),
+        F.when(size % 2 == 0, "Boom").alias("error"))
+    call = (lambda k, status: F.struct(
+        F.concat(F.col("turn_id"), F.lit(f"/{k}")).alias("execution_id"), F.lit("search").alias("tool_name"),
+        (F.lit(None).cast("string") if k == 3 else F.format_string('{"q":%d}', "len")).alias("tool_input"), status.alias("status")))
+    middle = F.when(F.col("len") % 3 == 0, "running").when(F.col("len") % 3 == 1, "interrupted")
+    turns = turns.withColumn("tool_executions", F.array(call(1, F.lit("completed")), call(2, middle),
+                                                        call(3, F.lit(None).cast("string"))))
+    stored = tool_rows(turns.where(F.col("turn") % 4 == 1)).where(F.col("sequence_number") < 3).select(
+        "execution_id", "turn_id", (F.col("sequence_number") + 10).alias("sequence_number"), F.lit("stored").alias("tool_name"),
+        F.lit('{"q":0}').alias("tool_input"), F.lit("running").alias("status"))
+    return upsert_tool_executions(stored, turns.where(F.col("len") > 200))

@@ -282,6 +282,30 @@ def tool_rows(turns: DataFrame, tools_col: str = "tool_executions") -> DataFrame
         "turn_id", (F.col("_pos") + 1).alias("sequence_number"), "_t.*")
 
 
+def tool_statuses(turns: DataFrame, tools_col: str = "tool_executions", error_col: str = "error") -> DataFrame:
+    """E23 for the executions within ``turns``: none said is completed; when
+    the turn failed, whatever has not completed is an error."""
+    failed = F.col(error_col).isNotNull()
+    return turns.withColumn(tools_col, F.transform(tools_col, lambda t: t.withField("status", F.when(
+        failed & ~t["status"].eqNullSafe("completed"), "error").otherwise(
+        F.when(F.coalesce(t["status"], F.lit("")) == "", "completed").otherwise(t["status"])))))
+
+
+def upsert_tool_executions(target: DataFrame, turns: DataFrame, tools_col: str = "tool_executions",
+                           error_col: str = "error") -> DataFrame:
+    """The tool executions of re-logged turns laid over the stored ones.
+
+    ``target``: execution_id, turn_id, sequence_number, tool_name, tool_input,
+    status.  Executions are matched by execution_id; a stored one takes the
+    new input and status only (its turn, place and tool stay), others are
+    added.  An execution without input has the input ``{}``; one whose id is
+    null is added as it is; an id twice in a batch counts as it stands last in
+    its turn.  Turns without executions change nothing."""
+    new = (tool_rows(tool_statuses(turns, tools_col, error_col), tools_col)
+           .withColumn("tool_input", F.coalesce("tool_input", F.lit("{}"))))
+    return upsert(target, new, ["execution_id"], target.columns, update_cols=["tool_input", "status"], order_by="sequence_number")
+
+
 # S12 ---------------------------------------------------------------------
 DATASET_LEVEL = ["dataset", "Run Id", "Link Id", "Date Filter", "Date Filter Key", "Scheduler", "Scheduled Freq",
                  "Scheduled Time", "db_nm", "table_nm", "business_unit", "Market", "Project", "CDE"]

@@ -69,6 +69,23 @@ def test_upsert_sessions_and_turns(spark):
         [(1, "search"), (2, "profile")]
 
 
+def test_tool_executions_are_upserted_by_id(spark):
+    t = "execution_id string, turn_id string, sequence_number int, tool_name string, tool_input string, status string"
+    stored = spark.createDataFrame([("e1", "t0", 7, "old", "{}", "running"), ("e9", "t9", 1, "x", "{}", "completed")], t)
+    call = "array<struct<execution_id:string,tool_name:string,tool_input:string,status:string>>"
+    turns = spark.createDataFrame(
+        [("t1", "Boom", [("e1", "new", "{1}", "running"), ("e2", "a", None, "completed"), ("e3", "b", None, None)]),
+         ("t2", None, [("e4", "a", "{4}", "interrupted"), ("e5", "b", "{5}", None), ("e5", "b", "{6}", "running"), (None, "n", None, None)]),
+         ("t3", "Boom", None), ("t4", None, [])], f"turn_id string, error string, tool_executions {call}")
+    got = {r["execution_id"]: tuple(r.values())[1:] for r in rows(S.upsert_tool_executions(stored, turns))}
+    assert got == {"e1": ("t0", 7, "old", "{1}", "error"), "e9": ("t9", 1, "x", "{}", "completed"),
+                   "e2": ("t1", 2, "a", "{}", "completed"), "e3": ("t1", 3, "b", "{}", "error"),
+                   "e4": ("t2", 1, "a", "{4}", "interrupted"), "e5": ("t2", 3, "b", "{6}", "running"),
+                   None: ("t2", 4, "n", "{}", "completed")}
+    empty = turns.limit(0)
+    assert len(rows(S.upsert_tool_executions(stored, empty))) == 2 and len(rows(S.upsert_tool_executions(stored.limit(0), turns))) == 6
+
+
 def test_findings_ingest_flatten_filter(spark):
     payload = {"dataset": "ds", "run_date": "2024-03-01", "job_id": 7, "rows": 10, "passFail": 0,
                "rules": [{"ruleNm": "if_a", "breakMsg": "Passing", "score": 0.0, "perc": 1.0},
