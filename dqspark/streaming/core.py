@@ -8,16 +8,16 @@ overwrites its own partition), and readers take the latest row per key.
 
 from __future__ import annotations
 
-import bisect
-import json
 from collections.abc import Callable, Sequence
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dqspark.functions.exprs import py_strip
 from dqspark.session import scratch_path
 
 # --------------------------------------------------------------------------
@@ -75,55 +75,79 @@ def run_update(sdf: DataFrame, spark: SparkSession, name: str, keys: Sequence[st
 # ST1 -----------------------------------------------------------------------
 APPROVAL_EVENT_SCHEMA = ("change_id string, kind string, ts timestamp, event_id long, reason string, "
                          "session_id string")
-#: ``waiting``: JSON list of [event time, 0 proposal / 1 approval, event id, has a reason], times in microseconds.
-APPROVAL_STATE_SCHEMA = "created long, gone boolean, waiting string"
+#: ``rows``: Arrow stream of the group's rows in :data:`APPROVAL_ROW`'s columns.
+APPROVAL_STATE_SCHEMA = "rows binary"
+#: ``code``: 0 proposal, 1 approval; kept in the state only: 2 a change that is open, 3 one that is gone (``us``: its proposal's time).
+#: ``us``: event time in microseconds, UNTIMED for none.
+APPROVAL_ROW = ["change_id", "us", "code", "event_id", "no_event", "reasoned"]
+CLOCK, UNTIMED = 9, (1 << 63) - 1
+#: Groups that the change ids are dealt to by hash; each is settled in one call.  A checkpoint goes on only with the number it began with.
+APPROVAL_GROUPS = 256
 
 
 def _approval_fn(ttl_seconds: int, remember_seconds: int):
     ttl, life = ttl_seconds * 1_000_000, (ttl_seconds + remember_seconds) * 1_000_000
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, gone, text = state.get if state.exists else (None, False, "[]")
-        waiting = json.loads(text)
+        parts = [pa.ipc.open_stream(bytes(state.get[0])).read_pandas()] if state.exists else []
         if not state.hasTimedOut:
-            for pdf in pdfs:
-                waiting += [[us, int(kind != "proposal"), event, bool((reason or "").strip())] for us, kind, event, reason
-                            in zip(pdf["us"].tolist(), pdf["kind"], pdf["event_id"].tolist(), pdf["reason"]) if kind != "clock"]
-        waiting.sort()
+            parts += [pdf[APPROVAL_ROW] for pdf in pdfs]
+        rows = pd.concat(parts, ignore_index=True)
+        rows = rows[rows["code"] != CLOCK]
         watermark = state.getCurrentWatermarkMs()
-        due = bisect.bisect_right(waiting, watermark * 1000, key=lambda w: w[0])  # nothing earlier can still come
+        kept = rows["code"] >= 2
+        due = ~kept & (rows["us"] <= watermark * 1000)  # nothing earlier can still come
+        untimed = ~kept & (rows["us"] == UNTIMED)       # nothing to wait for: settled after all that is here of its change
+        if untimed.any():
+            due |= ~kept & rows["change_id"].isin(rows.loc[untimed, "change_id"])
+        changes = {c: (us, code == 3) for c, us, code in zip(*(rows.loc[kept, n].tolist() for n in APPROVAL_ROW[:3]))}
         out = []
-        for us, approval, event, reasoned in waiting[:due]:
-            if created is not None and us - created > life:
+        todo = rows[due].sort_values(["us", "code", "no_event", "event_id", "reasoned"])
+        for change, us, code, event, no_event, reasoned in zip(*(todo[n].tolist() for n in APPROVAL_ROW)):
+            created, gone = changes.get(change, (None, False))
+            if created is not None and us != UNTIMED and us - created > life:
                 created, gone = None, False
-            if not approval:
-                created, gone = (us, False) if created is None else (created, gone)
+            if code == 0:
+                changes[change] = (us, False) if created is None else (created, gone)
                 continue
             if created is None or gone:
                 status = "unknown"
-            elif us - created > ttl:
+            elif us != UNTIMED and us - created > ttl:
                 status, gone = "expired", True
             elif not reasoned:
                 status = "no_reason"
             else:
                 status, gone = "applied", True
-            out.append((key[0], event, us, status))
-        waiting = waiting[due:]
-        if created is not None and not waiting and watermark * 1000 > created + life:
-            created = None
-        if created is not None or waiting:
-            state.update((created, gone, json.dumps(waiting)))
-            wake = waiting[0][0] if waiting else created + life
+            if created is None:
+                changes.pop(change, None)
+            else:
+                changes[change] = (created, gone)
+            out.append((change, None if no_event else event, None if us == UNTIMED else us, status))
+        live = [(c, us, 2 + gone, 0, True, False) for c, (us, gone) in changes.items() if us + life >= watermark * 1000 and us != UNTIMED]
+        waiting = rows[~kept & ~due]
+        if live or len(waiting):
+            wake = int(waiting["us"].min()) if len(waiting) else min(r[1] for r in live) + life
+            held = pa.Table.from_pandas(pd.concat([waiting, pd.DataFrame(live, columns=APPROVAL_ROW)]) if live else waiting,
+                                        schema=_approval_arrow(), preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+                stream.write_table(held)
+            state.update((sink.getvalue().to_pybytes(),))
             state.setTimeoutTimestamp(max(wake // 1000, watermark) + 1)
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["change_id", "event_id", "us", "status"])
+            pdf = pd.DataFrame(out, columns=["change_id", "event_id", "us", "status"], dtype=object)
+            yield pdf.astype({"event_id": "Int64", "us": "Int64"})
     return fn
 
 
+def _approval_arrow() -> pa.Schema:
+    return pa.schema(list(zip(APPROVAL_ROW, [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()])))
+
+
 def approve_within_ttl(events: DataFrame, ttl_seconds: int = CHANGE_TTL_SECONDS, watermark: str = "1 hour",
-                       remember_seconds: int = 86_400) -> DataFrame:
+                       remember_seconds: int = 86_400, groups: int = APPROVAL_GROUPS) -> DataFrame:
     """ST1 over a stream of proposal / approval events (APPROVAL_EVENT_SCHEMA).
 
     Per change_id, in event-time order: an approval is 'applied' when the
@@ -135,11 +159,19 @@ def approve_within_ttl(events: DataFrame, ttl_seconds: int = CHANGE_TTL_SECONDS,
     Events wait in the state until the watermark has passed them, so the
     answers depend on event times alone, not on how events are dealt to
     micro-batches; rows later than ``watermark`` are dropped.  Rows of kind
-    'clock' only move the watermark.  State is bounded by the events within
-    the watermark's delay and the changes not yet forgotten."""
+    'clock' only move the watermark; an approval without a time doesn't wait.
+    State is bounded by the events within the watermark's delay and the
+    changes not yet forgotten.  It is kept for ``groups`` groups of change ids
+    (by hash), so the calls a micro-batch makes don't grow with the ids."""
     from dqspark.session import ship_package
     ship_package(events.sparkSession)
-    decided = (events.withColumn("us", F.unix_micros("ts")).withWatermark("ts", watermark).groupBy("change_id")
+    rows = events.withWatermark("ts", watermark).select(
+        F.pmod(F.xxhash64("change_id"), F.lit(groups)).alias("part"), "ts", "change_id",
+        F.coalesce(F.unix_micros("ts"), F.lit(UNTIMED)).alias("us"),
+        F.when(F.col("kind") == "clock", CLOCK).when(F.col("kind") == "proposal", 0).otherwise(1).alias("code"),
+        F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"), F.col("event_id").isNull().alias("no_event"),
+        (F.coalesce(py_strip("reason"), F.lit("")) != "").alias("reasoned"))
+    decided = (rows.groupBy("part")
                .applyInPandasWithState(_approval_fn(ttl_seconds, remember_seconds),
                                        "change_id string, event_id long, us long, status string", APPROVAL_STATE_SCHEMA,
                                        "append", GroupStateTimeout.EventTimeTimeout))
