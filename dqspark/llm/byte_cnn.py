@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import bounded_labels, crc_fold, utf8, written
+from dqspark.llm.common import bounded_labels, crc_fold, tidy, utf8, written
 
 WIDTH, EMBED, FILTERS = 8, 8, 24
 #: Bytes of a chunk; neighbours overlap by WIDTH - 1, so no place is missed.
@@ -148,5 +148,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             p = [probability(model.value, x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["_id", "score"])
 
-    return (rows.mapInArrow(score, f"_id {rows.schema['_id'].dataType.simpleString()}, score double")
+    return (rows.mapInArrow(tidy(score), f"_id {rows.schema['_id'].dataType.simpleString()}, score double")
             .select(F.col("_id").alias(id_col), (crc_fold(F.col("_id")) == 1).alias("held_out"), "score"))
