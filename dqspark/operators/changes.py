@@ -9,13 +9,19 @@ once, by rounds of aggregations and joins until nothing changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dqspark.functions.exprs import py_strip
+from dqspark.session import scratch_path
 from dqspark.streaming.core import CHANGE_TTL_SECONDS
 
-_RULES = "array<struct<name:string,errors:array<string>>>"
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder: later rounds read only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _digest(df: DataFrame, *cols: str) -> tuple:
@@ -43,56 +49,79 @@ def apply_in_order(proposals: DataFrame, requests: DataFrame, ttl_seconds: int =
 
     Every row is settled by rows before it, so the rounds end in the one
     right answer; there are as many as the longest chain of requests of
-    which each changes what the next one does.  A change that very many
-    requests name is met by an aggregation with map-side combine, never by a
-    list of its requests."""
-    at = F.struct("requested_at", "request_id", "position")
+    which each changes what the next one does.  Which rules each retry would
+    have does not depend on the rounds and is found once (``_attempts``), and
+    so is what becomes of an item that names no retry if none takes its change
+    before; items after the first of a request that fails whatever the others
+    do take no part in the rounds.  A round holds no rules.  A change that very
+    many requests name is met by an aggregation with map-side combine, never by
+    a list of its requests.  Of proposals with one id the first counts."""
+    late = (lambda since: F.unix_micros("requested_at") - F.unix_micros(since) > ttl_seconds * 1_000_000)
     items = requests.select("request_id", "requested_at", (F.coalesce(py_strip("reason"), F.lit("")) != "").alias("valid"),
                             F.posexplode("change_ids").alias("position", "change_id"))
-    items = items.select("*", at.alias("at"), F.col("valid").alias("attempted")).checkpoint()
-    first = proposals.select(F.col("change_id"), F.col("change_id").alias("root"), F.lit(0).alias("attempt"), F.col("created_at"),
-                             F.lit(None).cast(items.schema["at"].dataType).alias("made"), F.col("error"),
-                             F.coalesce(F.col("rules"), F.array().cast(_RULES)).cast(_RULES).alias("rules"))
-    known, seen = first, None
+    there = F.coalesce(F.col("requested_at") >= F.col("created_at"), F.lit(False))
+    alone = (F.when(F.col("attempt").isNull(), "unknown").when(F.col("attempt") > 0, None)
+             .when(~there, "unknown").when(late("created_at"), "expired").when(F.col("fails"), "error").otherwise("applied"))
+    items = items.join(_attempts(proposals), "change_id", "left").select(*items.columns, alone.alias("alone"), "n_rules", "n_failed", "retry_id")
+    items = _stored(items.withColumn("attempted", F.col("valid") & _before_stop(F.col("alone") != "applied")), "change-items")
+
+    at = F.struct("requested_at", "request_id", "position")
+    rest, todo = items.where(~F.col("attempted")), items.where("attempted")
+    made = todo.select(F.col("change_id"), at.alias("made")).limit(0)
+    seen = _digest(made, "change_id", "made")
     while True:
-        judged = _judge(items, known, ttl_seconds).checkpoint()
-        stops = (judged.where(F.col("attempted") & (F.col("status") != "applied")).groupBy("request_id").agg(F.min("position").alias("stop")))
-        later = judged.join(stops, "request_id", "left")
-        items = later.select(*items.columns[:-1], (F.col("valid") & (F.col("stop").isNull() | (F.col("position") <= F.col("stop")))).alias("attempted")).checkpoint()
-        back = judged.where(F.col("attempted") & (F.col("n_failed") > 0)).select(
-            F.col("retry_id").alias("change_id"), "root", (F.col("attempt") + 1).alias("attempt"), F.col("requested_at").alias("created_at"),
-            F.col("at").alias("made"), F.lit(None).cast("string").alias("error"), "rules").checkpoint()
-        now = (_digest(items.where("attempted"), "request_id", "position"), _digest(back, "change_id", "made"))
-        if now == seen:
+        # a retry is there for what follows the item that made it, in the same request too
+        now = todo.join(made, "change_id", "left").withColumn("at", at)
+        will = (F.when(F.col("alone").isNotNull(), F.col("alone")).when(F.col("made").isNull() | (F.col("at") <= F.col("made")), "unknown")
+                .when(late("made.requested_at"), "expired").otherwise("applied"))
+        now = now.withColumn("will", will)
+        takes = F.struct("at", F.when(F.col("will") == "applied", F.col("retry_id")).alias("gives"))
+        taken = _stored(now.where((F.col("will") != "unknown") & F.col("attempted")).groupBy("change_id").agg(F.min(takes).alias("taken")), "changes-taken")
+        mine = F.col("taken").isNull() | (F.col("at") <= F.col("taken.at"))
+        judged = now.join(taken, "change_id", "left").withColumn("status", F.when(mine, F.col("will")).otherwise("unknown"))
+        judged = _stored(judged.select(*items.columns[:-1], "status", F.col("attempted").alias("was"),
+                                       _before_stop(F.col("status") != "applied").alias("attempted")), "changes-judged")
+        made = taken.where("taken.gives is not null").select(F.col("taken.gives").alias("change_id"), F.col("taken.at").alias("made"))
+        last, seen = seen, _digest(made, "change_id", "made")
+        if seen == last and judged.where("attempted <> was").isEmpty():
             break
-        known, seen = first.unionByName(back), now
-    done = F.when(F.col("attempted"), F.col("status")).otherwise("not_attempted")
-    result = (lambda c: F.when(F.col("attempted"), F.col(c)))
-    return judged.select("request_id", "position", "change_id", done.alias("status"), result("outcome").alias("outcome"),
-                         result("n_rules").alias("n_rules"), result("n_failed").alias("n_failed"), result("retry_id").alias("retry_id"))
-
-
-def _judge(items: DataFrame, known: DataFrame, ttl_seconds: int) -> DataFrame:
-    """What becomes of each item if it is attempted, with the items that are
-    attempted now taken as given."""
-    # a retry is there for what follows the item that made it, in the same request too
-    reach = F.when(F.col("made").isNull(), F.col("requested_at") >= F.col("created_at")).otherwise(F.col("at") > F.col("made"))
-    j = items.join(known, "change_id", "left").withColumn("there", F.coalesce(reach, F.lit(False)))
-    taken = (j.where("attempted and there").groupBy("change_id").agg(F.min("at").alias("taken_at")))
-    j = j.join(taken, "change_id", "left")
-    mine = F.col("there") & (F.col("taken_at").isNull() | (F.col("at") <= F.col("taken_at")))
-    old = F.unix_micros("requested_at") - F.unix_micros("created_at") > ttl_seconds * 1_000_000
-    status = (F.when(~mine, "unknown").when(old, "expired").when(F.col("error").isNotNull(), "error").otherwise("applied"))
-    refused = F.filter("rules", lambda r: F.get(r["errors"], F.lit(0)).isNotNull())
-    rest = F.transform(refused, lambda r: F.struct(r["name"].alias("name"), F.slice(r["errors"], F.lit(2), F.greatest(F.size(r["errors"]) - 1, F.lit(0))).alias("errors")))
-    applied = status == "applied"
-    n, failed = F.size("rules"), F.size(refused)
-    return j.select(
-        *items.columns, "root", "attempt", status.alias("status"),
-        F.when(applied, F.when(failed == 0, "applied").when(failed < n, "partially applied").otherwise("not applied")).alias("outcome"),
-        F.when(applied, n).alias("n_rules"), F.when(applied, failed).alias("n_failed"),
-        F.when(applied & (failed > 0), F.concat("root", F.lit("~"), (F.col("attempt") + 1).cast("string"))).alias("retry_id"),
-        F.when(applied, rest).alias("rules"))
+        todo = judged.drop("status", "was")
+    done = judged.unionByName(rest.select("*", F.lit(None).cast("string").alias("status"), F.lit(False).alias("was")))
+    done = done.withColumn("status", F.when(F.col("attempted"), F.col("status")).otherwise("not_attempted"))
+    applied = (lambda c: F.when(F.col("status") == "applied", c))
+    n, failed = F.col("n_rules"), F.col("n_failed")
+    outcome = F.when(failed == 0, "applied").when(failed < n, "partially applied").otherwise("not applied")
+    return done.select("request_id", "position", "change_id", "status", applied(outcome).alias("outcome"), applied(n).alias("n_rules"),
+                       applied(failed).alias("n_failed"), applied(F.col("retry_id")).alias("retry_id"))
+
+
+def _before_stop(fails: Column) -> Column:
+    """Whether an item is its request's first one that ``fails`` or lies before it."""
+    stop = F.min(F.when(fails, F.col("position"))).over(Window.partitionBy("request_id"))
+    return F.coalesce((F.col("position") <= stop) | F.col("request_id").isNull(), F.lit(True))
+
+
+def _attempts(proposals: DataFrame) -> DataFrame:
+    """``change_id, attempt, created_at, fails, n_rules, n_failed, retry_id`` of
+    every proposal (attempt 0) and of every retry that it may come back as: the
+    ``k``-th has the rules that were refused ``k`` times."""
+    refused = F.transform(F.coalesce("rules", F.array().cast("array<struct<name:string,errors:array<string>>>")), lambda r: F.coalesce(
+        F.array_min(F.transform(r["errors"], lambda e, i: F.when(e.isNull(), i))), F.greatest(F.size(r["errors"]), F.lit(0)), F.lit(0)))
+    p = proposals.where(F.col("change_id").isNotNull()).select(F.col("change_id").alias("root"), "created_at", F.col("error").isNotNull().alias("fails"),
+                                                               refused.alias("refused"))
+    # the first of each id, those without a time last
+    first = F.struct(F.col("created_at").isNull().alias("_0"), "created_at", "fails", "refused")
+    p = p.groupBy("root").agg(F.min(first).alias("p")).select("root", "p.created_at", "p.fails", "p.refused")
+    last = F.when(F.col("fails"), 0).otherwise(F.coalesce(F.array_max("refused"), F.lit(0)))
+    a = p.select("*", F.explode(F.sequence(F.lit(0), last)).alias("attempt"))
+    a = a.select(F.when(F.col("attempt") == 0, F.col("root")).otherwise(F.concat("root", F.lit("~"), F.col("attempt").cast("string"))).alias("change_id"),
+                 "root", "attempt", "created_at", (F.col("fails") & (F.col("attempt") == 0)).alias("fails"),
+                 F.size(F.filter("refused", lambda n: n >= F.col("attempt"))).alias("n_rules"),
+                 F.size(F.filter("refused", lambda n: n > F.col("attempt"))).alias("n_failed"))
+    retry = F.when(F.col("n_failed") > 0, F.concat("root", F.lit("~"), (F.col("attempt") + 1).cast("string"))).alias("retry_id")
+    # a proposal that is itself named like a retry counts in place of it
+    one = F.min(F.struct("attempt", "created_at", "fails", "n_rules", "n_failed", retry)).alias("a")
+    return a.groupBy("change_id").agg(one).select("change_id", "a.*")
 
 
 def request_summary(applied: DataFrame, requests: DataFrame) -> DataFrame:

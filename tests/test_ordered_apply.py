@@ -65,3 +65,18 @@ def test_summary_and_empty(spark):
                                               (4, 0, 0, "invalid", None), (5, 0, 0, "invalid", None)]
     assert rows(C.apply_in_order(p.limit(0), r.limit(0))) == []
     assert {x["status"] for x in rows(C.apply_in_order(p.limit(0), r))} == {"unknown", "not_attempted"}
+
+
+def test_rounds_hold_what_can_change(spark, monkeypatch):
+    """Rules, items after a sure failure and repeated proposals take no part in the rounds."""
+    stored, keep = [], C._stored
+    monkeypatch.setattr(C, "_stored", lambda df, name: stored.append((name, keep(df, name))) or stored[-1][1])
+    rules = [("r", ["no", None]), ("s", [None])]
+    p = spark.createDataFrame([("a", T0, None, rules, ""), ("a", T0, None, rules, ""), ("b", T0, "no", None, ""), ("c", T0, None, None, "")], PROPOSALS)
+    r = spark.createDataFrame([(1, T0, "x", ["a", "a~1", "b", "c"], 0), (2, T0, "x", ["c", "a~2"], 0), (3, T0, None, ["c"], 0)], REQUESTS)
+    got = rows(C.apply_in_order(p, r), ["request_id", "position"])
+    assert [(g["change_id"], g["status"], g["n_rules"], g["n_failed"], g["retry_id"]) for g in got] == [
+        ("a", "applied", 2, 1, "a~1"), ("a~1", "applied", 1, 0, None), ("b", "error", None, None, None), ("c", "not_attempted", None, None, None),
+        ("c", "applied", 0, 0, None), ("a~2", "unknown", None, None, None), ("c", "not_attempted", None, None, None)]
+    rounds = [df for name, df in stored if name == "changes-judged"]
+    assert rounds and all("rules" not in df.columns and df.count() == 5 for df in rounds)
