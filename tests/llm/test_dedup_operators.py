@@ -210,3 +210,16 @@ def test_contamination_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in contamination(frame(spark, ["a b"]), bench).collect()] == [0]
     assert contamination(frame(spark, []), bench).collect() == []
+
+
+def test_near_matches_meet_each_posting_once(spark, monkeypatch):
+    """The near candidates come from one join of the postings, not from joins of pairs of them."""
+    from dqspark.llm import decontaminate
+    joins, keep = {}, decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: joins.update({name: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")}) or keep(df, name))
+    words = "one two three four five six seven eight nine ten eleven".split()
+    bench = spark.createDataFrame([("i", " ".join(words[:10]))], "item_id string, text string")
+    swapped = words[:4] + [words[5], words[4]] + words[6:10]
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in contamination(frame(spark, [" ".join(words), " ".join(swapped), "one two three", None]), bench).collect()}
+    assert got == {0: (10, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0)}
+    assert joins["near-candidates"] == 1
