@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from dqspark.llm.common import REMEMBERED, tidy, written
 
-#: Most words whose ids one Python worker remembers (about 150 bytes each).
-WORD_CACHE = 1_000_000
+#: Most chunks, and most words, whose ids one Python worker remembers (about 200 bytes each).
+WORD_CACHE = 1 << 18
 
 _SPACE = " \t\n\r"
 _ID = np.dtype("<u4")
 
 
 class _Words(dict):
-    """White-space-free chunk -> its token ids (little-endian uint32 bytes)."""
+    """White-space-free chunk, or part of one, -> its token ids (little-endian uint32 bytes)."""
 
     def __init__(self, encode, limit):
         super().__init__()
@@ -67,8 +67,8 @@ class TextTokenizer:
             spec = json.load(f)
         self.drops_space = drops_space(spec)
         if self.drops_space:
-            self._marks = [t["content"] for t in spec["added_tokens"]]
-            self._word = functools.lru_cache(200_000)(self._model_ids)
+            self._marked = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+            self._parts = _Words(self._model_ids, cache)
             self._words = _Words(self._chunk, cache)
 
     # one run of letters is one pre-token and a run of other marks another;
@@ -83,8 +83,8 @@ class TextTokenizer:
 
     def _chunk(self, chunk):
         m = self._SHAPE.fullmatch(chunk)
-        if m and not any(t in chunk for t in self._marks):
-            return self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
+        if m and not self._marked(chunk):
+            return self._parts[m[1].lower()] + (self._parts[m[2]] if m[2] else b"")
         return self._plain(chunk)
 
     def ids(self, text: str) -> bytes:
