@@ -1,5 +1,6 @@
 """The pipeline's stages and their chain, and the cache that lasts."""
 
+import hashlib
 import random
 
 import pytest
@@ -63,6 +64,21 @@ def test_stages_one_after_the_other(spark, folder):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n <> m or n > 2048").count() == 0
 
 
+def test_op1_cuts_from_400_bytes_on_whatever_the_words(spark):
+    """Shared passages of over 50 words: 399 bytes stay whole, 400 go whole."""
+    rng = random.Random(4)
+    short, long = words(rng, 90)[:398] + "s", words(rng, 90)[:399] + "s"
+    assert min(len(short.split()), len(long.split())) > 50 and (len(short), len(long)) == (399, 400)
+    texts = [f"{words(rng, 60)}{a}{p}{b}{words(rng, 60)}" for p in (short, long) for a, b in ("XY", "VW")]
+    path = scratch_path(spark, "op1-bytes")
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_suffix_dedup"](spark, path).collect()}
+    for i, t in enumerate(texts):
+        kept = t.replace(long, "")
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].text) == (len(t), 400 * (i > 1), int(i > 1), kept)
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def test_run_and_empty_tables(spark, folder):
     path, _ = folder
     assert P.run(spark, path).count() > 0
