@@ -223,3 +223,71 @@ def test_near_matches_meet_each_posting_once(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in contamination(frame(spark, [" ".join(words), " ".join(swapped), "one two three", None]), bench).collect()}
     assert got == {0: (10, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0)}
     assert joins["near-candidates"] == 1
+
+
+def near_by_hand(texts, items, size=10, slop=2):
+    """Windows of each text by a nested loop over all starts that one of a window's two rarest words gives."""
+    docs = [words_of(t) for t in texts]
+    often = {}
+    for w in docs:
+        for x in w:
+            often[x] = often.get(x, 0) + 1
+    windows = {tuple(w[i:i + size]) for w in map(words_of, items) if w for i in range(max(len(w) - size, 0) + 1)}
+    out = [0] * len(docs)
+    for win in windows:
+        lacks = int(len(win) >= 5)
+        rarest = sorted((often[x], off, x) for off, x in enumerate(win) if x in often)
+        if len(win) < 2 or len(rarest) < len(win) - lacks:
+            continue
+        for d, w in enumerate(docs):
+            starts = {p - off for _, off, x in rarest[:2] for p, y in enumerate(w) if x == y}
+            out[d] += any(sum(x not in w[max(s + i - slop, 0):max(s + i + slop + 1, 0)] for i, x in enumerate(win)) <= lacks for s in starts)
+    return out
+
+
+def test_op5_finds_near_matches_too(spark):
+    """op5 runs the proximity half as well: the columns are those of its SQL, the near matches are observed."""
+    import duckdb
+
+    from dqspark.llm.queries import ORACLE, QUERIES
+    from dqspark.session import scratch_path
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (16, 12, 10, 6, 4, 2, 1)] + [None, "..."]
+    texts = [None, "", items[0], "unrelated", items[1] + " " + items[1]]
+    for _ in range(60):
+        p = words_of(rng.choice(items[:6]))
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(p))
+            at = rng.randrange(4)
+            if at == 0:
+                p[i] = rng.choice(["other", *vocab])
+            elif at == 1:
+                p.insert(i, rng.choice(["other", *vocab]))
+            elif at == 2 and len(p) > 1:
+                del p[i]
+            else:
+                p.insert(rng.randint(max(i - 2, 0), i + 2), p.pop(i))
+        texts.append(" ".join([*rng.choices(vocab, k=rng.randint(0, 20)), *p, *rng.choices(vocab, k=rng.randint(0, 20))]))
+    # only the second rarest word gives the start: the rarest comes two places late, a word two places early, the third is missing
+    items.append("k0 k1 k2 k3 k4 k5 k6 k7 k8 k9")
+    texts += ["x x x k1 k0 k5 k4 k3 k6 k7 k8 k9", *["k2 k3 k4 k5 k6 k7 k8 k9"] * 3, "k2 k3 k1"]
+    expected = near_by_hand(texts, items)
+    assert expected[-5] == 1
+    bench = [(None if n == 2 else n, t) for n, t in enumerate(items)]
+    path = scratch_path(spark, "op5-near")
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    got = {r.doc_id: r.n_near for r in QUERIES["decontamination_near"](spark, path).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    found = QUERIES["op5_decontamination"](spark, path)
+    rows = found.collect()
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+    sql = con.execute(ORACLE["op5_decontamination"])
+    assert found.columns == [c[0] for c in sql.description]
+    assert sorted(map(tuple, rows)) == sorted(sql.fetchall())
+    near = found._jdf.queryExecution().observedMetrics().apply("op5_near")
+    assert (near.getLong(0), near.getLong(1)) == (sum(expected), sum(n > 0 for n in expected))
+    assert sum(n > 0 for n in expected) > sum(r.contaminated for r in rows) > 0
